@@ -4,7 +4,6 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,77 +18,78 @@ ship_by_value(__name__)
 
 DATE_IN_NAME = r"(\d{4}-\d{2}-\d{2})(?!.*\d{4}-\d{2}-\d{2})"  # last one in the path
 
-_PARSED = T.StructType(
-    list(BARS.fields)
-    + [T.StructField("_file", T.StringType()), T.StructField("_error", T.StringType())]
+_CELLS = [f.name for f in BARS.fields if f.name != "date"]
+_FILE_ROWS = T.StructType(
+    [T.StructField("date", T.DateType())]
+    + [T.StructField(c, T.StringType()) for c in (*_CELLS, "_file", "_error")]
 )
-_NUMBERS = [f.name for f in BARS.fields if f.dataType in (T.DoubleType(), T.LongType())]
-_TEXTS = [f.name for f in BARS.fields if f.dataType == T.StringType()]
+
+
+def _typed_bars(date: Column, cells: dict[str, Column]) -> list[Column]:
+    """The bar columns from text cells: trimmed, blank and unreadable become null."""
+    def value(field: T.StructField) -> Column:
+        if field.name == "date":
+            return date
+        if field.name not in cells:
+            return F.lit(None).cast(field.dataType)
+        text = F.trim(cells[field.name])
+        text = F.when(text != "", text)
+        if field.dataType == T.StringType():
+            return text
+        number = text.try_cast("double")
+        number = F.when(~F.isnan(number), number)
+        return number.try_cast("long") if field.dataType == T.LongType() else number
+
+    return [value(f).alias(f.name) for f in BARS.fields]
 
 
 # ---------------------------------------------------------------- zipped day files
 
-def _day_table(content: bytes) -> pd.DataFrame:
-    """All-text table of the single CSV inside one day's zip, in bar column names."""
+def _day_cells(content: bytes) -> pd.DataFrame:
+    """Text cells of the single CSV inside one day's zip, under bar column names."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         raw = archive.read(archive.namelist()[0])
-    table = pd.read_csv(io.BytesIO(raw), dtype=str, keep_default_na=False)
-    table.columns = [c.strip() for c in table.columns]
-    names = NEW_LAYOUT if NEW_LAYOUT_MARKER in table.columns else OLD_LAYOUT
-    table = table[[c for c in names if c in table.columns]].rename(columns=names)
-    if "symbol" not in table.columns:
+    cells = pd.read_csv(io.BytesIO(raw), dtype=str, keep_default_na=False)
+    cells.columns = [c.strip() for c in cells.columns]
+    names = NEW_LAYOUT if NEW_LAYOUT_MARKER in cells.columns else OLD_LAYOUT
+    cells = cells[[c for c in names if c in cells.columns]].rename(columns=names)
+    if "symbol" not in cells.columns:
         raise ValueError("no known day-file header")
-    if "instrument_type" in table.columns:
-        table = table[table["instrument_type"] == EQUITY_INSTRUMENT]
-    return table
-
-
-def _typed(table: pd.DataFrame) -> pd.DataFrame:
-    out = pd.DataFrame(index=table.index)
-    for name in _TEXTS:
-        text = table[name].str.strip().astype(object) if name in table.columns else None
-        out[name] = None if text is None else text.where(text != "", None)
-    for name in _NUMBERS:
-        if name in table.columns:
-            number = pd.to_numeric(table[name].str.strip(), errors="coerce")
-            out[name] = number.astype("float64")
-        else:
-            out[name] = float("nan")
-    trades = out["n_trades"]
-    out["n_trades"] = np.trunc(trades.where(np.isfinite(trades)))
-    return out
+    if "instrument_type" in cells.columns:
+        cells = cells[cells["instrument_type"].str.strip() == EQUITY_INSTRUMENT]
+    return cells
 
 
-def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [f.name for f in _PARSED.fields]
+def _open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [f.name for f in _FILE_ROWS.fields]
     for batch in batches:
         for name, date, content in zip(batch["_file"], batch["date"], batch["content"]):
             try:
                 if date is None:
                     raise ValueError("no date in file name")
-                rows = _typed(_day_table(bytes(content)))
-                error = None
+                rows, error = _day_cells(bytes(content)), None
             except Exception as exc:  # one bad day must not stop the others
-                rows = pd.DataFrame(index=[0])
-                error = f"{type(exc).__name__}: {exc}"
+                rows, error = pd.DataFrame(index=[0]), f"{type(exc).__name__}: {exc}"
+            rows = rows.reindex(columns=columns).astype(object)
             rows["date"], rows["_file"], rows["_error"] = date, name, error
-            rows = rows.reindex(columns=columns).astype({"n_trades": "Int64"})
-            yield rows
+            yield rows.where(rows.notna(), None)
 
 
 def parse_day_files(files: DataFrame) -> DataFrame:
     """Bars plus ``_file`` / ``_error`` from (path, content) rows of zipped day files.
 
     One file is one exchange day, which is the natural task unit: it cannot be
-    split, and files are spread over tasks by the scan. Works the same on a
-    batch and on a streaming frame.
+    split, and files are spread over tasks by the scan. Python only opens the
+    archive; typing happens in the JVM. Works on batch and streaming frames.
     """
     named = files.select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("_file"),
-        F.to_date(F.nullif(F.regexp_extract("path", DATE_IN_NAME, 1), F.lit(""))).alias("date"),
+        F.try_to_date(F.regexp_extract("path", DATE_IN_NAME, 1)).alias("date"),
         "content",
     )
-    return named.mapInPandas(_parse_files, _PARSED)
+    opened = named.mapInPandas(_open_files, _FILE_ROWS)
+    cells = {c: F.col(c) for c in _CELLS}
+    return opened.select(*_typed_bars(F.col("date"), cells), "_file", "_error")
 
 
 def read_zip_files(spark: SparkSession, path: str) -> DataFrame:
@@ -100,17 +100,9 @@ def read_zip_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _not_nan(column: Column) -> Column:
-    return F.when(~F.isnan(column), column)
-
-
 def good_bars(parsed: DataFrame) -> DataFrame:
-    """The normalised bars of the files that parsed; missing numbers are null, never NaN."""
-    columns = [
-        (_not_nan(F.col(f.name)) if f.dataType == T.DoubleType() else F.col(f.name)).alias(f.name)
-        for f in BARS.fields
-    ]
-    return parsed.filter(F.col("_error").isNull()).select(*columns)
+    """The normalised bars of the files that parsed."""
+    return parsed.filter(F.col("_error").isNull()).drop("_file", "_error")
 
 
 def quarantined_files(parsed: DataFrame) -> DataFrame:
@@ -160,22 +152,11 @@ def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def _bars_from_cells(cells: DataFrame, names: list[str]) -> DataFrame:
     layout = NEW_LAYOUT if NEW_LAYOUT_MARKER in names else OLD_LAYOUT
-    at = {layout[n]: F.trim(F.col(f"`{n}`")) for n in names if n in layout}
+    at = {layout[n]: F.col(f"`{n}`") for n in names if n in layout}
     if "instrument_type" in at:
-        cells = cells.filter(at["instrument_type"] == EQUITY_INSTRUMENT)
-
-    def value(field: T.StructField) -> Column:
-        if field.name == "date":
-            return F.to_date(F.regexp_extract("_metadata.file_path", DATE_IN_NAME, 1))
-        if field.name not in at:
-            return F.lit(None).cast(field.dataType)
-        text = F.when(at[field.name] != "", at[field.name])
-        if field.dataType == T.StringType():
-            return text
-        number = _not_nan(text.try_cast("double"))
-        return number.try_cast("long") if field.dataType == T.LongType() else number
-
-    return cells.select(*[value(f).alias(f.name) for f in BARS.fields])
+        cells = cells.filter(F.trim(at["instrument_type"]) == EQUITY_INSTRUMENT)
+    date = F.try_to_date(F.regexp_extract("_metadata.file_path", DATE_IN_NAME, 1))
+    return cells.select(*_typed_bars(date, at))
 
 
 # ---------------------------------------------------------------- the stored bar table
