@@ -10,6 +10,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barfold.session import ship_by_value
 
@@ -176,7 +177,7 @@ def csv_lines(bars: DataFrame) -> DataFrame:
     return out
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _zipped(text: pd.Series) -> pd.Series:
     def pack(body: str) -> bytes:
         buffer = io.BytesIO()
