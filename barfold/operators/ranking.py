@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS_PER_E_FOLD = 256
+QUANTILE_GRIDS = (256, 1 << 20)  # buckets per e-fold, coarse then fine
+WHOLE_GROUP_ROWS = 1_000_000  # a group up to this size is ranked in one task
 ISIN_PREFIX = 6  # characters of an isin that form its bucket
 HASH_DIGITS = 4  # leading hex digits of a hash that form its bucket
 
@@ -63,10 +65,17 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     return add_offsets(bucketed, keys, "_bucket", [value], "n_equal", "n_below").drop("_bucket")
 
 
-def average_ranks(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str], suffix: str = "_rank"
-) -> DataFrame:
-    """Tie-averaged 1-based rank of each value column within ``keys``."""
+def _ranks_of_small_groups(df: DataFrame, keys: list[str], values: Sequence[str], suffix: str):
+    out = df
+    for value in values:
+        order = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+        ties = Window.partitionBy(*keys, value)
+        rank = F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
+        out = out.withColumn(value + suffix, F.when(F.col(value).isNotNull(), rank))
+    return out
+
+
+def _ranks_of_large_groups(df: DataFrame, keys: list[str], values: Sequence[str], suffix: str):
     out = df
     for value in values:
         ranks = value_positions(df, keys, value).select(
@@ -76,33 +85,77 @@ def average_ranks(
     return out.select(*df.columns, *[v + suffix for v in values])
 
 
+def average_ranks(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], suffix: str = "_rank"
+) -> DataFrame:
+    """Tie-averaged 1-based rank of each value column within ``keys``.
+
+    Groups are counted first. Ordinary ones are ranked by a window, all value
+    columns on one exchange; groups above ``WHOLE_GROUP_ROWS`` take the bucketed
+    way. There is at most one large group per that many rows, which bounds the
+    broadcast list. Without large groups that branch is empty and AQE drops it.
+    """
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    large = F.broadcast(sizes.filter(F.col("_size") > WHOLE_GROUP_ROWS).select(*keys))
+    small = _ranks_of_small_groups(df.join(large, keys, "left_anti"), keys, values, suffix)
+    return small.unionByName(
+        _ranks_of_large_groups(df.join(large, keys, "left_semi"), keys, values, suffix))
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
     out: str = "quantiles",
 ) -> DataFrame:
     """Interpolated exact quantiles per group, as an array.
 
-    Only the (at most two per level) distinct values around each wanted position
-    are gathered; the rest of the group is counted, never collected.
+    Counting rows per coarse bucket, combined on the map side, tells which few
+    buckets hold a wanted position; the same count on a much finer grid is then
+    made inside those buckets only, and the values themselves are looked at
+    inside the few fine buckets that remain. Every row is counted, but no more
+    than a sliver of the values is ever shuffled.
     """
     keys = list(keys)
-    placed = value_positions(df, keys, value)
-    sizes = placed.groupBy(*keys).agg(F.sum("n_equal").alias("_n"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
     spots = F.array(*[F.lit(float(p)) for p in probs])
     position = F.transform(spots, lambda p: p * (F.col("_n") - 1))
-
-    def covers(pos: Column) -> Column:
-        return (F.col("n_below") <= pos) & (pos < F.col("n_below") + F.col("n_equal"))
-
-    near = placed.join(sizes, keys).filter(
-        F.exists(position, lambda p: covers(F.floor(p)) | covers(F.ceil(p))))
-    packed = near.groupBy(*keys).agg(
-        F.collect_list(F.struct("n_below", "n_equal", F.col(value).alias("v"))).alias("_near"),
+    needed = F.array_distinct(F.concat(
+        F.transform(position, lambda p: F.floor(p)), F.transform(position, lambda p: F.ceil(p))))
+
+    def holding(counts: DataFrame, cells: list[str], order: str) -> DataFrame:
+        """Cells that hold a wanted position, with the number of rows before them."""
+        # ``_start`` is the count before the enclosing cell of the previous, coarser level.
+        inside = F.sum("_count").over(_running([*keys, *cells], order)) - F.col("_count")
+        return counts.withColumn("_before", F.col("_start") + inside).filter(
+            F.exists(needed, lambda p: (F.col("_before") <= p)
+                     & (p < F.col("_before") + F.col("_count"))))
+
+    coarse, fine = (magnitude_bucket(F.col(value), g) for g in QUANTILE_GRIDS)
+    first = (
+        rows.groupBy(*keys, coarse.alias("_coarse")).agg(F.count(F.lit(1)).alias("_count"))
+        .withColumn("_start", F.lit(0))
+        .withColumn("_n", F.sum("_count").over(Window.partitionBy(*keys)))
+    )
+    kept = holding(first, [], "_coarse").select(*keys, "_coarse", "_n", F.col("_before").alias("_start"))
+    # At most two cells per level and group pass each filter, so the broadcasts are bounded.
+    second = (
+        rows.withColumn("_coarse", coarse).join(F.broadcast(kept), [*keys, "_coarse"])
+        .groupBy(*keys, "_coarse", "_n", "_start", fine.alias("_fine"))
+        .agg(F.count(F.lit(1)).alias("_count"))
+    )
+    kept = holding(second, ["_coarse"], "_fine").select(
+        *keys, "_fine", "_n", F.col("_before").alias("_start"))
+    third = (
+        rows.withColumn("_fine", fine).join(F.broadcast(kept), [*keys, "_fine"])
+        .groupBy(*keys, "_fine", "_n", "_start", value).agg(F.count(F.lit(1)).alias("_count"))
+    )
+    packed = holding(third, ["_fine"], value).groupBy(*keys).agg(
+        F.collect_list(F.struct("_before", "_count", F.col(value).alias("v"))).alias("_near"),
         F.max("_n").alias("_n"))
 
     def value_at(pos: Column) -> Column:
-        hit = F.filter("_near", lambda s: (s["n_below"] <= pos)
-                       & (pos < s["n_below"] + s["n_equal"]))
+        hit = F.filter("_near", lambda s: (s["_before"] <= pos)
+                       & (pos < s["_before"] + s["_count"]))
         return hit[0]["v"]
 
     def interpolated(p: Column) -> Column:

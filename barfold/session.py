@@ -9,9 +9,12 @@ import atexit
 import shutil
 import sys
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -71,3 +74,27 @@ def stage_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = path or scratch_path(spark, name)
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+_kept: dict[tuple[str, str], str] = {}
+_kept_lock = threading.RLock()
+
+
+def keep_table(key: str, spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table built once per application and stored in the shared folder.
+
+    Steps hand over through stored tables, so later queries of the same
+    application read the result instead of repeating the chain. A missing
+    folder is simply rebuilt.
+    """
+    slot = (spark.sparkContext.applicationId, key)
+    with _kept_lock:
+        if slot in _kept:
+            try:
+                return spark.read.parquet(_kept[slot])
+            except AnalysisException:
+                del _kept[slot]
+        path = scratch_path(spark, key.rsplit("/", 1)[-1])
+        table = stage_table(build(), "", path)
+        _kept[slot] = path
+        return table

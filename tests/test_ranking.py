@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barfold.operators import ranking
 from barfold.operators.metrics import backtest_rows
 from barfold.operators.ranking import (
     average_ranks, exact_quantiles, magnitude_bucket, position_by_hash, position_by_isin,
@@ -32,7 +33,9 @@ def test_bucket_never_falls_as_the_value_rises(spark):
     assert got == sorted(got)
 
 
-def test_average_ranks_match_pandas(crowded):
+@pytest.mark.parametrize("whole_group_rows", [10, 1_000_000])
+def test_average_ranks_match_pandas(crowded, monkeypatch, whole_group_rows):
+    monkeypatch.setattr(ranking, "WHOLE_GROUP_ROWS", whole_group_rows)
     pdf, df = crowded
     got = average_ranks(df, ["d"], ["v"]).toPandas().set_index("i")["v_rank"]
     want = (pdf.v + 0.0).groupby(pdf.d).rank(method="average")

@@ -21,8 +21,8 @@ from barfold.operators import (
 from barfold.operators.ranking import average_ranks
 from barfold.plans import curated as curated_plan
 from barfold.plans import evaluation
-from barfold.schemas import CURATED, FEATURE_COLUMNS, QUANTILES
-from barfold.session import scratch_path, stage_table
+from barfold.schemas import FEATURE_COLUMNS, QUANTILES, TARGET_COLUMN
+from barfold.session import keep_table, scratch_path, stage_table
 from barfold.sources import bars as bar_files
 from barfold.sources import reference_data, sinks
 from barfold.streaming import ingest
@@ -41,14 +41,22 @@ QUERIES: dict[str, Query] = {}
 
 
 class Inputs:
-    """The frames the queries start from, built on first use."""
+    """The frames the queries start from.
+
+    The pipeline's own hand-over points (raw bars, curated prices, features,
+    samples, predictions) are stored tables, built on first use; everything
+    else is a lazy plan over them.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return keep_table(f"{self.sf_dir}/{name}", self.spark, build)
+
     @cached_property
     def bars_raw(self) -> DataFrame:
-        return fixtures.bars_raw(self.spark, self.sf_dir)
+        return self._kept("raw-bars", lambda: fixtures.bars_raw(self.spark, self.sf_dir))
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -56,6 +64,7 @@ class Inputs:
 
     @cached_property
     def bars(self) -> DataFrame:
+        """Clean bars, straight from the raw ones."""
         return curated_plan.clean_bars(self.raw)
 
     @cached_property
@@ -68,19 +77,11 @@ class Inputs:
 
     @cached_property
     def curated(self) -> DataFrame:
-        return curated_plan.curate(self.raw, self.actions)
-
-    @cached_property
-    def curated_stored(self) -> DataFrame:
-        return stage_table(self.curated, "curated")
+        return self._kept("curated", lambda: curated_plan.curate(self.raw, self.actions))
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.compute_features(self.curated)
-
-    @cached_property
-    def features_stored(self) -> DataFrame:
-        return stage_table(self.features, "features")
+        return self._kept("features", lambda: features.compute_features(self.curated))
 
     @cached_property
     def universe(self) -> DataFrame:
@@ -90,7 +91,8 @@ class Inputs:
 
     @cached_property
     def samples(self) -> DataFrame:
-        return stage_table(evaluation.labelled_samples(self.curated, SEQ_LEN), "samples")
+        return self._kept("samples", lambda: samples.sample_index(
+            self.features, SEQ_LEN, keep=["ret_1", TARGET_COLUMN]))
 
     @cached_property
     def assigned(self) -> DataFrame:
@@ -99,15 +101,17 @@ class Inputs:
     @cached_property
     def preds(self) -> DataFrame:
         """Forecasts, rounded so that both engines see the same ties."""
-        rows = signals.fit_predict_ar1(self.assigned).withColumns(
-            {c: F.round(c, 10) for c in ("pred", "actual")})
-        return stage_table(rows, "predictions")
+        return self._kept("predictions", lambda: signals.fit_predict_ar1(
+            self.assigned).withColumns({c: F.round(c, 10) for c in ("pred", "actual")}))
 
     @cached_property
     def quantile_preds(self) -> DataFrame:
         return signals.fit_predict_quantiles(self.assigned)
 
 
+STORED_INPUTS = ("bars_raw", "curated", "features", "samples", "preds")
+
+
 def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
     QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
     return fn
@@ -404,7 +408,9 @@ def volume_baseline(x: Inputs) -> DataFrame:
 
 @query
 def scaled_features(x: Inputs) -> DataFrame:
-    return rounded(x.features.select("isin", "date", "ret_1_volscaled", "vol_z"),
+    rows = features.scaled_features(features.volume_baseline(
+        features.realized_vol(features.log_returns(x.curated))))
+    return rounded(rows.select("isin", "date", "ret_1_volscaled", "vol_z"),
                    "ret_1_volscaled", "vol_z")
 
 
@@ -428,7 +434,8 @@ def calendar_encoding(x: Inputs) -> DataFrame:
 @query
 def compute_features(x: Inputs) -> DataFrame:
     cols = (*FEATURE_COLUMNS, "fwd_ret_1")
-    return rounded(x.features.select("isin", "date", *cols, "has_sufficient_history"), *cols)
+    rows = features.compute_features(x.curated)
+    return rounded(rows.select("isin", "date", *cols, "has_sufficient_history"), *cols)
 
 
 # ------------------------------------------------------------------ samples and panels
@@ -464,12 +471,12 @@ def next_market_date(x: Inputs) -> DataFrame:
 
 @query
 def panel_index(x: Inputs) -> DataFrame:
-    return rounded(samples.panel_index(x.features_stored, x.universe, SEQ_LEN), "target")
+    return rounded(samples.panel_index(x.features, x.universe, SEQ_LEN), "target")
 
 
 @query
 def panel_tensors(x: Inputs) -> DataFrame:
-    rows = samples.panel_tensors(x.features_stored, x.universe, SEQ_LEN)
+    rows = samples.panel_tensors(x.features, x.universe, SEQ_LEN)
     return rows.select(
         "feature_end_date", "label_date", "n_names",
         F.array_join("isins", ",").alias("isins"),
@@ -672,5 +679,5 @@ def flagship_rank_ic(x: Inputs) -> DataFrame:
     rows = x.features.filter(F.col("ret_1").isNotNull() & F.col("fwd_ret_1").isNotNull()).select(
         F.year("date").alias("year"), "date",
         F.round("ret_1", 10).alias("pred"), F.round("fwd_ret_1", 10).alias("actual"))
-    daily = metrics.rank_ic_by_date(stage_table(rows, "returns"), ["year", "date"])
+    daily = metrics.rank_ic_by_date(rows, ["year", "date"])
     return rounded(metrics.summarize_ic(daily, ["year"]), *_SUMMARY)
