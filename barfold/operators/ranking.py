@@ -113,7 +113,8 @@ def exact_quantiles(
     buckets hold a wanted position; the same count on a much finer grid is then
     made inside those buckets only, and the values themselves are looked at
     inside the few fine buckets that remain. Every row is counted, but no more
-    than a sliver of the values is ever shuffled.
+    than a sliver of the values is ever shuffled. Meant for few groups (folds) of
+    any size.
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
@@ -137,7 +138,7 @@ def exact_quantiles(
         .withColumn("_n", F.sum("_count").over(Window.partitionBy(*keys)))
     )
     kept = holding(first, [], "_coarse").select(*keys, "_coarse", "_n", F.col("_before").alias("_start"))
-    # At most two cells per level and group pass each filter, so the broadcasts are bounded.
+    # At most two cells per level and group (a fold) pass each filter: the broadcasts are bounded.
     second = (
         rows.withColumn("_coarse", coarse).join(F.broadcast(kept), [*keys, "_coarse"])
         .groupBy(*keys, "_coarse", "_n", "_start", fine.alias("_fine"))
