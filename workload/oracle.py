@@ -424,7 +424,7 @@ _FINAL = {
         "min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS n_sessions, "
         "bool_or(isin_is_symbol_fallback) AS isin_is_symbol_fallback FROM x_bars GROUP BY isin",
     "trading_calendar": "SELECT date FROM x_calendar",
-    "action_multipliers": "SELECT isin, exDate, series, subject, multiplier FROM x_multiplied",
+    "action_multiplier": "SELECT isin, exDate, series, subject, multiplier FROM x_multiplied",
     "unparsed_actions": "SELECT * FROM x_unparsed",
     "adjustment_factors": "SELECT * FROM x_factors",
     "apply_adjustment": f"SELECT {_ADJUSTED} FROM x_curated",
@@ -479,7 +479,7 @@ _FINAL = {
                       f"{digest('flatten(win)')} AS window, {r('fwd_ret_1', 'target')} "
                       "FROM x_windows",
     # 20 rows padded to 24 in patches of 6: the first holds rows 1-2, the last rows 15-20.
-    "patchify_windows": "SELECT isin, feature_end_date, 4 AS n_patches, 72 AS patch_len, "
+    "patchify": "SELECT isin, feature_end_date, 4 AS n_patches, 72 AS patch_len, "
                         f"{r('list_sum(flatten(win[1:2]))', 'first_sum')}, "
                         f"{r('list_sum(flatten(win[15:20]))', 'last_sum')} FROM x_windows",
     "next_market_date": "SELECT * FROM (SELECT date, lead(date) OVER (ORDER BY date) AS next_date "
@@ -530,7 +530,7 @@ _FINAL = {
         "SELECT fold, isin, date, (round(CASE WHEN sd > 0 THEN (ret_1 - mu) / sd END, 6) + 0.0) "
         "AS pred FROM (SELECT *, avg(ret_1) OVER w AS mu, stddev_samp(ret_1) OVER w AS sd "
         "FROM x_test_rows WINDOW w AS (PARTITION BY fold, date))",
-    "signum_positions": "SELECT fold, isin, date, position FROM x_pos",
+    "signum_deadzone": "SELECT fold, isin, date, position FROM x_pos",
     "backtest_rows": "SELECT fold, isin, date, position, prev_position, turnover, "
                      f"{_PNL} FROM x_book",
     "backtest_rows_pooled": "SELECT fold, isin, date, position, prev_position, turnover, "
@@ -544,7 +544,7 @@ _FINAL = {
     "overall_net_sharpe":
         f"SELECT {r('sqrt(252) * avg(net_pnl) / (stddev_samp(net_pnl) + 1e-12)', 'overall_net_sharpe')}"
         f", count(*) AS n_rows, {r('avg(net_pnl)', 'mean_net_pnl', 9)} FROM x_book_all",
-    "average_rank_rows": "SELECT fold, date, isin, pred_rank, actual_rank FROM x_ranks",
+    "average_ranks": "SELECT fold, date, isin, pred_rank, actual_rank FROM x_ranks",
     "rank_ic_by_date": f"SELECT fold, date, n_names, {r('ic')} FROM x_ic WHERE ic IS NOT NULL",
     "rank_ic_summary": "SELECT fold, " + ", ".join(
         map(r, ("mean_ic", "ic_ir", "pct_positive_days"))) + ", n_days FROM x_summary",

@@ -113,7 +113,7 @@ STORED_INPUTS = ("bars_raw", "curated", "features", "samples", "preds")
 
 
 def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
+    QUERIES[fn.__name__.removesuffix("_query")] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
     return fn
 
 
@@ -287,7 +287,7 @@ def trading_calendar(x: Inputs) -> DataFrame:
 
 
 @query
-def action_multipliers(x: Inputs) -> DataFrame:
+def action_multiplier_query(x: Inputs) -> DataFrame:
     return fixtures.actions_raw(x.spark, x.sf_dir).select(
         "isin", "exDate", "series", "subject", action_multiplier(F.col("subject")).alias("multiplier"))
 
@@ -453,7 +453,7 @@ def sample_windows(x: Inputs) -> DataFrame:
 
 
 @query
-def patchify_windows(x: Inputs) -> DataFrame:
+def patchify_query(x: Inputs) -> DataFrame:
     rows = samples.sample_windows(x.features, SEQ_LEN)
     patches = patchify(F.col("window"), SEQ_LEN, len(FEATURE_COLUMNS), PATCH)
     total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, v: a + v)
@@ -563,7 +563,7 @@ def score_panels(x: Inputs) -> DataFrame:
 
 
 @query
-def signum_positions(x: Inputs) -> DataFrame:
+def signum_deadzone_query(x: Inputs) -> DataFrame:
     return x.preds.select("fold", "isin", "date",
                           signum_deadzone(F.col("pred"), 0.002).alias("position"))
 
@@ -607,7 +607,7 @@ def overall_net_sharpe(x: Inputs) -> DataFrame:
 
 
 @query
-def average_rank_rows(x: Inputs) -> DataFrame:
+def average_ranks_query(x: Inputs) -> DataFrame:
     return average_ranks(x.preds, ["fold", "date"], ["pred", "actual"]).select(
         "fold", "date", "isin", "pred_rank", "actual_rank")
 
