@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.llm import byte_bpe, simhash_pivots
+from barfold.llm import byte_bpe, line_dedup, simhash_pivots
 from barfold.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,13 +26,46 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_pivots": op2_simhash_pivots,
+    "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, i - 1 AS line_no, x[i] AS raw, trim(x[i]) AS line
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS t(i)
+        ), firsts AS (
+            SELECT line, min({'d': doc_id, 'n': line_no}) AS f FROM lines WHERE line <> '' GROUP BY line
+        ), worded AS (
+            SELECT line, f, list_filter(regexp_split_to_array(line, '[ \t\r\f\v]+'), lambda w: w <> '') AS ws
+            FROM firsts
+        ), gaps AS (
+            SELECT line, f, i AS gap, array_to_string(ws[1:i - 1] || ws[i + 1:], ' ') AS k
+            FROM worded, unnest(range(1, len(ws) + 1)) AS t(i) WHERE len(ws) >= 5
+        ), wholes AS (
+            SELECT line, f, array_to_string(ws, ' ') AS k FROM worded WHERE len(ws) >= 5
+        ), near AS (
+            SELECT line FROM (SELECT line, f, min(f) OVER (PARTITION BY k, gap) AS e FROM gaps) WHERE e < f
+            UNION SELECT line FROM (SELECT line, f, min(f) OVER (PARTITION BY k) AS e FROM wholes) WHERE e < f
+            UNION SELECT g.line FROM gaps g JOIN wholes w USING (k) WHERE w.f < g.f
+            UNION SELECT w.line FROM gaps g JOIN wholes w USING (k) WHERE g.f < w.f
+        ), kept AS (
+            SELECT l.*, l.line = '' OR ({'d': doc_id, 'n': line_no} = firsts.f AND near.line IS NULL) AS stays
+            FROM lines l LEFT JOIN firsts USING (line) LEFT JOIN near USING (line)
+        )
+        SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (stays), '') AS text,
+            count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped
+        FROM kept GROUP BY doc_id
+    """,
+}
