@@ -80,7 +80,8 @@ def _may_have_partner(lines: DataFrame) -> DataFrame:
 def near_repeats(lines: DataFrame) -> DataFrame:
     """``h1, h2`` of the distinct lines that an earlier one equals but for one word."""
     worded = lines.withColumn("words", _words("line")).where(F.size("words") >= MIN_WORDS).drop("line")
-    may = stored(worded.join(_may_have_partner(worded), ["h1", "h2"], "left_semi"), "lines")
+    partners = stored(_may_have_partner(worded), "partners")
+    may = stored(lines.join(partners, ["h1", "h2"], "left_semi").withColumn("words", _words("line")).drop("line"), "may")
 
     w, n = F.col("words"), F.size("words")
     gap = F.transform(
