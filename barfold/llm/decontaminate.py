@@ -65,7 +65,12 @@ class ItemIndex:
         self.sieve = np.zeros(SIEVE + 1, dtype=bool)
         self.sieve[self.pairs & SIEVE] = True
         lengths = sorted({len(w) for w in self.items})
-        self.needs = [(n, n + int(max_share * n), n - 1 - 2 * int(max_share * n)) for n in lengths]
+        #: For items of nearly one length: words a run may have, and known pairs it must have.
+        self.needs = {}
+        for n in lengths:
+            k = int(max_share * n)
+            span, need = self.needs.get(n // STEP * STEP, (0, n))
+            self.needs[n // STEP * STEP] = max(span, n + k), min(need, n - 1 - 2 * k)
         self.steps = 2 * max(lengths, default=0)
         rng = np.random.default_rng(seed)
         self.odd = rng.integers(0, 1 << 63, (max(self.steps, 1), WALKS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,7 +118,7 @@ class ItemIndex:
         slot = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
         place = place[self.pairs[slot] == codes]
         # Only where the least number of pairs lies in the widest window can anything start.
-        widest, least = max(s for _, s, _ in self.needs), min(n for _, _, n in self.needs)
+        widest, least = max(s for s, _ in self.needs.values()), min(n for _, n in self.needs.values())
         group = place[least - 1 :] if least > 1 else place
         dense = np.flatnonzero(group - place[: len(group)] < widest)
         none, found = np.zeros((2, 0), dtype=np.int64), []
@@ -129,11 +134,10 @@ class ItemIndex:
         last = len(total) - 1
         for begin in range(0, len(some), 2_000):
             starts = some[begin : begin + 2_000]
-            fits: dict[int, np.ndarray] = {}
-            for n, span, need in self.needs:
-                fit = total[np.minimum(starts + span, last)] - total[starts] >= need
-                size = n // STEP * STEP
-                fits[size] = fits.get(size, False) | fit
+            fits = {
+                size: total[np.minimum(starts + span, last)] - total[starts] >= need
+                for size, (span, need) in self.needs.items()
+            }
             any_fit = reduce(np.logical_or, fits.values())
             if not any_fit.any():
                 continue
@@ -171,9 +175,11 @@ class ItemIndex:
             for start in [*starts, None]:
                 if begin is not None and (start is None or start > prior + size):
                     low = max(0, begin - size)
-                    edits, first, n = best_run(self.items[item], ids[low : prior + 2 * size])
-                    if edits <= k and (best is None or (edits, low + first) < best[:2]):
-                        best = edits, low + first, n
+                    run = ids[low : prior + 2 * size]
+                    if np.isin(self.items[item], run).sum() >= size - k:
+                        edits, first, n = best_run(self.items[item], run)
+                        if edits <= k and (best is None or (edits, low + first) < best[:2]):
+                            best = edits, low + first, n
                     begin = None
                 if start is not None:
                     begin, prior = start if begin is None else begin, start
