@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.llm import byte_bpe, decontaminate, line_dedup, simhash_pivots
+from barfold.llm import byte_bpe, decontaminate, line_dedup, permutation_index, simhash_pivots
 from barfold.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -20,6 +20,10 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -39,6 +43,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_permutation_index": op1_permutation_index,
     "op2_simhash_pivots": op2_simhash_pivots,
     "op4_decontaminate": op4_decontaminate,
     "op6_line_dedup": op6_line_dedup,
