@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.llm import byte_bpe, decontaminate, line_dedup, permutation_index, simhash_pivots
+from barfold.llm import byte_bpe, chat_format, decontaminate, line_dedup, permutation_index, simhash_pivots
 from barfold.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,6 +30,29 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], talks.schema)
+    made = chat_format.examples(talks.unionByName(extra)).withColumn("loss", chat_format.trained_text())
+    per_talk = made.groupBy("conv_id").agg(
+        F.max_by("formatted", "example").alias("whole"),
+        F.sort_array(F.collect_list(F.struct("example", "loss"))).alias("losses"),
+        F.sum(F.char_length("formatted")).alias("formatted_chars"),
+    )
+    read = per_talk.select(
+        "conv_id", "formatted_chars", chat_format.turns_of(F.col("whole")).alias("turns"),
+        F.array_join(F.transform("losses", lambda x: x["loss"]), "").alias("loss"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,12 +68,31 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_simhash_pivots": op2_simhash_pivots,
+    "op3_chat_format": op3_chat_format,
     "op4_decontaminate": op4_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), placed AS (
+            SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS all_n,
+                sum(22 + length(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '"', '&quot;'))) OVER w
+                    AS chars
+            FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(chars) FILTER (role = 'assistant' OR n = all_n)::BIGINT AS formatted_chars
+        FROM placed GROUP BY conv_id
+    """,
     "op6_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, i - 1 AS line_no, x[i] AS raw, trim(x[i]) AS line
