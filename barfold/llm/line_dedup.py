@@ -11,6 +11,9 @@ pairs. Candidates are verified by their words.
 Lines that can't have a partner emit no neighbourhood: after one edit the first
 half or the last half of the shorter line is whole in both, so a line that shares
 no half with another distinct line is left out beforehand, without loss.
+
+Texts are read three times and shuffled once, for the result; in between lines are
+hashes (96 bits) and places.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +25,12 @@ from barfold.llm.common import stored
 MIN_WORDS = 5
 
 
+#: Lines (16 bytes each) up to which the lines to look at again are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_LINES = 1_000_000
+
+
 def _words(line: str) -> Column:
-    return F.filter(F.split(line, r"[ \t\r\f\x0b]+"), lambda w: w != "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -32,9 +39,18 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", F.trim("line").alias("line")).where("line <> ''")
 
 
-def _key(*parts: Column) -> list[Column]:
-    """Two independent hashes, 96 bits together."""
-    return [F.xxhash64(*parts).alias("h1"), F.hash(*parts).alias("h2")]
+def _halves() -> Column:
+    """Keys of the halves that a line may share with one that is an edit away; none for short lines."""
+    w, n = F.col("words"), F.size("words")
+
+    def halves(m: Column) -> list[Column]:
+        p = F.floor(m / 2).cast("int")
+        return [
+            F.xxhash64(m, F.lit(0), F.slice(w, F.lit(1), p)),
+            F.xxhash64(m, F.lit(1), F.slice(w, n - (m - p) + 1, m - p)),
+        ]
+
+    return F.when(n >= MIN_WORDS, F.array(*halves(n), *halves(n - 1)))
 
 
 def one_edit(x: str, y: str) -> Column:
@@ -54,77 +70,63 @@ def one_edit(x: str, y: str) -> Column:
     )
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """``h1, h2, first, line``: each distinct line with its earliest (doc_id, line_no)."""
-    return _lines(docs).select(*_key(F.col("line")), "doc_id", "line_no", "line").groupBy("h1", "h2").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line")
-    )
-
-
 def _may_have_partner(lines: DataFrame) -> DataFrame:
-    """``h1, h2`` of the lines that share a half with another distinct line."""
-    w, n = F.col("words"), F.size("words")
-
-    def halves(m: Column) -> list[Column]:
-        p = F.floor(m / 2).cast("int")
-        return [
-            F.xxhash64(m, F.lit(0), F.slice(w, F.lit(1), p)),
-            F.xxhash64(m, F.lit(1), F.slice(w, n - (m - p) + 1, m - p)),
-        ]
-
-    keyed = lines.select("h1", "h2", F.explode(F.array(*halves(n), *halves(n - 1))).alias("half"))
+    """``first`` of the distinct lines that share a half with another one."""
+    keyed = lines.select("first", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1")
-    return keyed.join(shared, "half", "left_semi").select("h1", "h2").distinct()
+    return keyed.join(shared, "half", "left_semi").select("first").distinct()
 
 
-def near_repeats(lines: DataFrame) -> DataFrame:
-    """``h1, h2`` of the distinct lines that an earlier one equals but for one word."""
-    worded = lines.withColumn("words", _words("line")).where(F.size("words") >= MIN_WORDS).drop("line")
-    partners = stored(_may_have_partner(worded), "partners")
-    may = stored(lines.join(partners, ["h1", "h2"], "left_semi").withColumn("words", _words("line")).drop("line"), "may")
+def near_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``first`` of the distinct lines that an earlier one equals but for one word."""
+    partners = stored(_may_have_partner(lines).select("first.*"), "partners")
+    if partners.count() <= BROADCAST_LINES:
+        partners = F.broadcast(partners)
+    again = _lines(docs).join(partners, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"])
+    may = stored(again.select(F.struct("doc_id", "line_no").alias("first"), _words("line").alias("words")), "may")
 
     w, n = F.col("words"), F.size("words")
-    gap = F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: F.struct(
-            *(k.alias(c) for k, c in zip(
-                _key(F.slice(w, F.lit(1), i), F.slice(w, i + 2, F.greatest(n - i - 1, F.lit(0)))), ("k1", "k2"),
-                strict=True,
-            )),
-            F.when(i < n, i).otherwise(-1).alias("gap"),
-        ),
-    )
-    variants = stored(may.select("h1", "h2", "first", F.inline(gap)), "variants")
-    at_gap = variants.groupBy("k1", "k2", "gap").agg(F.min("first").alias("same"))
-    at_key = at_gap.groupBy("k1", "k2").agg(
+    variants = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(
+        F.xxhash64(F.slice(w, F.lit(1), i), F.slice(w, i + 2, F.greatest(n - i - 1, F.lit(0)))).alias("key"),
+        F.when(i < n, i).otherwise(-1).alias("gap"),
+    ))
+    variants = stored(may.select("first", F.inline(variants)), "variants")
+    # The earliest line at each key and gap; keys where nothing meets are left behind here.
+    at_gap = variants.groupBy("key", "gap").agg(F.min("first").alias("same"), F.count("*").alias("lines"))
+    at_key = at_gap.groupBy("key").agg(
         F.min(F.when(F.col("gap") >= 0, F.col("same"))).alias("gapped"),
-        F.min(F.when(F.col("gap") < 0, F.col("same"))).alias("whole"),
-    ).where(F.col("gapped").isNotNull() & F.col("whole").isNotNull())
-    pairs = variants.join(at_gap, ["k1", "k2", "gap"]).select("h1", "h2", "first", F.col("same").alias("partner"))
-    pairs = pairs.unionByName(variants.join(at_key, ["k1", "k2"]).select(
-        "h1", "h2", "first", F.when(F.col("gap") < 0, F.col("gapped")).otherwise(F.col("whole")).alias("partner")
-    )).where(F.col("partner") < F.col("first")).select("h1", "h2", "partner").distinct()
-    own = may.select("h1", "h2", "words")
+        F.min(F.when(F.col("gap") < 0, F.col("same"))).alias("whole"), F.max("lines").alias("lines"),
+    ).where((F.col("gapped").isNotNull() & F.col("whole").isNotNull()) | (F.col("lines") > 1))
+    met = stored(variants.join(at_key.drop("lines"), "key"), "met")
+    same = met.groupBy("key", "gap").agg(F.min("first").alias("same"))
+    pairs = met.join(same, ["key", "gap"]).select("first", F.col("same").alias("partner")).unionByName(met.select(
+        "first", F.when(F.col("gap") < 0, F.col("gapped")).otherwise(F.col("whole")).alias("partner")
+    )).where(F.col("partner") < F.col("first")).distinct()
     theirs = may.select(F.col("first").alias("partner"), F.col("words").alias("theirs"))
-    verified = pairs.join(theirs, "partner").join(own, ["h1", "h2"]).where(one_edit("words", "theirs"))
-    return verified.select("h1", "h2").distinct()
+    verified = pairs.join(theirs, "partner").join(may, "first").where(one_edit("words", "theirs"))
+    return verified.select("first").distinct()
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no`` of every line that an earlier one equals or differs from by one word.
 
     Earlier means a smaller (doc_id, line_no); which lines were dropped themselves
-    does not matter. Lines are compared without outer blanks; blank lines and rows
-    with a null ``doc_id`` or text take no part. A row repeated under the same
-    ``doc_id`` counts as the same document.
+    does not matter. Lines are compared without outer blanks, words are what blanks separate; blank
+    lines and rows with a null ``doc_id`` or text take no part. A row repeated under
+    the same ``doc_id`` counts as the same document.
     """
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    lines = stored(distinct_lines(docs), "distinct")
-    near = near_repeats(lines).withColumn("near", F.lit(True))
-    known = lines.drop("line").join(near, ["h1", "h2"], "left")
-    places = _lines(docs).select(*_key(F.col("line")), "doc_id", "line_no")
+    places = _lines(docs).withColumn("words", _words("line")).select(
+        "doc_id", "line_no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), _halves().alias("halves")
+    )
+    places = stored(places, "places")
+    lines = stored(places.groupBy("h1", "h2").agg(
+        F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("halves").alias("halves")
+    ), "distinct")
+    near = stored(near_repeats(docs, lines).withColumn("near", F.lit(True)), "near")
+    known = lines.drop("halves").join(near, "first", "left")
     later = F.struct("doc_id", "line_no") != F.col("first")
-    return places.join(known, ["h1", "h2"]).where(F.col("near") | later).select("doc_id", "line_no")
+    return places.drop("halves").join(known, ["h1", "h2"]).where(F.col("near") | later).select("doc_id", "line_no")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text, and how many went. A null text stays null with 0 lines; a text whose
     lines all went is empty.
     """
-    gone = repeats(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = stored(repeats(docs), "repeats").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
     out = docs.drop("n_lines", "n_dropped").join(gone, F.col("doc_id") == F.col("_id"), "left")

@@ -105,7 +105,7 @@ ORACLE: dict[str, str] = {
         ), firsts AS (
             SELECT line, min({'d': doc_id, 'n': line_no}) AS f FROM lines WHERE line <> '' GROUP BY line
         ), worded AS (
-            SELECT line, f, list_filter(regexp_split_to_array(line, '[ \t\r\f\v]+'), lambda w: w <> '') AS ws
+            SELECT line, f, list_filter(string_split(line, ' '), lambda w: w <> '') AS ws
             FROM firsts
         ), gaps AS (
             SELECT line, f, i AS gap, array_to_string(ws[1:i - 1] || ws[i + 1:], ' ') AS k
