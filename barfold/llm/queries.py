@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.llm import byte_bpe, chat_format, decontaminate, language_id, line_dedup, permutation_index, simhash_pivots
+from barfold.llm import byte_bpe, chat_format, decontaminate, language_id, line_dedup, permutation_index, simhash_pivots, site_style_tree
 from barfold.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -69,6 +69,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = site_style_tree.main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_simhash_pivots": op2_simhash_pivots,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_site_style_tree": op8_site_style_tree,
 }
 
 ORACLE: dict[str, str] = {
