@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.llm import byte_bpe, chat_format, decontaminate, language_id, line_dedup, permutation_index, simhash_pivots, site_style_tree
+from barfold.llm import byte_bpe, chat_format, decontaminate, language_id, line_dedup, permutation_index, simhash_pivots, site_style_tree, warc
 from barfold.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -74,6 +74,14 @@ def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages carry no time: they count as captured one second after the other."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)))
+    return warc.capture_histories(table(spark, sf_dir, "pages"), at).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_index": op1_permutation_index,
     "op2_simhash_pivots": op2_simhash_pivots,
@@ -83,9 +91,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_site_style_tree": op8_site_style_tree,
+    "op10_warc": op10_warc,
 }
 
 ORACLE: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        c AS (SELECT page_id, strlen(html) AS bytes, hex, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, bytes AS payload_bytes,
+            array_to_string(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda b:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (5 * i + 1)::INT, 5))::INT >> b) & 31) + 1, 1)),
+                'string_agg', '')), '') AS payload_digest,
+            CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id > first THEN first END AS refers_to
+        FROM c
+    """,
     "op3_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
