@@ -27,7 +27,7 @@ def folder(spark, tmp_path_factory):
     for i in range(120):
         lang = list(SYLLABLES)[i % 3]
         docs.append((i, "\n".join(_text(rnd, lang, 12) for _ in range(6)), lang, f"src{i % 4}"))
-    docs += [(200, docs[3][1], "en", "src0"), (201, docs[4][1] + "\nmore", "fr", "src0"), (202, "漢字" * 900, "en", "src1"),
+    docs += [(200, docs[3][1], "en", "src0"), (201, docs[4][1] + "\nmore", "fr", "src0"), (202, "漢字" * 900, None, "src1"),
              (203, docs[0][1][:20] + "\n" + item, "en", "src1"), (204, None, "en", "src1"), (205, "", None, None)]
     path = str(tmp_path_factory.mktemp("spark-pipeline"))
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
