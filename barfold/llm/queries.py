@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.llm import byte_bpe, chat_format, decontaminate, language_id, line_dedup, permutation_index, simhash_pivots, site_style_tree, warc
+from barfold.llm import byte_bpe, chat_format, decontaminate, interpolated_lm, language_id, line_dedup, permutation_index, simhash_pivots, site_style_tree, warc
 from barfold.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -74,6 +74,10 @@ def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+def op9_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages carry no time: they count as captured one second after the other."""
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)))
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_site_style_tree": op8_site_style_tree,
+    "op9_interpolated_lm": op9_interpolated_lm,
     "op10_warc": op10_warc,
 }
 
