@@ -4,7 +4,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,98 +17,138 @@ from barfold.session import ship_by_value
 ship_by_value(__name__)
 
 DATE_IN_NAME = r"(\d{4}-\d{2}-\d{2})(?!.*\d{4}-\d{2}-\d{2})"  # last one in the path
+OLD_LAYOUT_MARKER = next(t for t, c in OLD_LAYOUT.items() if c == "symbol")
+LINES_PER_BATCH = 8192
+MAX_COLUMNS = 64  # columns of a day file; the layouts have 34 at most
+_LINES = "_path string, date date, header string, line string, _error string"
 
-_CELLS = [f.name for f in BARS.fields if f.name != "date"]
-_FILE_ROWS = T.StructType(
-    [T.StructField("date", T.DateType())]
-    + [T.StructField(c, T.StringType()) for c in (*_CELLS, "_file", "_error")]
-)
+
+def _one_row(*columns: Column) -> Column:
+    """Columns through a generator of one row: what is built on them does not compute them again."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\r\n\v\f\u00a0"))
+
+
+def _typed(field: T.StructField) -> Column:
+    """A bar column from its trimmed text cell: blank and unreadable become null."""
+    if field.name == "date":
+        return F.col("date")
+    text = F.col(field.name)
+    if field.dataType == T.StringType():
+        return F.when(text != "", text)
+    number = F.nullif(text.try_cast("double"), F.lit(float("nan")))
+    return number.try_cast("long") if field.dataType == T.LongType() else number
 
 
-def _typed_bars(date: Column, cells: dict[str, Column]) -> list[Column]:
-    """The bar columns from text cells: trimmed, blank and unreadable become null."""
-    def value(field: T.StructField) -> Column:
-        if field.name == "date":
-            return date
-        if field.name not in cells:
-            return F.lit(None).cast(field.dataType)
-        text = F.trim(cells[field.name])
-        text = F.when(text != "", text)
-        if field.dataType == T.StringType():
-            return text
-        number = text.try_cast("double")
-        number = F.when(~F.isnan(number), number)
-        return number.try_cast("long") if field.dataType == T.LongType() else number
-
-    return [value(f).alias(f.name) for f in BARS.fields]
-
-
-# ---------------------------------------------------------------- zipped day files
-
-def _day_cells(content: bytes) -> pd.DataFrame:
-    """Text cells of the single CSV inside one day's zip, under bar column names."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        raw = archive.read(archive.namelist()[0])
-    cells = pd.read_csv(io.BytesIO(raw), dtype=str, keep_default_na=False)
-    cells.columns = [c.strip() for c in cells.columns]
-    names = NEW_LAYOUT if NEW_LAYOUT_MARKER in cells.columns else OLD_LAYOUT
-    cells = cells[[c for c in names if c in cells.columns]].rename(columns=names)
-    if "symbol" not in cells.columns:
-        raise ValueError("no known day-file header")
-    if "instrument_type" in cells.columns:
-        cells = cells[cells["instrument_type"].str.strip() == EQUITY_INSTRUMENT]
-    return cells
-
-
-def _open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [f.name for f in _FILE_ROWS.fields]
+# ---------------------------------------------------------------- day files
+
+def _text_lines(path: str, content: bytes) -> Iterator[str]:
+    """Lines of a day file; of a zip its first member, unpacked as it is read."""
+    if not path.lower().endswith(".zip"):
+        yield from io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", newline=None)
+        return
+    with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(archive.infolist()[0]) as raw:
+        yield from io.TextIOWrapper(raw, "utf-8-sig", newline=None)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, date, header, line) of every line below the first one; one error row for a broken file."""
+    def batch_of(path, date, header, lines, error=None) -> pa.RecordBatch:
+        n = len(lines)
+        return pa.RecordBatch.from_arrays([
+            pa.array([path] * n, pa.string()), pa.array([date] * n, pa.date32()), pa.array([header] * n, pa.string()),
+            pa.array(lines, pa.string()), pa.array([error] * n, pa.string()),
+        ], names=["_path", "date", "header", "line", "_error"])
+
     for batch in batches:
-        for name, date, content in zip(batch["_file"], batch["date"], batch["content"]):
+        for i in range(batch.num_rows):
+            path, date, content = (batch.column(c)[i].as_py() for c in ("_path", "date", "content"))
+            held, good = [], []
             try:
-                if date is None:
-                    raise ValueError("no date in file name")
-                rows, error = _day_cells(bytes(content)), None
+                lines = _text_lines(path, content)
+                header = next(lines, "").rstrip("\n")
+                for line in lines:
+                    if line.strip():
+                        held.append(line.rstrip("\n"))
+                    if len(held) == LINES_PER_BATCH:
+                        good.append(pa.array(held))
+                        held = []
+                # Rows leave only when the whole file was readable: a cut-off day is an error, not a short day.
+                for part in (*good, pa.array(held, pa.string())):
+                    yield batch_of(path, date, header, part.to_pylist())
+                if not good and not held:
+                    yield batch_of(path, date, header, [None])
             except Exception as exc:  # one bad day must not stop the others
-                rows, error = pd.DataFrame(index=[0]), f"{type(exc).__name__}: {exc}"
-            rows = rows.reindex(columns=columns).astype(object)
-            rows["date"], rows["_file"], rows["_error"] = date, name, error
-            yield rows.where(rows.notna(), None)
+                yield batch_of(path, date, None, [None], f"{type(exc).__name__}: {exc}")
 
 
 def parse_day_files(files: DataFrame) -> DataFrame:
-    """Bars plus ``_file`` / ``_error`` from (path, content) rows of zipped day files.
+    """Bars plus ``_path`` / ``_file`` / ``_error`` from (path, content) rows of day files, zipped or plain.
 
-    One file is one exchange day, which is the natural task unit: it cannot be
-    split, and files are spread over tasks by the scan. Python only opens the
-    archive; typing happens in the JVM. Works on batch and streaming frames.
+    One file is one exchange day and the natural task unit. Python only unpacks lines;
+    layout, selection and typing are column expressions, the same for all
+    layouts and containers. The header is a file's first line. A file that cannot be read, has no
+    date in its name or no known header gives one row with ``_error``. Works
+    on batch and streaming frames.
     """
     named = files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("_file"),
-        F.try_to_date(F.regexp_extract("path", DATE_IN_NAME, 1)).alias("date"),
-        "content",
+        F.col("path").alias("_path"),
+        F.try_to_date(F.regexp_extract("path", DATE_IN_NAME, 1)).alias("date"), "content",
     )
-    opened = named.mapInPandas(_open_files, _FILE_ROWS)
-    cells = {c: F.col(c) for c in _CELLS}
-    return opened.select(*_typed_bars(F.col("date"), cells), "_file", "_error")
-
-
-def read_zip_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of every zip below ``path``."""
+    lines = named.mapInArrow(_unpack, _LINES)
+    titles = F.transform(F.split("header", ","), _trimmed)
+    csv = F.from_csv("line", ", ".join(f"c{i} string" for i in range(MAX_COLUMNS)), {
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    cells = lines.select("_path", "date", "_error", "line", _one_row(titles.alias("_titles"), csv.alias("_csv")))
+    cells = cells.select("*", _one_row(
+        F.array(*[F.col(f"_csv.c{i}") for i in range(MAX_COLUMNS)]).alias("_cells"),
+        F.array_contains("_titles", NEW_LAYOUT_MARKER).alias("_new"),
+        F.array_contains("_titles", OLD_LAYOUT_MARKER).alias("_old")))
+
+    def place(name: str) -> Column:
+        """Position of the title that a cell has in the row's layout."""
+        old, new = (next((t for t, c in layout.items() if c == name), None) for layout in (OLD_LAYOUT, NEW_LAYOUT))
+        title = F.lit(new) if old is None else F.when(F.col("_new"), new).otherwise(old)
+        return F.array_position("_titles", title).cast("int")
+
+    names = [*(f.name for f in BARS.fields if f.name != "date"), "instrument_type"]
+    cells = cells.select("*", _one_row(*(place(n).alias(f"_at_{n}") for n in names)))
+    texts = cells.select("_path", "date", "_error", "line", "_new", "_old", _one_row(*(
+        _trimmed(F.when(F.col(f"_at_{n}") > 0, F.get("_cells", F.col(f"_at_{n}") - 1))).alias(n) for n in names)))
+    known = F.coalesce(F.col("_new") | F.col("_old"), F.lit(False))
+    error = F.coalesce(
+        "_error", F.when(F.col("date").isNull(), "no date in file name"), F.when(~known, "no known day-file header"))
+    equity = ~F.col("_new") | F.coalesce(F.col("instrument_type") == EQUITY_INSTRUMENT, F.lit(False))
+    parsed = texts.withColumn("_error", error).filter(F.col("_error").isNotNull() | (F.col("line").isNotNull() & equity))
+    return parsed.select(
+        *(_typed(f).alias(f.name) for f in BARS.fields), "_path", F.regexp_extract("_path", r"([^/]+)$", 1).alias("_file"),
+        "_error")
+
+
+def read_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, content) of every file below ``path`` that matches ``pattern``."""
     return (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true").load(path).select("path", "content")
     )
 
 
+def read_zip_files(spark: SparkSession, path: str) -> DataFrame:
+    return read_files(spark, path, "*.zip")
+
+
 def good_bars(parsed: DataFrame) -> DataFrame:
     """The normalised bars of the files that parsed."""
-    return parsed.filter(F.col("_error").isNull()).drop("_file", "_error")
+    return parsed.filter(F.col("_error").isNull()).drop("_path", "_file", "_error")
 
 
 def quarantined_files(parsed: DataFrame) -> DataFrame:
     """(file, error) of the files that did not parse."""
     return parsed.filter(F.col("_error").isNotNull()).select(
-        F.col("_file").alias("file"), F.col("_error").alias("error"))
+        F.col("_file").alias("file"), F.col("_error").alias("error")).distinct()
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -116,47 +156,9 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return good_bars(parse_day_files(read_zip_files(spark, path)))
 
 
-# ---------------------------------------------------------------- unpacked CSV files
-
-def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Header line -> the files that carry it (one driver-side row per day file)."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    marker = rf"(^|,)\s*({NEW_LAYOUT_MARKER}|SYMBOL)\s*(,|$)"
-    found = (
-        lines.filter(F.col("value").rlike(marker))
-        .select("value", F.col("_metadata.file_path").alias("file")).distinct()
-    )
-    groups: dict[str, list[str]] = {}
-    for row in found.collect():
-        groups.setdefault(row["value"], []).append(row["file"])
-    return groups
-
-
 def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Normalised bars of unpacked day CSVs (splittable, parsed in the JVM).
-
-    The CSV source matches columns by position, so files are grouped by header
-    line and every group is read with its own explicit all-text schema.
-    """
-    out = None
-    for header, files in header_groups(spark, path).items():
-        names = [h.strip() for h in header.split(",")]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        cells = spark.read.option("header", True).schema(schema).csv(files)
-        bars = _bars_from_cells(cells, names)
-        out = bars if out is None else out.unionByName(bars)
-    if out is None:
-        raise FileNotFoundError(f"no day files below {path}")
-    return out
-
-
-def _bars_from_cells(cells: DataFrame, names: list[str]) -> DataFrame:
-    layout = NEW_LAYOUT if NEW_LAYOUT_MARKER in names else OLD_LAYOUT
-    at = {layout[n]: F.col(f"`{n}`") for n in names if n in layout}
-    if "instrument_type" in at:
-        cells = cells.filter(F.trim(at["instrument_type"]) == EQUITY_INSTRUMENT)
-    date = F.try_to_date(F.regexp_extract("_metadata.file_path", DATE_IN_NAME, 1))
-    return cells.select(*_typed_bars(date, at))
+    """Normalised bars of every unpacked day file below ``path``."""
+    return good_bars(parse_day_files(read_files(spark, path, "*.csv")))
 
 
 # ---------------------------------------------------------------- the stored bar table
@@ -174,11 +176,12 @@ def ingest_stats(bars: DataFrame) -> DataFrame:
 def write_by_year(bars: DataFrame, path: str) -> None:
     """Rebuildable store, one directory per year; only years present are replaced.
 
-    Rows keep the partitioning they arrive with, so a year is written by many
-    tasks at scale; AQE has already merged small ones.
+    Rows are dealt out by year, large years to several tasks, and ordered by security, so that a
+    year has few files and a filter on isin skips row groups.
     """
     (
-        bars.withColumn("year", F.year("date")).write
+        bars.withColumn("year", F.year("date")).hint("rebalance", F.col("year"))
+        .sortWithinPartitions("year", "isin", "date").write
         .mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("year").parquet(path)
     )

@@ -1,11 +1,12 @@
 """Incremental, restartable ingestion of newly landed day files."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barfold.operators.curate import dedupe_bars
 from barfold.schemas import BARS
+from barfold.session import stage_table
 from barfold.sources.bars import good_bars, parse_day_files
 
 _FILES = T.StructType([
@@ -28,39 +29,96 @@ def landed_zip_stream(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _store_batch(target: str):
-    def store(files: DataFrame, batch_id: int) -> None:
-        (
-            good_bars(parse_day_files(files))
-            .withColumn("batch", F.lit(batch_id).cast("long"))
-            .withColumn("year", F.year("date"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch", "year").parquet(target)
-        )
-    return store
+_LOG = "path string, error string, batch long"
+
+
+def _log_path(target: str) -> str:
+    return f"{target.rstrip('/')}-files"
+
+
+def _store(
+    files: DataFrame, batch: int, target: str, old_bars: DataFrame | None = None, old_log: DataFrame | None = None
+) -> None:
+    """Bars of a batch into its (year, batch) partitions, then its files with their errors into the log."""
+    parsed = stage_table(parse_day_files(files), "parsed")
+    number = F.lit(batch).cast("long")
+    bars = good_bars(parsed).withColumns({"year": F.year("date"), "batch": number})
+    log = parsed.select(F.col("_path").alias("path"), F.col("_error").alias("error")).distinct().withColumn("batch", number)
+    if old_bars is not None:
+        bars, log = bars.unionByName(old_bars), log.unionByName(old_log)
+    for rows, path, parts in ((bars, target, ("year", "batch")), (log, _log_path(target), ("batch",))):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def landed_files(spark: SparkSession, target: str) -> DataFrame:
+    """(path, error, batch) of every file read so far; ``error`` is null where its bars are stored."""
+    try:
+        return spark.read.schema(_LOG).parquet(_log_path(target))
+    except AnalysisException:
+        return spark.createDataFrame([], _LOG)
+
+
+def failed_files(spark: SparkSession, target: str) -> DataFrame:
+    return landed_files(spark, target).filter(F.col("error").isNotNull())
+
+
+def retry_failed(spark: SparkSession, target: str, at_most: int = 1000) -> None:
+    """Read failed files again: ``at_most`` of them, those of the smallest path first, the rest in later calls.
+
+    A repaired file enters the bars under the batch it landed in; the others stay in the log as failed.
+    """
+    tried = failed_files(spark, target).orderBy("path").limit(at_most).collect()  # bounded by at_most
+    found = [r for r in tried if _exists(spark, r.path)]
+    for batch in sorted({r.batch for r in found}):
+        paths = [r.path for r in found if r.batch == batch]
+        own = F.col("batch") == batch
+        log = stage_table(landed_files(spark, target).filter(own & ~F.col("path").isin(paths)), "log")
+        bars = stage_table(_stored(spark, target).filter(own), "present")
+        _store(spark.read.format("binaryFile").load(paths).select("path", "content"), batch, target, bars, log)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def ingest_incremental(files: DataFrame, target: str, checkpoint: str) -> None:
     """Store everything that landed since the last call, then stop.
 
-    The checkpoint remembers which files were read, so a second call re-reads
-    nothing. ``foreachBatch`` may repeat a batch after a failure; each batch
-    owns its own partitions and replaces them, so a repeat leaves no duplicates
-    and needs no look at the stored table.
+    Files that failed before are read again first. The checkpoint remembers which files were
+    read, so a second call re-reads nothing else. Every landed file is either in
+    the bars or in the log with its error. ``foreachBatch`` may repeat a batch after a failure; each
+    batch owns its partitions and replaces them, so a repeat leaves no duplicates.
     """
+    retry_failed(files.sparkSession, target)
     query = (
         files.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(_store_batch(target)).start()
+        .foreachBatch(lambda batch, number: _store(batch, number, target)).start()
     )
     query.awaitTermination()
 
 
+def _stored(spark: SparkSession, target: str) -> DataFrame:
+    try:
+        return spark.read.schema(_STORED).parquet(target)
+    except AnalysisException:
+        return spark.createDataFrame([], _STORED)
+
+
 def load_ingested(spark: SparkSession, target: str) -> DataFrame:
     """All ingested bars."""
-    return spark.read.schema(_STORED).parquet(target).drop("batch", "year")
+    return _stored(spark, target).drop("batch", "year")
 
 
 def load_ingested_latest(spark: SparkSession, target: str) -> DataFrame:
-    """All ingested bars, with a restated day resolved to one row per (isin, date)."""
-    return dedupe_bars(load_ingested(spark, target))
+    """The bars of each date as its last batch states them: a restated day replaces the day before it.
+
+    Rows are not merged, whatever their isin; a date's batches are its only key.
+    """
+    rows = _stored(spark, target)
+    last = rows.groupBy("date").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["date", "batch"], "left_semi").drop("batch", "year")

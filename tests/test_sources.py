@@ -11,7 +11,7 @@ from barfold.sources.reference_data import (
 )
 from barfold.sources.sinks import write_report, write_review_queue
 from barfold.streaming.ingest import (
-    ingest_incremental, landed_zip_stream, load_ingested, load_ingested_latest,
+    failed_files, ingest_incremental, landed_zip_stream, load_ingested, load_ingested_latest,
 )
 from tests.helpers import bar, bars, same_rows
 
@@ -70,11 +70,12 @@ def test_unpacked_layouts(spark, tmp_path):
     for name, text in DAYS.items():
         (tmp_path / f"{name}.csv").write_text(text)
     _check(src.read_bars_csv(spark, str(tmp_path)))
-    empty = tmp_path / "none"
-    empty.mkdir()
-    (empty / "x.csv").write_text("a,b\n")
-    with pytest.raises(FileNotFoundError):
-        src.read_bars_csv(spark, str(empty))
+    # A row that looks like a header is a row; a file without a known header is set aside, not lost.
+    (tmp_path / "2024-02-01.csv").write_text(OLD + OLD.splitlines()[1].replace("ACME", "SYMBOL") + "\n")
+    (tmp_path / "2024-02-02.csv").write_text("a,b\n1,2\n")
+    parsed = src.parse_day_files(src.read_files(spark, str(tmp_path), "*.csv"))
+    assert {r["symbol"] for r in src.good_bars(parsed).filter("date = date'2024-02-01'").collect()} == {"ACME", "SYMBOL"}
+    assert [tuple(r) for r in src.quarantined_files(parsed).collect()] == [("2024-02-02.csv", "no known day-file header")]
 
 
 def test_layout_maps_cover_the_bar_columns():
@@ -123,6 +124,37 @@ def test_incremental_reads_each_file_once(spark, landed, tmp_path_factory):
     assert load_ingested_latest(spark, target).filter("date = date'2024-01-04'").count() == 1
 
 
+def test_failed_files_are_kept_and_read_again(spark, landed, tmp_path_factory):
+    out = tmp_path_factory.mktemp("retry")
+    target, checkpoint = str(out / "bars"), str(out / "cp")
+
+    def run():
+        ingest_incremental(landed_zip_stream(spark, str(landed)), target, checkpoint)
+        return {r["path"].rsplit("/", 1)[1] for r in failed_files(spark, target).collect()}
+
+    assert run() == {"2024-01-02.zip", "2024-01-03.zip"}
+    land(landed, "2024-01-02", OLD)
+    assert run() == {"2024-01-03.zip"} and load_ingested(spark, target).count() == 5
+    (landed / "2024" / "2024-01-03.zip").unlink()
+    assert run() == {"2024-01-03.zip"} and load_ingested(spark, target).count() == 5
+
+
+def test_latest_restatement_keeps_rows_without_isin(spark, tmp_path):
+    landing, target, checkpoint = tmp_path / "in", str(tmp_path / "bars"), str(tmp_path / "cp")
+    early = DAYS[next(n for n in DAYS if n.startswith("1998"))]
+    for day in ("1998-01-05", "2024-01-05", "2024-01-06"):
+        land(landing, day, early if day < "2000" else OLD)
+    ingest_incremental(landed_zip_stream(spark, str(landing)), target, checkpoint)
+    land(landing, "2024-01-05-again", OLD.replace("10.5,", "99.0,"))
+    land(landing, "2024-01-06-again", OLD.replace("10.5,", "1.0,"))
+    ingest_incremental(landed_zip_stream(spark, str(landing)), target, checkpoint)
+    got = load_ingested_latest(spark, target).collect()
+    assert len([r for r in got if r["date"].year == 1998]) == len(early.splitlines()) - 1
+    again = {r["date"].day: r for r in got if r["date"].year == 2024}
+    assert len(got) == len(early.splitlines()) + 1
+    assert 99.0 in again[5].asDict().values() and 1.0 in again[6].asDict().values()
+
+
 def test_actions_feed(spark, tmp_path):
     (tmp_path / "a.json").write_text("\n".join(
         '{"isin":"I","symbol":"S","series":"EQ","exDate":"%s","subject":"Bonus 1:1","other":1}' % d
