@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def signum_deadzone(pred: Column, deadzone: float = 0.0) -> Column:
-    """-1, 0 or +1; zero inside the dead zone; null stays null."""
-    return F.when(F.abs(pred) > deadzone, F.signum(pred)).when(pred.isNotNull(), F.lit(0.0))
+    """-1, 0 or +1; zero inside the dead zone and for a null or NaN forecast."""
+    return F.when(is_active(pred, deadzone), F.signum(pred)).otherwise(0.0)
+
+
+def is_active(pred: Column, deadzone: float = 0.0) -> Column:
+    """Whether a forecast takes a position; null and NaN do not."""
+    return F.coalesce((F.abs(pred) > deadzone) & ~F.isnan(pred), F.lit(False))
 
 
 def cyclical(position: Column, period: int) -> tuple[Column, Column]:
@@ -41,4 +46,4 @@ def sharpe(returns: Column, periods_per_year: int = 252) -> Column:
 def hit_share(pred: Column, actual: Column, deadzone: float = 0.0) -> Column:
     """Aggregate: share of active rows whose sign is right; null if none is active."""
     right = (F.signum(pred) == F.signum(actual)).cast("double")
-    return F.avg(F.when(F.abs(pred) > deadzone, right))
+    return F.avg(F.when(is_active(pred, deadzone), right))

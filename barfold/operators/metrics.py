@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barfold.functions.arrays import array_mean, pinball_terms, quantiles_cross
 from barfold.functions.scalars import hit_share, sharpe, signum_deadzone
-from barfold.operators.ranking import ISIN_PREFIX, average_ranks
+from barfold.operators.ranking import ISIN_PREFIX, average_ranks, missing
 from barfold.schemas import QUANTILES
 
 TRADING_DAYS = 252
@@ -115,16 +115,23 @@ def rank_ic_by_date(
     by: Sequence[str] = ("fold", "date"),
     min_names: int = MIN_NAMES,
     keep_skipped: bool = False,
+    incomplete: str = "skip",
 ) -> DataFrame:
     """Spearman correlation of forecast and outcome across each date's names.
 
     Dates with too few names or with a constant side have no IC; they are
-    dropped, or kept with a null one if ``keep_skipped``.
+    dropped, or kept with a null one if ``keep_skipped``. A null or NaN forecast or outcome
+    makes its date incomplete: it has no IC, or with ``incomplete="drop_rows"`` the IC of the other
+    names.
     """
+    if incomplete not in ("skip", "drop_rows"):
+        raise ValueError(f"unknown treatment of incomplete dates {incomplete!r}")
     keys = list(by)
-    scored = preds.select(*keys, "pred", "actual").filter(
-        F.col("pred").isNotNull() & F.col("actual").isNotNull())
-    ranked = average_ranks(scored, keys, ["pred", "actual"])
+    rows = preds.select(*keys, "pred", "actual")
+    gap = missing(F.col("pred")) | missing(F.col("actual"))
+    if incomplete == "drop_rows":
+        rows = rows.filter(~gap)
+    ranked = average_ranks(rows, keys, ["pred", "actual"])
     varies = (F.min("pred") < F.max("pred")) & (F.min("actual") < F.max("actual"))
     # Average ranks always sum to n(n+1)/2, so plain sums of products are enough. Ranks are
     # multiples of one half: the sums are exact and do not depend on the merge order.
@@ -133,9 +140,9 @@ def rank_ic_by_date(
     cross = F.sum(F.col("pred_rank") * F.col("actual_rank")) - centre
     own = [F.sum(F.col(c) * F.col(c)) - centre for c in ("pred_rank", "actual_rank")]
     ic = F.try_divide(cross, F.sqrt(own[0]) * F.sqrt(own[1]))
+    scored = (F.count(F.lit(1)) >= min_names) & varies & (F.count_if(gap) == 0)
     out = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_names"),
-        F.when((F.count(F.lit(1)) >= min_names) & varies, ic).alias("ic"))
+        F.count(F.lit(1)).alias("n_names"), F.when(scored, ic).alias("ic"))
     return out if keep_skipped else out.filter(F.col("ic").isNotNull())
 
 

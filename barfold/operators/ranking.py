@@ -16,10 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barfold.session import stage_table
+
 BUCKETS_PER_E_FOLD = 256
 QUANTILE_GRIDS = (256, 1 << 20)  # buckets per e-fold, coarse then fine
-WHOLE_GROUP_ROWS = 1_000_000  # a group up to this size is ranked in one task
-ISIN_PREFIX = 6  # characters of an isin that form its bucket
+ISIN_PREFIX = 8  # leading characters of an isin that form its bucket: four of the symbol in a fallback
 HASH_DIGITS = 4  # leading hex digits of a hash that form its bucket
 
 
@@ -57,50 +58,40 @@ def add_offsets(
     )
 
 
+def missing(value: Column) -> Column:
+    """Null and NaN alike."""
+    return value.isNull() | F.isnan(value)
+
+
 def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per distinct value: how often it occurs and how many rows lie below it."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+    counts = df.filter(~missing(F.col(value))).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n_equal"))
     bucketed = counts.withColumn("_bucket", magnitude_bucket(F.col(value)))
     return add_offsets(bucketed, keys, "_bucket", [value], "n_equal", "n_below").drop("_bucket")
 
 
-def _ranks_of_small_groups(df: DataFrame, keys: list[str], values: Sequence[str], suffix: str):
-    out = df
-    for value in values:
-        order = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
-        ties = Window.partitionBy(*keys, value)
-        rank = F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
-        out = out.withColumn(value + suffix, F.when(F.col(value).isNotNull(), rank))
-    return out
-
-
-def _ranks_of_large_groups(df: DataFrame, keys: list[str], values: Sequence[str], suffix: str):
-    out = df
-    for value in values:
-        ranks = value_positions(df, keys, value).select(
-            *keys, value,
-            (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(value + suffix))
-        out = out.join(ranks, [*keys, value], "left")
-    return out.select(*df.columns, *[v + suffix for v in values])
-
-
 def average_ranks(
     df: DataFrame, keys: Sequence[str], values: Sequence[str], suffix: str = "_rank"
 ) -> DataFrame:
-    """Tie-averaged 1-based rank of each value column within ``keys``.
+    """Tie-averaged 1-based rank of each (double) value column within ``keys``.
 
-    Groups are counted first. Ordinary ones are ranked by a window, all value
-    columns on one exchange; groups above ``WHOLE_GROUP_ROWS`` take the bucketed
-    way. There is at most one large group per that many rows, which bounds the
-    broadcast list. Without large groups that branch is empty and AQE drops it.
+    One way for groups of every size: the value columns are stacked and equal values
+    collapsed by one partially aggregated count, the counts placed through buckets, and
+    the ranks stored and joined back. Null and NaN have no rank and do not count.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    large = F.broadcast(sizes.filter(F.col("_size") > WHOLE_GROUP_ROWS).select(*keys))
-    small = _ranks_of_small_groups(df.join(large, keys, "left_anti"), keys, values, suffix)
-    return small.unionByName(
-        _ranks_of_large_groups(df.join(large, keys, "left_semi"), keys, values, suffix))
+    stacked = df.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(v).alias("_column"), F.col(v).cast("double").alias("_value")) for v in values])))
+    placed = value_positions(stacked, [*keys, "_column"], "_value")
+    ranks = stage_table(placed.select(
+        *keys, "_column", "_value", (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias("_rank")), "ranks")
+    out = df
+    for v in values:
+        own = ranks.filter(F.col("_column") == v).select(
+            *keys, F.col("_value").alias(v), F.col("_rank").alias(v + suffix))
+        out = out.join(own, [*keys, v], "left")
+    return out.select(*df.columns, *[v + suffix for v in values])
 
 
 def exact_quantiles(
@@ -178,7 +169,7 @@ def position_by_isin(df: DataFrame, within: Sequence[str], out: str) -> DataFram
     """0-based position in (isin, ``within``) order.
 
     Rows are numbered inside their security; securities get their offset from
-    per-security counts, themselves placed through an isin-prefix bucket.
+    per-security counts, themselves placed through a bucket of the isin.
     """
     sizes = df.groupBy("isin").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_bucket", F.substring("isin", 1, ISIN_PREFIX))

@@ -13,7 +13,7 @@ from barfold.operators.features import by_date, trailing
 from barfold.operators.universe import restrict_to_universe
 from barfold.schemas import FEATURE_COLUMNS, TARGET_COLUMN
 
-PANEL_CHUNK = 512
+PANEL_SHARDS = 8
 
 
 def _any_missing(columns: Sequence[str]) -> Column:
@@ -62,9 +62,21 @@ def sample_index(
     )
 
 
-def _trailing_window(seq_len: int, columns: Sequence[str]) -> Column:
-    row = F.array(*[F.col(c) for c in columns])
-    return F.collect_list(row).over(trailing(seq_len))
+def _windows(state: DataFrame, seq_len: int, columns: Sequence[str]) -> DataFrame:
+    """The usable rows of ``state`` with their ``window``.
+
+    A security's rows are gathered once, in order (bounded by the calendar), and sliced at the
+    usable rows only; no frame is built for the others.
+    """
+    cells = F.array(*[F.col(c) for c in columns])
+    rest = [c for c in state.columns if c not in columns]
+    packed = state.groupBy("isin").agg(F.sort_array(F.collect_list(F.struct(
+        "array_idx", cells.alias("_cells"), *[c for c in rest if c not in ("isin", "array_idx")]))).alias("_rows"))
+    usable = packed.select(
+        "isin", F.transform("_rows", lambda r: r["_cells"]).alias("_all"),
+        F.inline(F.filter("_rows", lambda r: r["_usable"])))
+    window = F.slice("_all", F.col("array_idx") - (seq_len - 2), seq_len)
+    return usable.withColumn("window", window).drop("_all", "_cells")
 
 
 def sample_windows(
@@ -74,17 +86,13 @@ def sample_windows(
     as_float: bool = False,
 ) -> DataFrame:
     """Samples with their ``seq_len x n_features`` window and target."""
-    state = _with_window_state(features, seq_len, feature_columns)
-    window = _trailing_window(seq_len, feature_columns)
-    if as_float:
-        window = window.cast("array<array<float>>")
-    return (
-        state.withColumn("window", window)
-        .filter(F.col("_usable") & F.col("_next_date").isNotNull())
-        .select("isin", F.col("date").alias("feature_end_date"),
-                F.col("_next_date").alias("label_date"), "array_idx", "window",
-                F.col(TARGET_COLUMN).alias("target"))
-    )
+    state = _with_window_state(features, seq_len, feature_columns).select(
+        "isin", "date", "array_idx", "_next_date", "_usable", TARGET_COLUMN, *feature_columns)
+    rows = _windows(state, seq_len, feature_columns).filter(F.col("_next_date").isNotNull())
+    window = F.col("window").cast("array<array<float>>") if as_float else F.col("window")
+    return rows.select(
+        "isin", F.col("date").alias("feature_end_date"), F.col("_next_date").alias("label_date"), "array_idx",
+        window.alias("window"), F.col(TARGET_COLUMN).alias("target"))
 
 
 def next_market_date(rows: DataFrame) -> DataFrame:
@@ -117,10 +125,11 @@ def panel_index(
     state = _with_window_state(members, seq_len, feature_columns)
     columns = ["isin", F.col("date").alias("feature_end_date"), "array_idx",
                F.col("_next_date").alias("target_date"), F.col(TARGET_COLUMN).alias("target")]
+    state = state.select(
+        "isin", "date", "array_idx", "_next_date", "_usable", TARGET_COLUMN, *(feature_columns if with_windows else ()))
     if with_windows:
-        state = state.withColumn("window", _trailing_window(seq_len, feature_columns))
         columns.append("window")
-    valid = state.filter(F.col("_usable")).select(*columns)
+    valid = (_windows(state, seq_len, feature_columns) if with_windows else state.filter("_usable")).select(*columns)
     days = next_market_date(members).select(
         F.col("date").alias("feature_end_date"), F.col("next_date").alias("label_date"))
     sizes = valid.groupBy("feature_end_date").agg(F.count(F.lit(1)).alias("n_names"))
@@ -137,24 +146,27 @@ def panel_tensors(
     seq_len: int = 120,
     min_symbols_per_date: int = 5,
     feature_columns: Sequence[str] = FEATURE_COLUMNS,
-    chunk_names: int = PANEL_CHUNK,
+    shards: int = PANEL_SHARDS,
 ) -> DataFrame:
-    """Per date, the ordered names with their stacked windows and targets.
+    """Per date and shard, the ordered names with their stacked windows and targets.
 
-    A panel of up to ``chunk_names`` names is one row (chunk 0 of 1). A larger
-    one is spread over ``n_chunks`` rows by a hash of the name, every name kept,
-    because a cross-section of any size must not be built inside one row.
+    Every panel, whatever its size, is spread over ``shards`` rows by a hash of the name (a shard
+    without names gives no row), so that its names need not fit into one row; the caller sets
+    the number by the largest panel, and puts a panel together by its date.
     """
     rows = panel_index(features, universe, seq_len, min_symbols_per_date, feature_columns,
                        with_windows=True)
-    n_chunks = F.ceil(F.col("n_names") / chunk_names).cast("int")
-    keyed = rows.withColumn("n_chunks", n_chunks).withColumn(
-        "chunk", F.pmod(F.xxhash64("isin"), F.col("n_chunks")).cast("int"))
+    keyed = rows.withColumn("shard", panel_shard(F.col("isin"), shards))
     return (
-        keyed.groupBy("feature_end_date", "label_date", "n_names", "n_chunks", "chunk")
+        keyed.groupBy("feature_end_date", "label_date", "n_names", "shard")
         .agg(F.sort_array(F.collect_list(F.struct("isin", "window", "target"))).alias("_p"))
-        .select("feature_end_date", "label_date", "n_names", "n_chunks", "chunk",
+        .select("feature_end_date", "label_date", "n_names", "shard",
                 F.col("_p.isin").alias("isins"),
                 F.col("_p.window").alias("windows"),
                 F.col("_p.target").alias("targets"))
     )
+
+
+def panel_shard(isin: Column, shards: int) -> Column:
+    """Shard of a name: the first 28 bits of its MD5, modulo the number of shards."""
+    return (F.conv(F.substring(F.md5(isin), 1, 7), 16, 10).cast("int") % shards).cast("int")

@@ -10,9 +10,6 @@ from barfold.operators.ranking import exact_quantiles
 from barfold.operators.walkforward import filter_split
 from barfold.schemas import QUANTILES, TARGET_COLUMN
 
-MAX_PANEL_NAMES = 20_000
-
-
 def fit_ar1(assigned: DataFrame, x: str = "ret_1", y: str = TARGET_COLUMN) -> DataFrame:
     """(fold, slope, intercept) of the next return on the current one."""
     return filter_split(assigned, "train").groupBy("fold").agg(
@@ -71,28 +68,19 @@ def score_panels(
     return rows.join(panel, keys).select(*rows.columns, score.alias(out))
 
 
-def score_panels_pandas(
+def score_panels_by(
     rows: DataFrame,
-    fn: Callable[[pd.DataFrame], pd.Series],
+    statistics: dict[str, Column],
+    fn: Callable[..., pd.Series],
+    columns: Sequence[str],
     by: Sequence[str] = ("fold", "date"),
     out: str = "pred",
-    max_names: int = MAX_PANEL_NAMES,
 ) -> DataFrame:
-    """Score each whole panel with a Python function (a trained model, say).
+    """``score_panels`` with a Python function (a trained model, say) in the expression's place.
 
-    Such a function needs all names of a date together, so this is for panels
-    over a selected universe. Panel sizes are counted first and a panel above
-    ``max_names`` fails the job before any group is gathered; use
-    ``score_panels`` for cross-sections of unlimited size.
+    ``fn`` gets ``columns`` (of the row or of ``statistics``) as series of any rows, in batches, and
+    returns their scores. What a score needs of the rest of its panel comes as a statistic, so
+    panels of any size are scored without gathering one.
     """
-    keys = list(by)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    too_big = sizes.filter(F.col("_n") > max_names).take(1)
-    if too_big:
-        raise ValueError(f"panel too large for one task: {too_big[0].asDict()}")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(**{out: fn(pdf)})
-
-    return rows.groupBy(*keys).applyInPandas(run, f"{schema}, `{out}` double")
+    scorer = F.pandas_udf(lambda *values: fn(*values), "double")
+    return score_panels(rows, statistics, scorer(*columns), by, out)

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.operators.quality import session_ordinals
 from barfold.operators.ranking import position_by_hash, position_by_isin
 
 EMBARGO_DAYS = 10
@@ -47,19 +46,19 @@ def yearly_folds_of(rows: DataFrame) -> DataFrame:
 def session_cutoffs(
     calendar: DataFrame, folds: Sequence[Fold], embargo_sessions: int
 ) -> dict[str, dt.date]:
-    """Per fold, the date ``embargo_sessions`` market days before its test start."""
-    days = session_ordinals(calendar)
-    picks = []
-    for f in folds:
-        before = days.filter(F.col("date") < F.lit(f.test_start))
-        picks.append(
-            before.orderBy(F.col("ordinal").desc()).limit(embargo_sessions)
-            .agg(F.min("date").alias("cutoff")).select(F.lit(f.label).alias("fold"), "cutoff"))
-    found = picks[0]
-    for p in picks[1:]:
-        found = found.unionByName(p)
-    rows = {r["fold"]: r["cutoff"] for r in found.collect()}  # one row per fold
-    return {f.label: rows[f.label] or f.test_start for f in folds}
+    """Per fold, the date ``embargo_sessions`` market days before its test start.
+
+    One aggregate over the market days (a calendar) for all folds; one row comes back.
+    """
+    days = F.sort_array(F.collect_set("date"))
+
+    def cutoff(f: Fold) -> Column:
+        before = F.filter("days", lambda d: d < F.lit(f.test_start))
+        return F.get(before, F.greatest(F.size(before) - embargo_sessions, F.lit(0)))
+
+    row = calendar.agg(days.alias("days")).select(*[
+        cutoff(f).alias(f"c{i}") for i, f in enumerate(folds)]).first()
+    return {f.label: row[i] or f.test_start for i, f in enumerate(folds)}
 
 
 def _cutoff(fold: Fold, embargo_days: int, cutoffs: dict[str, dt.date] | None) -> dt.date:
@@ -68,6 +67,19 @@ def _cutoff(fold: Fold, embargo_days: int, cutoffs: dict[str, dt.date] | None) -
     return fold.test_start - dt.timedelta(days=embargo_days)
 
 
+def _embargo_cutoffs(
+    folds: Sequence[Fold], embargo_days: int, unit: str, calendar: DataFrame | None
+) -> dict[str, dt.date] | None:
+    """Cutoffs by market days; none if the embargo counts calendar days."""
+    if unit == "days":
+        return None
+    if unit != "sessions":
+        raise ValueError(f"unknown embargo unit {unit!r}")
+    if calendar is None:
+        raise ValueError("a session embargo needs the market calendar")
+    return session_cutoffs(calendar, folds, embargo_days)
+
+
 def assign_splits(
     samples: DataFrame,
     folds: Sequence[Fold],
@@ -83,13 +95,7 @@ def assign_splits(
     after the fold give no row for it. With ``embargo_unit="sessions"`` the
     embargo counts days of ``calendar``.
     """
-    cutoffs = None
-    if embargo_unit == "sessions":
-        if calendar is None:
-            raise ValueError("a session embargo needs the market calendar")
-        cutoffs = session_cutoffs(calendar, folds, embargo_days)
-    elif embargo_unit != "days":
-        raise ValueError(f"unknown embargo unit {embargo_unit!r}")
+    cutoffs = _embargo_cutoffs(folds, embargo_days, embargo_unit, calendar)
 
     def membership(f: Fold) -> Column:
         split = F.when(F.col("label_date") < F.lit(_cutoff(f, embargo_days, cutoffs)), "train").when(
@@ -118,23 +124,36 @@ def fold_counts(
     return sizes.withColumn("usable", usable)
 
 
+def panel_fold_counts(
+    assigned: DataFrame, min_train: int = MIN_TRAIN_PANELS, min_test: int = MIN_TEST_PANELS
+) -> DataFrame:
+    """``fold_counts`` of panel dates instead of names: each (fold, split, date) counts once."""
+    panels = assigned.select("fold", "split", "feature_end_date").distinct()
+    return fold_counts(panels, min_train, min_test)
+
+
 def leakage_guard(
     train: DataFrame,
     folds: Sequence[Fold],
     embargo_days: int = EMBARGO_DAYS,
     realized_column: str = "label_date",
+    embargo_unit: str = "days",
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Training rows whose label resolves on or after their fold's embargo cutoff.
 
-    Independent of ``assign_splits``: it looks only at the assembled rows. Pass
+    Independent of ``assign_splits``: it looks only at the assembled rows. A row of an unknown
+    or null fold, or without a label date, is a violation too. Pass
     ``realized_column="target_date"`` to check when a panel target really became
-    known rather than its nominal label date.
+    known rather than its nominal label date; ``embargo_unit`` and ``calendar`` are those of
+    ``assign_splits``.
     """
+    cutoffs = _embargo_cutoffs(folds, embargo_days, embargo_unit, calendar)
     limits = F.create_map(*[
-        F.lit(x) for f in folds
-        for x in (f.label, f.test_start - dt.timedelta(days=embargo_days))])
-    return train.withColumn("embargo_cutoff", limits[F.col("fold")]).filter(
-        F.col(realized_column) >= F.col("embargo_cutoff"))
+        F.lit(x) for f in folds for x in (f.label, _cutoff(f, embargo_days, cutoffs))])
+    safe = F.col(realized_column) < F.col("embargo_cutoff")
+    return train.withColumn("embargo_cutoff", F.try_element_at(limits, F.col("fold"))).filter(
+        ~F.coalesce(safe, F.lit(False)))
 
 
 def assert_no_leakage(train: DataFrame, folds: Sequence[Fold], **guard) -> None:

@@ -102,7 +102,7 @@ def _panel_features(spark, names, n_days, history_from=3):
 def test_panels(spark):
     feats = _panel_features(spark, "ABCDE", 10)
     universe = spark.createDataFrame([(k,) for k in "ABCDE"], "isin string")
-    rows = panel_tensors(feats, universe, seq_len=4, min_symbols_per_date=3).orderBy("feature_end_date").collect()
+    rows = panel_tensors(feats, universe, seq_len=4, min_symbols_per_date=3, shards=1).orderBy("feature_end_date").collect()
     assert [r["feature_end_date"].day for r in rows] == [4, 5, 6, 7, 8, 9]
     for r in rows:
         assert r["isins"] == list("ABCDE") and r["n_names"] == 5
@@ -118,8 +118,8 @@ def test_large_panels_are_spread_not_cut(spark):
     names = [f"N{i:02d}" for i in range(20)]
     feats = _panel_features(spark, names, 6)
     universe = spark.createDataFrame([(k,) for k in names], "isin string")
-    rows = panel_tensors(feats, universe, 4, 3, chunk_names=6).collect()
-    assert all(r["n_chunks"] == 4 for r in rows)
+    rows = panel_tensors(feats, universe, 4, 3, shards=4).collect()
+    assert {r["shard"] for r in rows} == {0, 1, 2, 3}
     for d in {r["feature_end_date"] for r in rows}:
         assert sorted(n for r in rows if r["feature_end_date"] == d for n in r["isins"]) == names
 

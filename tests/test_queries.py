@@ -1,7 +1,4 @@
-"""The registered queries against their SQL twins on the smallest tables.
-
-All of them are compared by ``tools/check_oracle.py``; here a spread of cheap ones.
-"""
+"""The registered queries against their SQL twins on the smallest tables."""
 
 import os
 
@@ -10,11 +7,10 @@ import pytest
 
 import __spark_entry__ as spark_entry
 from tools.check_oracle import TABLES, table
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-CHOSEN = ["dedupe_bars", "apply_adjustment", "quality_per_isin", "liquid_universe", "sample_index",
-          "shuffle_labels", "backtest_rows_pooled", "rank_ic_summary", "flagship_rank_ic"]
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
 
@@ -27,10 +23,10 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(spark_entry.queries())
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, con, name):
     df = spark_entry.queries()[name](spark, SF_DIR)
     res = con.execute(spark_entry.oracle_sql()[name])

@@ -5,8 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barfold.operators import ranking
-from barfold.operators.metrics import backtest_rows
+from barfold.operators.metrics import backtest_rows, rank_ic_by_date, sign_backtest
 from barfold.operators.ranking import (
     average_ranks, exact_quantiles, magnitude_bucket, position_by_hash, position_by_isin,
 )
@@ -33,15 +32,41 @@ def test_bucket_never_falls_as_the_value_rises(spark):
     assert got == sorted(got)
 
 
-@pytest.mark.parametrize("whole_group_rows", [10, 1_000_000])
-def test_average_ranks_match_pandas(crowded, monkeypatch, whole_group_rows):
-    monkeypatch.setattr(ranking, "WHOLE_GROUP_ROWS", whole_group_rows)
+def test_average_ranks_match_pandas(crowded):
     pdf, df = crowded
     got = average_ranks(df, ["d"], ["v"]).toPandas().set_index("i")["v_rank"]
     want = (pdf.v + 0.0).groupby(pdf.d).rank(method="average")
     assert np.array_equal(got.sort_index().to_numpy(), want.to_numpy())
 
 
+def test_missing_values_have_no_rank_and_dates_with_gaps_no_ic(spark):
+    nan = float("nan")
+    rows = [("a", v, float(i)) for i, v in enumerate([-2.0, -1.0, 0.5, 3.0])] + [
+        ("b", v, float(i)) for i, v in enumerate([-2.0, -1.0, 0.5, 3.0, nan])] + [
+        ("c", v, float(i)) for i, v in enumerate([1.0, None, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "date string, pred double, actual double")
+    ranks = average_ranks(df, ["date"], ["pred", "actual"]).collect()
+    assert [r.pred_rank for r in ranks if r.date == "b" and r.actual == 4.0] == [None]
+    assert sorted(r.pred_rank for r in ranks if r.date == "b" and r.pred_rank) == [1, 2, 3, 4]
+    assert {r.date: r.ic for r in rank_ic_by_date(df, ["date"]).collect()} == {"a": pytest.approx(1.0)}
+    dropped = rank_ic_by_date(df, ["date"], incomplete="drop_rows").collect()
+    assert {r.date: (r.ic, r.n_names) for r in dropped} == {"a": (pytest.approx(1.0), 4), "b": (pytest.approx(1.0), 4), "c": (pytest.approx(1.0), 3)}
+
+
+def test_two_columns_need_one_pass_over_the_rows(crowded):
+    _, df = crowded
+    plan = average_ranks(df.withColumn("w", -F.col("v")), ["d"], ["v", "w"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2 and plan.count("Exchange hashpartitioning") <= 8
+
+
+def test_gaps_take_no_position(spark):
+    rows = [("f", i, p, a) for i, (p, a) in enumerate([(1.0, 1.0), (-1.0, -2.0), (float("nan"), 1.0), (None, 1.0)])]
+    df = spark.createDataFrame(rows, "fold string, k int, pred double, actual double").withColumns(
+        {"isin": F.col("k").cast("string"), "date": F.current_date()})
+    got = sign_backtest(df).first()
+    assert (got.hit_rate, got.mean_abs_position, got.n) == (1.0, 0.5, 4)
+
+
 def test_exact_quantiles_match_numpy(crowded):
     pdf, df = crowded
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]

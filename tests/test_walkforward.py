@@ -8,7 +8,7 @@ from barfold.operators.features import compute_features
 from barfold.operators.metrics import overall_net_sharpe, backtest_rows
 from barfold.operators.samples import sample_index
 from barfold.operators.signals import (
-    fit_ar1, fit_predict_ar1, fit_predict_quantiles, score_panels, score_panels_pandas,
+    fit_ar1, fit_predict_ar1, fit_predict_quantiles, score_panels, score_panels_by,
 )
 from barfold.operators.walkforward import (
     Fold, assert_no_leakage, assign_splits, filter_split, fold_counts, folds_frame,
@@ -83,12 +83,22 @@ def test_panel_scores_native_and_python_agree(spark):
     df = spark.createDataFrame(rows, "fold string, isin string, date date, ret_1 double")
     native = score_panels(df, {"_m": F.avg("ret_1"), "_s": F.stddev_samp("ret_1")},
                           (F.col("ret_1") - F.col("_m")) / F.col("_s"))
-    python = score_panels_pandas(df, lambda p: (p.ret_1 - p.ret_1.mean()) / p.ret_1.std())
+    python = score_panels_by(df, {"_m": F.avg("ret_1"), "_s": F.stddev_samp("ret_1")},
+                             lambda x, m, sd: (x - m) / sd, ["ret_1", "_m", "_s"])
     a = {(r["isin"], r["date"]): r["pred"] for r in native.collect()}
     b = {(r["isin"], r["date"]): r["pred"] for r in python.collect()}
     assert a == pytest.approx(b) and len(a) == 18
-    with pytest.raises(ValueError, match="too large"):
-        score_panels_pandas(df, lambda p: p.ret_1, max_names=5)
+
+
+def test_guard_fails_closed(spark):
+    folds = [Fold("2020", dt.date(2020, 1, 1), dt.date(2020, 12, 31))]
+    rows = [("2020", dt.date(2019, 12, 1)), ("2020", dt.date(2019, 12, 28)), ("2020", None), ("1066", dt.date(2000, 1, 1)),
+            (None, dt.date(2000, 1, 1))]
+    train = spark.createDataFrame(rows, "fold string, label_date date")
+    assert leakage_guard(train, folds).count() == 4
+    calendar = spark.createDataFrame([(dt.date(2019, 12, d),) for d in (1, 20, 27, 28, 30)], "date date")
+    found = leakage_guard(train, folds, 2, embargo_unit="sessions", calendar=calendar).filter("fold = '2020'")
+    assert {r.embargo_cutoff for r in found.collect()} == {dt.date(2019, 12, 28)}
 
 
 # ---- statistical controls over autocorrelated returns, 8 names x 320 days

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barfold.schemas import NEW_LAYOUT, OLD_LAYOUT
 from barfold.session import ship_by_value
 
 ship_by_value(__name__)
@@ -78,8 +79,7 @@ def actions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "supplier").select(F.count(F.lit(1))).scalar()
     i, key = F.col("i"), F.col("p_partkey")
     base = (
-        table(spark, sf_dir, "part").filter(key % 4 == 0)
-        .select("p_partkey", "p_size", F.expr("p_partkey div 4").alias("i"))
+        table(spark, sf_dir, "part").select("p_partkey", "p_size", key.alias("i"))
         .withColumn("k", i % n)
         .withColumn("_day", F.date_add(F.lit("1995-03-01").cast("date"),
                                        (key * 37 % 2300).cast("int")))
@@ -112,18 +112,23 @@ SUBJECTS = (
 
 # ------------------------------------------------------------------ raw day files
 
-# Header titles of the three file generations, with the cell each one shows.
-_OLD = {"SYMBOL": "symbol", "SERIES": "series", "OPEN": "open", "HIGH": "high", "LOW": "low",
-        "CLOSE": "close", "LAST": "last", "PREVCLOSE": "prev_close", "TOTTRDQTY": "volume",
-        "TOTTRDVAL": "turnover", "TIMESTAMP": "date"}
-TITLES = {
-    "earliest": _OLD,
-    "old": _OLD | {"TOTALTRADES": "n_trades", "ISIN": "isin"},
-    "new": {"TradDt": "date", "FinInstrmTp": "kind", "ISIN": "isin", "TckrSymb": "symbol",
-            "SctySrs": "series", "ClsPric": "close", "OpnPric": "open", "HghPric": "high",
-            "LwPric": "low", "LastPric": "last", "PrvsClsgPric": "prev_close",
-            "TtlTrfVal": "turnover", "TtlTradgVol": "volume", "TtlNbOfTxsExctd": "n_trades"},
+# The published column order of the three file generations, as cells; their titles are the schemas'.
+_ORDER = {
+    "earliest": "symbol series open high low close last prev_close volume turnover date",
+    "old": "symbol series open high low close last prev_close volume turnover date n_trades isin",
+    "new": "date kind isin symbol series close open high low last prev_close turnover volume n_trades",
 }
+_DATE_TITLES = {"old": "TIMESTAMP", "new": "TradDt"}
+
+
+def _titles(generation: str) -> dict[str, str]:
+    era = "new" if generation == "new" else "old"
+    layout = {c: t for t, c in (NEW_LAYOUT if era == "new" else OLD_LAYOUT).items()}
+    layout |= {"date": _DATE_TITLES[era], "kind": layout.get("instrument_type")}
+    return {layout[c]: c for c in _ORDER[generation].split()}
+
+
+TITLES = {generation: _titles(generation) for generation in _ORDER}
 
 
 def raw_cells(bars: DataFrame) -> DataFrame:

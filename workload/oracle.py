@@ -33,7 +33,7 @@ BARS = ("date, isin, symbol, series, open, high, low, close, prev_close, last, v
         "turnover, n_trades")
 FEATURES = ("ret_1", "ret_o", "ret_h", "ret_l", "ret_1_volscaled", "vol_z",
             "dow_sin", "dow_cos", "dom_sin", "dom_cos", "month_sin", "month_cos")
-SEQ = 20
+SEQ = 120
 
 # ------------------------------------------------------------------ bars
 
@@ -85,10 +85,10 @@ cte("x_calendar", "SELECT DISTINCT date FROM x_bars")
 # ------------------------------------------------------------------ corporate actions
 
 cte("x_parts", """
- SELECT p_partkey, p_size, p_partkey // 4 AS i,
-  (p_partkey // 4) % (SELECT count(*) FROM supplier) AS k,
+ SELECT p_partkey, p_size, p_partkey AS i,
+  p_partkey % (SELECT count(*) FROM supplier) AS k,
   DATE '1995-03-01' + CAST(p_partkey * 37 % 2300 AS INTEGER) AS d
- FROM part WHERE p_partkey % 4 = 0""")
+ FROM part""")
 cte("x_feed_main", """
  SELECT i, printf('INE%06d', k) AS isin, printf('S%06d', k) AS symbol,
   CASE WHEN p_size % 10 = 0 THEN 'BE' ELSE 'EQ' END AS series,
@@ -283,9 +283,9 @@ cte("x_pinball", f"""
   unnest([{_LEVELS}]::DOUBLE[]) AS lv)""")
 
 
-def _positions(deadzone: str) -> str:
+def _positions(deadzone: str, source: str = "x_preds") -> str:
     return (f"SELECT *, CASE WHEN abs(pred) > {deadzone} THEN sign(pred)::DOUBLE "
-            "ELSE 0.0::DOUBLE END AS position FROM x_preds")
+            f"ELSE 0.0::DOUBLE END AS position FROM {source}")
 
 
 def _book(source: str, keys: str, order: str) -> str:
@@ -299,6 +299,10 @@ def _book(source: str, keys: str, order: str) -> str:
 
 cte("x_pos", _positions("0.002"))
 cte("x_pos_all", _positions("0"))
+cte("x_gaps", "SELECT * REPLACE (CASE WHEN dayofyear(date) % 7 <> 3 AND dayofyear(date) % 11 <> 5 "
+              "THEN pred END AS pred) FROM x_preds")
+cte("x_pos_gaps", _positions("0.002", "x_gaps"))
+cte("x_book_gaps", _book("x_pos_gaps", "fold, isin", "date"))
 cte("x_book", _book("x_pos", "fold, isin", "date"))
 cte("x_book_pooled", _book("x_pos", "fold", "isin, date"))
 cte("x_book_all", _book("x_pos_all", "fold, isin", "date"))
@@ -478,20 +482,21 @@ _FINAL = {
     "sample_windows": "SELECT isin, feature_end_date, label_date, array_idx, len(win) AS n_rows, "
                       f"{digest('flatten(win)')} AS window, {r('fwd_ret_1', 'target')} "
                       "FROM x_windows",
-    # 20 rows padded to 24 in patches of 6: the first holds rows 1-2, the last rows 15-20.
-    "patchify": "SELECT isin, feature_end_date, 4 AS n_patches, 72 AS patch_len, "
-                        f"{r('list_sum(flatten(win[1:2]))', 'first_sum')}, "
-                        f"{r('list_sum(flatten(win[15:20]))', 'last_sum')} FROM x_windows",
+    # 120 rows padded to 126 in patches of 7: the first holds row 1, the last rows 114-120.
+    "patchify": "SELECT isin, feature_end_date, 18 AS n_patches, 84 AS patch_len, "
+                        f"{r('list_sum(flatten(win[1:1]))', 'first_sum')}, "
+                        f"{r('list_sum(flatten(win[114:120]))', 'last_sum')} FROM x_windows",
     "next_market_date": "SELECT * FROM (SELECT date, lead(date) OVER (ORDER BY date) AS next_date "
                         "FROM x_calendar) WHERE next_date IS NOT NULL",
     "panel_index": "SELECT feature_end_date, label_date, isin, array_idx, target_date, "
                    f"{r('target')}, n_names FROM x_panels",
     "panel_tensors":
         "SELECT feature_end_date, label_date, n_names, "
+        "CAST(('0x' || md5(isin)[1:7])::INT % 8 AS INT) AS shard, "
         "array_to_string(list(isin ORDER BY isin), ',') AS isins, "
         f"{digest('flatten(flatten(list(win ORDER BY isin)))')} AS windows, "
         f"{digest('list(target ORDER BY isin)')} AS targets FROM x_panels "
-        "GROUP BY feature_end_date, label_date, n_names",
+        "GROUP BY ALL",
     "yearly_folds": "SELECT DISTINCT CAST(year(date) AS VARCHAR) AS fold, "
                     "make_date(year(date), 1, 1) AS test_start, "
                     "make_date(year(date), 12, 31) AS test_end FROM x_calendar",
@@ -513,6 +518,11 @@ _FINAL = {
         "SELECT fold, n_train, n_test, n_train >= 200 AND n_test >= 20 AS usable FROM ("
         "SELECT fold, count(*) FILTER (WHERE split = 'train') AS n_train, "
         "count(*) FILTER (WHERE split = 'test') AS n_test FROM x_assigned GROUP BY fold)",
+    "panel_fold_counts":
+        "SELECT fold, n_train, n_test, n_train >= 50 AND n_test >= 5 AS usable FROM ("
+        "SELECT fold, count(DISTINCT feature_end_date) FILTER (WHERE split = 'train') AS n_train, "
+        "count(DISTINCT feature_end_date) FILTER (WHERE split = 'test') AS n_test "
+        "FROM x_assigned GROUP BY fold)",
     "leakage_guard":
         "SELECT fold, isin, feature_end_date, label_date, CAST(test_start - 30 AS DATE) "
         "AS embargo_cutoff FROM x_assigned JOIN x_folds USING (fold) "
@@ -530,6 +540,14 @@ _FINAL = {
         "SELECT fold, isin, date, (round(CASE WHEN sd > 0 THEN (ret_1 - mu) / sd END, 6) + 0.0) "
         "AS pred FROM (SELECT *, avg(ret_1) OVER w AS mu, stddev_samp(ret_1) OVER w AS sd "
         "FROM x_test_rows WINDOW w AS (PARTITION BY fold, date))",
+    "score_panels_by":
+        "SELECT fold, isin, date, (round(CASE WHEN sd > 0 THEN (ret_1 - mu) / sd END, 6) + 0.0) "
+        "AS pred FROM (SELECT *, avg(ret_1) OVER w AS mu, stddev_samp(ret_1) OVER w AS sd "
+        "FROM x_test_rows WINDOW w AS (PARTITION BY fold, date))",
+    "sign_backtest_gaps": f"SELECT {_BACKTEST.format(hit=r(hit('0.002'), 'hit_rate'))} "
+                          "FROM x_book_gaps GROUP BY fold",
+    "rank_ic_gaps": f"SELECT fold, date, n_names, {r('ic')} FROM x_ic WHERE ic IS NOT NULL "
+                    "AND dayofyear(date) % 7 <> 3 AND dayofyear(date) % 11 <> 5",
     "signum_deadzone": "SELECT fold, isin, date, position FROM x_pos",
     "backtest_rows": "SELECT fold, isin, date, position, prev_position, turnover, "
                      f"{_PNL} FROM x_book",

@@ -28,8 +28,8 @@ from barfold.sources import reference_data, sinks
 from barfold.streaming import ingest
 from workload import fixtures
 
-SEQ_LEN = 20
-PATCH = 6
+SEQ_LEN = 120
+PATCH = 7  # does not divide the window: the first patch is padded
 TEST_YEARS = (1998, 1999, 2000, 2001)
 FOLDS = walkforward.yearly_folds(TEST_YEARS)
 LIQUIDITY = {"lookback_days": 365, "min_adv": 3e4, "min_sessions": 60}
@@ -478,7 +478,7 @@ def panel_index(x: Inputs) -> DataFrame:
 def panel_tensors(x: Inputs) -> DataFrame:
     rows = samples.panel_tensors(x.features, x.universe, SEQ_LEN)
     return rows.select(
-        "feature_end_date", "label_date", "n_names",
+        "feature_end_date", "label_date", "n_names", "shard",
         F.array_join("isins", ",").alias("isins"),
         digest(F.flatten(F.flatten("windows"))).alias("windows"),
         digest(F.col("targets")).alias("targets"))
@@ -521,6 +521,11 @@ def fold_counts(x: Inputs) -> DataFrame:
     return walkforward.fold_counts(x.assigned)
 
 
+@query
+def panel_fold_counts(x: Inputs) -> DataFrame:
+    return walkforward.panel_fold_counts(x.assigned)
+
+
 @query
 def leakage_guard(x: Inputs) -> DataFrame:
     """Training rows assembled with a 10-day embargo, audited against 30 days."""
@@ -562,6 +567,34 @@ def score_panels(x: Inputs) -> DataFrame:
     return rounded(scored.select("fold", "isin", "date", "pred"), "pred")
 
 
+@query
+def score_panels_by(x: Inputs) -> DataFrame:
+    """The same scores by a Python function over rows joined with their panel's statistics."""
+    rows = walkforward.filter_split(x.assigned, "test").select(
+        "fold", "isin", F.col("label_date").alias("date"), "ret_1")
+    scored = signals.score_panels_by(
+        rows, {"_mean": F.avg("ret_1"), "_sd": F.stddev_samp("ret_1")},
+        lambda ret, mean, sd: (ret - mean) / sd.where(sd > 0), ["ret_1", "_mean", "_sd"])
+    return rounded(scored.select("fold", "isin", "date", F.nanvl("pred", F.lit(None)).alias("pred")), "pred")
+
+
+def _with_gaps(preds: DataFrame) -> DataFrame:
+    """Forecasts with NaN on some days of the year and null on others."""
+    day = F.dayofyear("date")
+    return preds.withColumn("pred", F.when(day % 7 == 3, F.lit(float("nan"))).when(
+        day % 11 != 5, F.col("pred")))
+
+
+@query
+def sign_backtest_gaps(x: Inputs) -> DataFrame:
+    return rounded(metrics.sign_backtest(_with_gaps(x.preds), deadzone=0.002), *_BACKTEST)
+
+
+@query
+def rank_ic_gaps(x: Inputs) -> DataFrame:
+    return rounded(metrics.rank_ic_by_date(_with_gaps(x.preds)), "ic")
+
+
 @query
 def signum_deadzone_query(x: Inputs) -> DataFrame:
     return x.preds.select("fold", "isin", "date",
