@@ -30,6 +30,8 @@ TRIGRAM_PRIOR, VALUE_PRIOR, PARENT_PRIOR = 0.05, 1.0, 20.0
 UNKNOWN_SHARE = 0.01
 #: Least posterior with which a row is accepted.
 ACCEPT = 0.5
+#: Hosts or values (about 100 bytes each) up to which their shares are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_VALUES = 200_000
 UNKNOWN = "und"
 _CHUNK = 1 << 20
 
@@ -152,7 +154,7 @@ def _with_shares(judged: DataFrame, languages: list[str]) -> DataFrame:
     hosts = voting.where("host is not null").groupBy("host").agg(F.min("domain").alias("domain"), *counts)
     hosts = hosts.join(domains, "domain", "left").select("host", array_of(
         lambda i: (F.col(f"n{i}") + PARENT_PRIOR * F.col("of_domain")[i]) / (sum_of() + PARENT_PRIOR)).alias("of_host"))
-    out = judged.join(domains, "domain", "left").join(hosts, "host", "left")
+    out = judged.join(_small(domains, "domains"), "domain", "left").join(_small(hosts, "hosts"), "host", "left")
     for value in ("declared", "suffix"):
         seen = voting.where(F.col(value).isNotNull()).groupBy(value).agg(*counts)
         kinds = seen.agg(F.count("*").alias("k"), *(F.sum(f"n{i}").alias(f"n{i}") for i in range(n))).first()
@@ -161,7 +163,7 @@ def _with_shares(judged: DataFrame, languages: list[str]) -> DataFrame:
             lambda i, k=kinds: F.log((F.col(f"n{i}") + VALUE_PRIOR) / ((k[f"n{i}"] or 0.0) + VALUE_PRIOR * (k["k"] + 1)))
         ).alias(f"of_{value}"))
         table = table.withColumn(f"of_{value}", F.concat(f"of_{value}", F.array(F.lit(-float(np.log(kinds["k"] + 1))))))
-        out = out.join(table, value, "left")
+        out = out.join(_small(table, value), value, "left")
     prior = F.coalesce("of_host", "of_domain", F.array(*map(F.lit, share)))
     logs = F.concat(
         F.transform(prior, lambda p: F.log(p * (1 - UNKNOWN_SHARE))), F.array(F.lit(float(np.log(UNKNOWN_SHARE))))
@@ -171,6 +173,12 @@ def _with_shares(judged: DataFrame, languages: list[str]) -> DataFrame:
     return out.withColumn("log_p", logs)
 
 
+def _small(table: DataFrame, name: str) -> DataFrame:
+    """The stored table, to be broadcast if its counted size allows it."""
+    table = stored(table, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_VALUES else table
+
+
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents whose language isn't accepted; ``lang`` is label and declaration.
 
