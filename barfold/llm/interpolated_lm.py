@@ -89,18 +89,31 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A byte per count; those of 255 or more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw[n:], np.int64)
+    return counts
+
+
 class Block:
     """One packed block: its tokens, contexts, folds, and distinct words and word pairs as keys."""
 
     def __init__(self, row: dict):
         self.ids, self.sizes = row["ids"], np.array(row["sizes"], dtype=np.int64)
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.token = np.frombuffer(row["numbers"], np.int32).astype(np.int64)
+        self.token = np.frombuffer(row["numbers"], np.int32)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.context = np.concatenate([[0], self.token[:-1]])
+        self.context = np.zeros_like(self.token)
+        self.context[1:] = self.token[:-1]
         self.context[self.starts] = 0
-        self.fold = np.repeat([fold_of(k) for k in self.ids], self.sizes)
-        codes, self.pair = np.unique(self.context * len(self.words) + self.token, return_inverse=True)
+        self.fold = np.repeat(np.array([fold_of(k) for k in self.ids], dtype=np.int8), self.sizes)
+        codes, pair = np.unique(self.context.astype(np.int64) * len(self.words) + self.token, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         first, second = self.words[codes // len(self.words)], self.words[codes % len(self.words)]
         mixed = (first * _GOLD ^ (first >> np.uint64(31))) + second
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -132,11 +145,12 @@ def gather(blocks: DataFrame, parts: int) -> DataFrame:
                 block = Block(one)
                 for what in ("word", "pair"):
                     order, ends = block.by_part(what, parts)
-                    arrays = [block.keys[what][order], *(c[order].astype(np.int32) for c in block.counts(what))]
+                    keys, counts = block.keys[what][order], [c[order] for c in block.counts(what)]
                     live = [p for p in range(parts) if ends[p] < ends[p + 1]]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([what] * len(live)), pa.array(live, pa.int32()), pa.array([one["block"]] * len(live)),
-                        *(pa.array([a[ends[p] : ends[p + 1]].tobytes() for p in live], pa.binary()) for a in arrays),
+                        pa.array([keys[ends[p] : ends[p + 1]].tobytes() for p in live], pa.binary()),
+                        *(pa.array([_packed(c[ends[p] : ends[p + 1]]) for p in live], pa.binary()) for c in counts),
                     ], names=["what", "part", "block", "keys", "trained", "deleted"])
 
     def tell(asked: pa.Table) -> pa.Table:
@@ -145,11 +159,12 @@ def gather(blocks: DataFrame, parts: int) -> DataFrame:
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = []
         for name in ("trained", "deleted"):
-            own = np.concatenate([np.frombuffer(x, np.int32) for x in asked.column(name).to_pylist()])
+            raw = asked.column(name).to_pylist()
+            own = np.concatenate([_unpacked(x, len(k)) for x, k in zip(raw, keys, strict=True)])
             sums.append(np.bincount(at, weights=own, minlength=len(found)).astype(np.int64))
         ends = np.cumsum([0, *(len(k) for k in keys)])
         n = len(keys)
-        back = [[s[at[a:b]].tobytes() for a, b in zip(ends, ends[1:], strict=False)] for s in sums]
+        back = [[_packed(s[at[a:b]]) for a, b in zip(ends, ends[1:], strict=False)] for s in sums]
         return pa.table({
             "what": [what] * (n + 1), "part": pa.array([part] * (n + 1), pa.int32()),
             "block": pa.array([*asked.column("block").to_pylist(), None], pa.string()),
@@ -171,7 +186,7 @@ def _told(block: Block, table: pa.Table, parts: int) -> dict[str, tuple[np.ndarr
         for p in range(parts):
             if ends[p] < ends[p + 1]:
                 for i, name in enumerate(("trained", "deleted")):
-                    both[i, order[ends[p] : ends[p + 1]]] = np.frombuffer(rows[what, p][name], np.int64)
+                    both[i, order[ends[p] : ends[p + 1]]] = _unpacked(rows[what, p][name], ends[p + 1] - ends[p])
         out[what] = both[0], both[1]
     return out
 
