@@ -25,8 +25,8 @@ from barfold.llm.common import stored
 
 #: Pivots: a sample of the vectors, bounded by this number.
 PIVOTS = 128
-#: Nearest pivots by which a vector is posted, and which a query reads.
-POSTED = 64
+#: Nearest pivots by which a vector is posted, and of them those that a query reads.
+POSTED, READ = 128, 64
 #: Share of a block's vectors that is scored exactly.
 SHARE = 0.10
 #: Vectors and queries of a block.
@@ -42,7 +42,7 @@ def usable(vectors: DataFrame, vector_col: str) -> Column:
 
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    pivots: int = PIVOTS, posted: int = POSTED, share: float = SHARE,
+    pivots: int = PIVOTS, posted: int = POSTED, read: int = READ, share: float = SHARE,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query row the ``k`` nearest other rows found.
 
@@ -72,7 +72,7 @@ def nearest(
     queries = rows.where("query").select("id", "v", query_block.alias("query_block"), every(blocks).alias("block"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = search_block(*_arrays(left, dim), *_arrays(right, dim), centres, top, k, posted, share)
+        found = search_block(*_arrays(left, dim), *_arrays(right, dim), centres, top, k, posted, read, share)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
 
     found = index.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInArrow(
@@ -104,7 +104,7 @@ def permutations(v: np.ndarray, centres: np.ndarray, posted: int) -> np.ndarray:
 
 def search_block(
     ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, centres: np.ndarray, top: float,
-    k: int, posted: int, share: float,
+    k: int, posted: int, read: int, share: float,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` nearest of one block for each query; ``ids`` ascend."""
     n, posted = len(ids), min(posted, len(centres))
@@ -112,17 +112,22 @@ def search_block(
     if n and len(query_ids):
         kept = permutations(lifted(v, top), centres, posted)
         pivot, owner = kept.ravel(), np.repeat(np.arange(n), posted)
-        place = np.tile(np.arange(posted), n)
+        place = np.tile(np.arange(posted, dtype=np.int32), n)
         order = np.argsort(pivot, kind="stable")
         ends = np.searchsorted(pivot[order], np.arange(len(centres) + 1))
         files = [(owner[order[a:b]], place[order[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
         wanted = min(n, max(4 * k + 1, int(np.ceil(share * n))))
-        asked = permutations(np.hstack([queries, np.zeros((len(queries), 1))]), centres, posted)
+        asked = permutations(np.hstack([queries, np.zeros((len(queries), 1))]), centres, min(read, posted))
+        unseen = int((posted - np.arange(asked.shape[1])).sum())
         for q, (key, own) in enumerate(zip(query_ids, asked, strict=True)):
-            footrule = np.full(n, int((posted - np.arange(posted)).sum()), dtype=np.int32)
+            footrule = np.full(n, unseen, dtype=np.int32)
             for at, p in enumerate(own):
                 who, where = files[p]
-                footrule[who] += np.abs(where - at).astype(np.int32) - (posted - at)
+                gain = np.abs(where - np.int32(at)) - np.int32(posted - at)
+                if len(who) == n:
+                    footrule += gain
+                else:
+                    footrule[who] += gain
             ranked = footrule.astype(np.int64) * n + np.arange(n)
             near = np.argpartition(ranked, wanted - 1)[:wanted] if wanted < n else np.arange(n)
             near = near[ids[near] != key]
