@@ -86,9 +86,9 @@ def tradable_range(bars: DataFrame) -> DataFrame:
     ]
     if "isin_is_symbol_fallback" in bars.columns:
         spans.append(F.bool_or("isin_is_symbol_fallback").alias("isin_is_symbol_fallback"))
-    return bars.groupBy("isin").agg(*spans).orderBy("first_date", "isin")
+    return bars.groupBy("isin").agg(*spans)
 
 
 def trading_calendar(bars: DataFrame) -> DataFrame:
-    """Distinct dates on which any security traded, in order."""
-    return bars.select("date").distinct().orderBy("date")
+    """Distinct dates on which any security traded."""
+    return bars.select("date").distinct()

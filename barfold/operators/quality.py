@@ -55,21 +55,21 @@ def _with_expected(spans: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
-def expected_sessions(bars: DataFrame) -> DataFrame:
+def expected_sessions(bars: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Calendar days inside each security's span, and how many it missed.
 
-    The span length is a difference of two calendar ordinals, so no row is
+    ``calendar`` holds the market's dates; without it ``bars`` is read a second time for them. The span length is a difference of two calendar ordinals, so no row is
     compared with a range of dates.
     """
     spans = bars.groupBy("isin").agg(
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         F.count_distinct("date").alias("n_sessions"),
     )
-    return _with_expected(spans, session_ordinals(bars)).select(
+    return _with_expected(spans, session_ordinals(bars if calendar is None else calendar)).select(
         "isin", "first_date", "last_date", "n_sessions", "expected_sessions", "missing_sessions")
 
 
-def quality_per_isin(bars: DataFrame) -> DataFrame:
+def quality_per_isin(bars: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """One row of check results per security.
 
     A single pass: the stale-run numbering already needs the rows of a security
@@ -104,7 +104,7 @@ def quality_per_isin(bars: DataFrame) -> DataFrame:
         F.max("_len").alias("max_stale_streak"),
     ).withColumns({"symbol": F.col("_last.symbol"), "last_date": F.col("_last.date")})
     return (
-        _with_expected(per_isin, session_ordinals(bars))
+        _with_expected(per_isin, session_ordinals(bars if calendar is None else calendar))
         .withColumn("zero_volume_fraction", F.col("n_zero_volume") / F.col("n_sessions"))
         .select(
             "isin", "symbol", "first_date", "last_date", "n_sessions", "n_zero_volume",

@@ -50,6 +50,11 @@ def fit_predict_quantiles(
         "fold", "isin", "date", "pred", "actual")
 
 
+def median_forecast(quantile_preds: DataFrame, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """Point forecasts from quantile ones: the 0.5 quantile as ``pred``."""
+    return quantile_preds.withColumn("pred", F.col("pred")[list(quantiles).index(0.5)])
+
+
 def score_panels(
     rows: DataFrame,
     statistics: dict[str, Column],

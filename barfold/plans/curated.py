@@ -67,7 +67,7 @@ def build_curated(
     spark = raw.sparkSession
     store = CuratedStore.at(root)
     bars = stage_table(clean_bars(raw, series), "clean-bars")
-    tradable_range(bars).write.mode("overwrite").parquet(store.tradable_range)
+    tradable_range(bars).orderBy("first_date", "isin").write.mode("overwrite").parquet(store.tradable_range)
     if actions is None:
         factors = spark.createDataFrame([], "isin string, ex_date date, cum_factor double")
     else:
@@ -99,7 +99,8 @@ def load_curated(spark: SparkSession, root: str) -> DataFrame:
 
 def quality_report(curated: DataFrame, out: str) -> DataFrame:
     """Write the per-security report, the failing list and the verdict; return the verdict."""
-    per_isin = stage_table(quality_per_isin(curated), "quality", f"{out}/per_isin_report")
+    calendar = stage_table(trading_calendar(curated), "calendar", f"{out}/calendar")
+    per_isin = stage_table(quality_per_isin(curated, calendar), "quality", f"{out}/per_isin_report")
     write_review_queue(quality_failing(per_isin), f"{out}/failing_isins")
-    gate = quality_gate(per_isin, trading_calendar(curated))
+    gate = quality_gate(per_isin, calendar)
     return stage_table(gate, "gate", f"{out}/summary")

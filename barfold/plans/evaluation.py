@@ -1,7 +1,8 @@
 """Curated bars to walk-forward report, as one chain of stored steps."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +11,14 @@ from barfold.operators.metrics import (
     IC_THRESHOLD, mse_loss, rank_ic_summary, sign_backtest,
 )
 from barfold.operators.samples import sample_index
-from barfold.operators.signals import fit_predict_ar1
-from barfold.operators.walkforward import EMBARGO_DAYS, Fold, assign_splits, fold_counts
+from barfold.operators.signals import fit_predict_ar1, fit_predict_quantiles, median_forecast
+from barfold.operators.universe import restrict_to_universe
+from barfold.operators.walkforward import (
+    EMBARGO_DAYS, Fold, assert_no_leakage, assign_splits, filter_split, fold_counts,
+)
 from barfold.schemas import TARGET_COLUMN
-from barfold.session import stage_table
+from barfold.session import scratch_path, stage_table
+from barfold.sources.sinks import write_report
 
 
 def labelled_samples(curated: DataFrame, seq_len: int = 120) -> DataFrame:
@@ -27,43 +32,78 @@ def usable_folds(assigned: DataFrame, **limits: int) -> DataFrame:
     return assigned.join(F.broadcast(keep), "fold", "left_semi")  # one row per fold
 
 
+def ar1_forecasts(assigned: DataFrame) -> DataFrame:
+    return fit_predict_ar1(assigned)
+
+
+def median_forecasts(assigned: DataFrame) -> DataFrame:
+    """The fitted 0.5 quantile as forecast."""
+    return median_forecast(fit_predict_quantiles(assigned))
+
+
 def walk_forward_predictions(
-    samples: DataFrame, folds: Sequence[Fold], embargo_days: int = EMBARGO_DAYS
+    samples: DataFrame, folds: Sequence[Fold], embargo_days: int = EMBARGO_DAYS,
+    forecasts: Callable[[DataFrame], DataFrame] = ar1_forecasts,
 ) -> DataFrame:
-    """Autoregressive forecasts for every usable fold.
+    """Forecasts for every usable fold, after the guard has looked at the training rows.
 
     Fold membership multiplies rows, and counting, fitting and predicting each
     need them, so ``samples`` should be a stored, narrow table.
     """
-    assigned = assign_splits(samples, folds, embargo_days)
-    return fit_predict_ar1(usable_folds(assigned))
-
+    assigned = usable_folds(assign_splits(samples, folds, embargo_days))
+    assert_no_leakage(filter_split(assigned, "train"), folds, embargo_days=embargo_days)
+    return forecasts(assigned)
 
-def evaluation_report(preds: DataFrame, book: str = "per_symbol") -> DataFrame:
-    """Per-fold rank IC, backtest and loss, with the overall verdict on each row.
 
-    ``preds`` is read by three reductions; pass a stored table.
-    """
-    report = (
+def fold_results(preds: DataFrame, book: str = "per_symbol") -> DataFrame:
+    """Per-fold rank IC, backtest and loss. ``preds`` is read by three reductions; pass a stored table."""
+    return (
         rank_ic_summary(preds).join(sign_backtest(preds, book=book), "fold")
         .join(mse_loss(preds), "fold")
     )
+
+
+def with_verdict(results: DataFrame) -> DataFrame:
+    """The overall verdict on each fold's row."""
     every = Window.partitionBy()  # one row per fold
     ic = F.col("mean_ic")
     overall = F.avg(ic).over(every)
     stable = F.coalesce(F.bool_and(ic > 0).over(every) | F.bool_and(ic < 0).over(every),
                         F.lit(False))
-    return report.withColumns({
+    return results.withColumns({
         "overall_mean_ic": overall,
         "stable_sign": stable,
         "gate_pass": F.coalesce(overall > IC_THRESHOLD, F.lit(False)) & stable,
     })
 
 
+def evaluation_report(preds: DataFrame, book: str = "per_symbol") -> DataFrame:
+    return with_verdict(fold_results(preds, book))
+
+
 def run_evaluation(
-    curated: DataFrame, folds: Sequence[Fold], seq_len: int = 120,
-    embargo_days: int = EMBARGO_DAYS, book: str = "per_symbol",
+    curated: DataFrame, folds: Sequence[Fold], root: str, seq_len: int = 120,
+    embargo_days: int = EMBARGO_DAYS, book: str = "per_symbol", universe: DataFrame | None = None,
+    forecasts: Callable[[DataFrame], DataFrame] = ar1_forecasts,
 ) -> DataFrame:
-    samples = stage_table(labelled_samples(curated, seq_len), "samples")
-    preds = stage_table(walk_forward_predictions(samples, folds, embargo_days), "predictions")
-    return evaluation_report(preds, book)
+    """Universe, features, samples, guarded fits and scores; the report is written below ``root`` and returned.
+
+    Folds whose results are already stored below ``root`` are not run again; folds that are too small have no
+    result. Only securities of ``universe`` take part, if one is given.
+    """
+    spark = curated.sparkSession
+    results = f"{root}/folds"
+    try:
+        done = {r["fold"] for r in spark.read.parquet(results).select("fold").distinct().collect()}  # one per fold
+    except AnalysisException:
+        done = set()
+    pending = [f for f in folds if f.label not in done]
+    if pending:
+        rows = curated if universe is None else restrict_to_universe(curated, universe)
+        samples = stage_table(labelled_samples(rows, seq_len), "samples", f"{root}/samples")
+        preds = stage_table(
+            walk_forward_predictions(samples, pending, embargo_days, forecasts), "predictions", scratch_path(spark, "predictions"))
+        fold_results(preds, book).write.mode("append").parquet(results)
+    report = with_verdict(spark.read.parquet(results).filter(F.col("fold").isin([f.label for f in folds])))
+    write_report(report, f"{root}/report")
+    return report

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barfold.schemas import MEMBERSHIP_COLUMNS, RAW_ACTIONS
 
@@ -25,9 +26,43 @@ def parse_actions(raw: DataFrame) -> DataFrame:
         "isin", "symbol", "series", "ex_date", "subject")
 
 
+def action_records(spark: SparkSession, path: str) -> DataFrame:
+    """Raw feed rows with ``_file`` and ``_corrupt``: what a row says that is no record, else null.
+
+    A landed file is one period of the feed, as a JSON array in any layout or as one
+    object per line. A broken array is one corrupt row.
+    """
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("_file"), F.trim("value").alias("value"))
+    listed = F.from_json("value", "array<string>")
+    texts = F.when(F.startswith("value", F.lit("[")), F.coalesce(listed, F.array("value"))).otherwise(
+        F.filter(F.split("value", "\n"), lambda line: F.trim(line) != ""))
+    texts = files.select("_file", F.explode(texts).alias("text"))
+    schema = T.StructType([*RAW_ACTIONS.fields, T.StructField("_bad", T.StringType())])
+    record = F.from_json("text", schema, {"columnNameOfCorruptRecord": "_bad"})
+    parsed = texts.select("_file", "text", F.inline(F.array(F.struct(record.alias("r")))))
+    return parsed.select("_file", *[F.col(f"r.{f.name}") for f in RAW_ACTIONS.fields],
+                         F.when(F.col("r").isNull(), F.col("text")).otherwise(F.col("r._bad")).alias("_corrupt"))
+
+
+def quarantined_actions(records: DataFrame) -> DataFrame:
+    """(file, text) of what the feed holds besides records."""
+    return records.filter(F.col("_corrupt").isNotNull()).select(
+        F.col("_file").alias("file"), F.col("_corrupt").alias("text"))
+
+
 def read_actions(spark: SparkSession, path: str) -> DataFrame:
-    """Actions from landed JSON; no rows gives an empty frame of the same schema."""
-    return parse_actions(spark.read.schema(RAW_ACTIONS).json(path))
+    """Actions from landed JSON; no rows gives an empty frame of the same schema.
+
+    What cannot be read is not here but in ``quarantined_actions(action_records(...))``.
+    """
+    records = action_records(spark, path)
+    return parse_actions(records.filter(F.col("_corrupt").isNull()).drop("_file", "_corrupt"))
+
+
+def write_index_snapshot(membership: DataFrame, path: str) -> None:
+    """A dated snapshot beside the earlier ones; the same day written again replaces itself."""
+    membership.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of_date").parquet(path)
 
 
 def read_index_membership(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barfold.schemas import BARS, NEW_LAYOUT, OLD_LAYOUT
 from barfold.sources import bars as src
 from barfold.sources.reference_data import (
-    fetch_log_status, pending_sessions, read_actions, read_index_membership, session_plan, status_counts,
+    action_records, fetch_log_status, quarantined_actions, pending_sessions, read_actions, read_index_membership, session_plan, status_counts,
 )
 from barfold.sources.sinks import write_report, write_review_queue
 from barfold.streaming.ingest import (
@@ -162,6 +162,12 @@ def test_actions_feed(spark, tmp_path):
     got = read_actions(spark, str(tmp_path))
     assert got.columns == ["isin", "symbol", "series", "ex_date", "subject"]
     assert sorted(r["ex_date"].day for r in got.collect()) == [6, 6, 7]
+    (tmp_path / "b.json").write_text('[\n {"isin": "J",\n  "exDate": "06-Jan-2020"},\n {"isin": "K", "exDate": "07-Jan-2020"}\n]\n')
+    (tmp_path / "c.json").write_text('[{"isin": "L", \n')
+    (tmp_path / "d.json").write_text('{"isin": "M", "exDate": "08-Jan-2020"}\nno json\n')
+    assert {r["isin"] for r in read_actions(spark, str(tmp_path)).collect()} == {"I", "J", "K", "M"}
+    bad = quarantined_actions(action_records(spark, str(tmp_path))).collect()
+    assert sorted((r["file"][-6:], r["text"][:7]) for r in bad) == [("c.json", '[{"isin'), ("d.json", "no json")]
     (tmp_path / "none").mkdir()
     assert read_actions(spark, str(tmp_path / "none")).schema == got.schema
 

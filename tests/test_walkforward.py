@@ -14,7 +14,7 @@ from barfold.operators.walkforward import (
     Fold, assert_no_leakage, assign_splits, filter_split, fold_counts, folds_frame,
     leakage_guard, pending_folds, session_cutoffs, shuffle_labels, yearly_folds,
 )
-from barfold.plans.evaluation import run_evaluation
+from barfold.plans.evaluation import median_forecasts, run_evaluation
 from tests.helpers import adjusted, weekdays
 
 FOLD = Fold("t", dt.date(2016, 6, 1), dt.date(2016, 12, 31))
@@ -146,8 +146,21 @@ def test_shuffled_labels_destroy_it(ar_samples):
     assert abs(_net_sharpe(shuffled, "shuffled_target")) < 2.5
 
 
-def test_whole_evaluation(ar_samples):
+def test_whole_evaluation(ar_samples, spark, tmp_path):
     prices, _ = ar_samples
-    row = run_evaluation(prices, CONTROL, seq_len=20).first()
+    root = str(tmp_path / "run")
+    row = run_evaluation(prices, CONTROL, root, seq_len=20).first()
     assert row["fold"] == "c" and row["mean_ic"] > 0.2 and row["gate_pass"]
     assert row["n"] > 200 and row["net_sharpe"] > 1
+    assert spark.read.json(f"{root}/report").first()["fold"] == "c"
+    # A stored fold is not run again: without prices the report is the same.
+    assert run_evaluation(prices.limit(0), CONTROL, root, seq_len=20).first() == row
+    few = spark.createDataFrame([("K1",), ("K2",), ("K3",), ("K4",)], "isin string")
+    part = run_evaluation(prices, CONTROL, str(tmp_path / "few"), seq_len=20, universe=few, forecasts=median_forecasts).first()
+    assert 0 < part["n"] < row["n"] and part["mean_ic"] is None
+
+
+def test_leaking_rows_stop_a_run(ar_samples):
+    _, samples = ar_samples
+    with pytest.raises(AssertionError, match="leakage"):
+        assert_no_leakage(filter_split(assign_splits(samples, CONTROL, 0), "train"), CONTROL, embargo_days=10)

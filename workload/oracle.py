@@ -302,6 +302,9 @@ cte("x_pos_all", _positions("0"))
 cte("x_gaps", "SELECT * REPLACE (CASE WHEN dayofyear(date) % 7 <> 3 AND dayofyear(date) % 11 <> 5 "
               "THEN pred END AS pred) FROM x_preds")
 cte("x_pos_gaps", _positions("0.002", "x_gaps"))
+cte("x_median", "SELECT fold, isin, date, q[5] AS pred, actual FROM x_quantiles")
+cte("x_pos_median", _positions("0", "x_median"))
+cte("x_book_median", _book("x_pos_median", "fold, isin", "date"))
 cte("x_book_gaps", _book("x_pos_gaps", "fold, isin", "date"))
 cte("x_book", _book("x_pos", "fold, isin", "date"))
 cte("x_book_pooled", _book("x_pos", "fold", "isin, date"))
@@ -546,6 +549,8 @@ _FINAL = {
         "FROM x_test_rows WINDOW w AS (PARTITION BY fold, date))",
     "sign_backtest_gaps": f"SELECT {_BACKTEST.format(hit=r(hit('0.002'), 'hit_rate'))} "
                           "FROM x_book_gaps GROUP BY fold",
+    "sign_backtest_median": f"SELECT {_BACKTEST.format(hit=r(hit('0'), 'hit_rate'))} "
+                            "FROM x_book_median GROUP BY fold",
     "rank_ic_gaps": f"SELECT fold, date, n_names, {r('ic')} FROM x_ic WHERE ic IS NOT NULL "
                     "AND dayofyear(date) % 7 <> 3 AND dayofyear(date) % 11 <> 5",
     "signum_deadzone": "SELECT fold, isin, date, position FROM x_pos",
@@ -590,4 +595,7 @@ _FINAL = {
         map(r, ("mean_ic", "ic_ir", "pct_positive_days"))) + ", n_days FROM x_year_summary",
 }
 
+_FINAL["quality_report"] = _FINAL["quality_gate"]
+_FINAL["index_snapshot"] = _FINAL["read_index_membership"]
+
 ORACLE = {name: sql(final) for name, final in _FINAL.items()}

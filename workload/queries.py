@@ -64,8 +64,12 @@ class Inputs:
 
     @cached_property
     def bars(self) -> DataFrame:
-        """Clean bars, straight from the raw ones."""
-        return curated_plan.clean_bars(self.raw)
+        """Clean bars, stored: many queries start from them."""
+        return self._kept("clean-bars", lambda: curated_plan.clean_bars(self.raw))
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return self._kept("calendar", lambda: curate.trading_calendar(self.bars))
 
     @cached_property
     def actions(self) -> DataFrame:
@@ -106,10 +110,10 @@ class Inputs:
 
     @cached_property
     def quantile_preds(self) -> DataFrame:
-        return signals.fit_predict_quantiles(self.assigned)
+        return self._kept("quantiles", lambda: signals.fit_predict_quantiles(self.assigned))
 
 
-STORED_INPUTS = ("bars_raw", "curated", "features", "samples", "preds")
+STORED_INPUTS = ("bars_raw", "bars", "calendar", "curated", "features", "samples", "preds", "quantile_preds")
 
 
 def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
@@ -272,7 +276,7 @@ def backfill_isin(x: Inputs) -> DataFrame:
 
 @query
 def dedupe_bars(x: Inputs) -> DataFrame:
-    return x.bars
+    return curated_plan.clean_bars(x.raw)
 
 
 @query
@@ -341,30 +345,30 @@ def stale_streaks(x: Inputs) -> DataFrame:
 
 @query
 def expected_sessions(x: Inputs) -> DataFrame:
-    return quality.expected_sessions(x.bars)
+    return quality.expected_sessions(x.bars, x.calendar)
 
 
 @query
 def quality_per_isin(x: Inputs) -> DataFrame:
-    return rounded(quality.quality_per_isin(x.bars), "zero_volume_fraction", dp=9)
+    return rounded(quality.quality_per_isin(x.bars, x.calendar), "zero_volume_fraction", dp=9)
 
 
 @query
 def quality_left_joins(x: Inputs) -> DataFrame:
     """Only the zero-filled per-security counts."""
-    return quality.quality_per_isin(x.bars).select("isin", "n_ohlc_violations", "max_stale_streak")
+    return quality.quality_per_isin(x.bars, x.calendar).select("isin", "n_ohlc_violations", "max_stale_streak")
 
 
 @query
 def quality_failing(x: Inputs) -> DataFrame:
-    return rounded(quality.quality_failing(quality.quality_per_isin(x.bars)),
+    return rounded(quality.quality_failing(quality.quality_per_isin(x.bars, x.calendar)),
                    "zero_volume_fraction", dp=9)
 
 
 @query
 def quality_gate(x: Inputs) -> DataFrame:
     return quality.quality_gate(
-        quality.quality_per_isin(x.bars), curate.trading_calendar(x.bars))
+        quality.quality_per_isin(x.bars, x.calendar), x.calendar)
 
 
 # ------------------------------------------------------------------ universe
@@ -550,7 +554,7 @@ def fit_predict_ar1(x: Inputs) -> DataFrame:
 
 @query
 def fit_predict_quantiles(x: Inputs) -> DataFrame:
-    rows = x.quantile_preds
+    rows = signals.fit_predict_quantiles(x.assigned)
     return rounded(rows.select(
         "fold", "isin", "date", "actual",
         *[F.col("pred")[i].alias(f"q{i + 1}") for i in range(len(QUANTILES))]),
@@ -590,6 +594,25 @@ def sign_backtest_gaps(x: Inputs) -> DataFrame:
     return rounded(metrics.sign_backtest(_with_gaps(x.preds), deadzone=0.002), *_BACKTEST)
 
 
+@query
+def sign_backtest_median(x: Inputs) -> DataFrame:
+    """Backtest of the median of the quantile forecasts."""
+    return rounded(metrics.sign_backtest(signals.median_forecast(x.quantile_preds)), *_BACKTEST)
+
+
+@query
+def quality_report(x: Inputs) -> DataFrame:
+    return curated_plan.quality_report(x.bars, scratch_path(x.spark, "quality-report"))
+
+
+@query
+def index_snapshot(x: Inputs) -> DataFrame:
+    path = scratch_path(x.spark, "snapshots")
+    listed = reference_data.read_index_membership(x.spark, _landed_index_lists(x), AS_OF)
+    reference_data.write_index_snapshot(listed, path)
+    return x.spark.read.parquet(path).select(*listed.columns)
+
+
 @query
 def rank_ic_gaps(x: Inputs) -> DataFrame:
     return rounded(metrics.rank_ic_by_date(_with_gaps(x.preds)), "ic")
