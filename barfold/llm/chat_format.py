@@ -34,7 +34,8 @@ def examples(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     trained text is ``loss_chars`` code points (bigint) from ``loss_start`` (from 1). Turns
     behind the last assistant turn make a last example that trains nothing
     (``loss_chars`` 0), so no turn is lost. Turns are ordered by turn, role, text; a null turn
-    comes first, null roles and texts count as empty, repeated rows stay, rows with a null
+    comes first (a conversation is put together in one row, as its last example is one text),
+    null roles and texts count as empty, repeated rows stay, rows with a null
     ``conv_id`` form one conversation, an empty table gives no rows.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

@@ -96,6 +96,19 @@ def lifted(v: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([v, rest[:, None]])
 
 
+def first_copies(v: np.ndarray, most: int) -> np.ndarray:
+    """Mask of the first ``most`` rows of each group of equal rows."""
+    if not len(v):
+        return np.zeros(0, dtype=bool)
+    same = np.unique(np.ascontiguousarray(v).view(f"V{v.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel()
+    order = np.argsort(same, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(same[order]) > 0])
+    nth = np.arange(len(v)) - np.repeat(starts, np.diff(np.r_[starts, len(v)]))
+    mask = np.empty(len(v), dtype=bool)
+    mask[order] = nth < most
+    return mask
+
+
 def permutations(v: np.ndarray, centres: np.ndarray, posted: int) -> np.ndarray:
     """Each row's nearest pivots, nearest first; ties to the first pivot."""
     d = (centres * centres).sum(axis=1)[None, :] - 2.0 * (v @ centres.T)
@@ -106,7 +119,13 @@ def search_block(
     ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, centres: np.ndarray, top: float,
     k: int, posted: int, read: int, share: float,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` nearest of one block for each query; ``ids`` ascend."""
+    """The ``k`` nearest of one block for each query; ``ids`` ascend.
+
+    Of equal vectors only the ``k + 1`` smallest ids can be among the nearest; the others are not posted, so
+    that many copies of one vector do not fill the share that is scored.
+    """
+    first = first_copies(v, k + 1)
+    ids, v = ids[first], v[first]
     n, posted = len(ids), min(posted, len(centres))
     out_query, out_id, out_score = [], [], []
     if n and len(query_ids):

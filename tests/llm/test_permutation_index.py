@@ -43,3 +43,23 @@ def test_ties_and_rows_of_every_kind(spark):
         (20, 1, 120), (120, 1, 20)
     ]
     assert pi.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_a_very_common_vector_does_not_crowd_out_the_others():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[1000:2500] = v[1000]
+    ids, top = np.arange(3000), 1.0
+    mask = pi.first_copies(v, 3)
+    assert mask[1000:1003].all() and not mask[1003:2500].any() and mask.sum() == 1503
+    centres = pi.lifted(v[rng.choice(1000, 64, replace=False)], top)
+    near = v[1000] + rng.normal(size=(20, 16)) * 0.15
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    keys = np.arange(10_000, 10_020)
+    query, found, _ = pi.search_block(ids, v, keys, near, centres, top, 20, 64, 32, 0.1)
+    hits = 0
+    for key, q in zip(keys, near, strict=True):
+        score = (v * q).sum(axis=1)
+        hits += len(set(found[query == key].tolist()) & set(np.lexsort((ids, -score))[:20].tolist()))
+    assert hits >= 0.9 * 400
