@@ -15,7 +15,7 @@ from barfold.operators.quality import quality_failing, quality_gate, quality_per
 from barfold.schemas import CURATED
 from barfold.session import stage_table
 from barfold.sources.bars import load_bars, write_by_year
-from barfold.sources.sinks import write_report, write_review_queue
+from barfold.sources.sinks import write_review_queue
 
 
 def clean_bars(raw: DataFrame, series: Sequence[str] = DEFAULT_SERIES) -> DataFrame:
