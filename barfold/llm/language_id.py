@@ -47,8 +47,13 @@ def trigrams(text: str | None) -> "np.ndarray":
 
 def fit(rows: DataFrame, text_col: str, label_col: str, id_col: str) -> tuple[list[str], np.ndarray]:
     """Languages and the (buckets, languages + 1) log likelihoods; the last column is ``und``."""
-    labelled = rows.where(F.col(label_col).isNotNull() & (F.col(label_col) != "") & (F.length(text_col) > 2))
-    sample = labelled.orderBy(F.xxhash64(id_col), id_col).select(text_col, label_col).limit(SAMPLE_ROWS)
+    labelled = rows.where(F.col(label_col).isNotNull() & (F.col(label_col) != ""))
+    # A share of the ids first, so that no more than about the sample's own rows meet in one task.
+    n = labelled.count()
+    share = min(1.0, 1.2 * SAMPLE_ROWS / max(n, 1))
+    draw = F.coalesce(F.shiftrightunsigned(F.xxhash64(id_col), 33), F.lit(0))
+    drawn = labelled.where((draw <= int(share * (1 << 31))) & (F.length(text_col) > 2))
+    sample = drawn.orderBy(F.xxhash64(id_col), id_col).select(text_col, label_col).limit(SAMPLE_ROWS)
 
     def count(text, label):
         bucket, n = np.unique(trigrams(text), return_counts=True)
