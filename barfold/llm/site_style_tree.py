@@ -11,10 +11,15 @@ the page, and the entropy of the pages that share a content how much a text is r
 the site. An element's importance weighs both; a branch goes if all elements in it
 that hold text have low importance, which is to cut those elements' texts.
 
-What the page's own markup says comes first: elements that by their tag, role or
-class are never part of the text (menus, forms, adverts, comments and so on) have
-importance 0; in a page with one or more main elements (``article``, ``main``) the text is what
-they hold, and is kept.
+The pieces of text of an element are its leaves: one that ``n`` of the element's ``m`` pages show has importance
+``-log_m(n / m)``, so a paragraph repeated over the site goes though its neighbours of the same path stay.
+
+The page's own markup is a weight of the importance: 0 for elements that by their tag, role or
+class are never part of the text (menus, forms, adverts, comments and so on), ``OUTSIDE_WEIGHT`` for what lies outside
+the main elements (``article``, ``main``) of a page that has some, 1 for all else, inside main elements too.
+Elements that the host shows on fewer than ``MIN_PAGES`` pages have no importance; there the markup decides alone,
+and what has a weight below 1 goes. A page of which nothing would be left shows the text of other pages in its
+main elements, which is no frame: that text stays.
 
 Counts are grouped sums with partial aggregation over (host, element, value), so a
 host with very many pages is no single group.
@@ -32,9 +37,11 @@ from barfold.llm.common import map_rows, stored
 
 #: Least importance of an element that stays, and the weight of contents in it.
 MIN_IMPORTANCE, CONTENT_WEIGHT = 0.3, 0.9
+#: Weight of elements outside the main elements of their page.
+OUTSIDE_WEIGHT = 0.5
 #: Pages of a host from which on repetition says something.
 MIN_PAGES = 5
-#: Elements to cut (24 bytes each) up to which their table is broadcast; beyond, it is joined by a shuffle.
+#: Elements that the tree decides on (24 bytes each) up to which their table is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ELEMENTS = 500_000
 
 # Names of HTML, and of usual classes.
@@ -159,28 +166,41 @@ def _key(text: str) -> int:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``host, element, pages, importance`` of ``pages(host, html)``: the elements that hold text.
+    """``host, element, pages, importance, outside`` of ``pages(host, html)``: the elements that hold text.
 
-    Pages of a host with equal html count once.
+    ``outside`` is whether the element lies outside the main elements on some page. A piece of text that
+    ``MIN_PAGES`` pages or more show in one element is a row of its own, with the element's ``pages``. Pages of a
+    host with equal html count once.
     """
     def observe(host: str, source: str) -> Iterator[tuple]:
         elements, texts = blocks(source)
         held: dict[int, list[str]] = {}
+        pieces: dict[int, set[int]] = {}
+        outside: set[int] = set()
+        main = _has_main(elements)
         for element, text in texts:
             held.setdefault(element.key, []).append(text)
+            if weight := _weight(element, main):
+                pieces.setdefault(element.key, set()).add(_piece(element, text))
+                if weight < 1:
+                    outside.add(element.key)
         shown: dict[int, list[str]] = {}
         for element in elements:
             if element.key in held:
                 shown.setdefault(element.key, []).append(",".join(c.name for c in element.children))
         page = _key(source)
         for key, content in held.items():
-            yield host, page, key, _key("|".join(shown[key])), _key("\n".join(content))
+            own = sorted(pieces.get(key, ()))
+            yield host, page, key, _key("|".join(shown[key])), _key("\n".join(content)), own, key in outside
 
     seen = pages.where(F.col("host").isNotNull() & F.col("html").isNotNull()).select("host", "html")
     observed = stored(map_rows(
-        seen, observe, "host string, page bigint, element bigint, look bigint, content bigint"
+        seen, observe,
+        "host string, page bigint, element bigint, look bigint, content bigint, pieces array<bigint>, outside boolean"
     ).distinct(), "observed")
-    every = observed.groupBy("host", "element").agg(F.count("*").cast("double").alias("pages"))
+    every = observed.groupBy("host", "element").agg(
+        F.count("*").cast("double").alias("pages"), F.max("outside").alias("outside")
+    )
 
     def repeated(value: str) -> DataFrame:
         """Sum of n log n over the values, n being the pages that show one."""
@@ -192,7 +212,15 @@ def style_tree(pages: DataFrame) -> DataFrame:
     # -sum(n/m log_m(n/m)) = 1 - sum(n log n) / (m log m), for presentations and for contents alike.
     entropy = lambda value: F.when(m > 1, 1 - F.col(value) / (m * F.log(m))).otherwise(1.0)
     importance = CONTENT_WEIGHT * entropy("content") + (1 - CONTENT_WEIGHT) * entropy("look")
-    return tree.select("host", "element", "pages", importance.alias("importance"))
+    tree = tree.select("host", "element", "pages", importance.alias("importance"), "outside")
+    pieces = observed.select("host", "element", F.explode("pieces").alias("piece")).groupBy("host", "element", "piece").agg(
+        F.count("*").alias("n")
+    ).where(F.col("n") >= MIN_PAGES)
+    leaves = pieces.join(every, ["host", "element"]).select(
+        "host", F.col("piece").alias("element"), "pages", (1 - F.log("n") / F.log(m)).alias("importance"),
+        F.lit(False).alias("outside"),
+    )
+    return tree.unionByName(leaves)
 
 
 def main_text(
@@ -208,24 +236,49 @@ def main_text(
     """
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     own = own.withColumn("host", host_of(F.col("url")))
-    tree = style_tree(own)
-    low = stored(
-        tree.where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < min_importance)).select("host", "element"), "low"
+    known = style_tree(own).where(F.col("pages") >= MIN_PAGES)
+    low = F.col("importance") < min_importance
+    high = F.col("outside") & (F.col("importance") * OUTSIDE_WEIGHT >= min_importance)
+    told = stored(known.where(low | high).select("host", "element", low.alias("low")), "told")
+    tree = told.groupBy("host").agg(
+        F.sort_array(F.collect_set(F.when(F.col("low"), F.col("element")))).alias("cut"),
+        F.sort_array(F.collect_set(F.when(~F.col("low"), F.col("element")))).alias("kept"),
     )
-    cut = low.groupBy("host").agg(F.sort_array(F.collect_set("element")).alias("cut"))
-    if low.count() <= BROADCAST_ELEMENTS:
-        cut = F.broadcast(cut)
+    if told.count() <= BROADCAST_ELEMENTS:
+        tree = F.broadcast(tree)
 
-    def extract(page, url, source, cut):
-        return [(page, url, text_of(source, frozenset(cut or ())))]
+    def extract(page, url, source, cut, kept):
+        return [(page, url, text_of(source, frozenset(cut or ()), frozenset(kept or ())))]
 
-    joined = own.join(cut, "host", "left").select("page_id", "url", "html", "cut")
+    joined = own.join(tree, "host", "left").select("page_id", "url", "html", "cut", "kept")
     kind = pages.schema[id_col].dataType.simpleString()
     return map_rows(joined, extract, f"page_id {kind}, url string, text string")
 
 
-def text_of(source: str | None, cut: frozenset[int]) -> str:
+def _has_main(elements: list[Element]) -> bool:
+    return any(e.main and not e.junk for e in elements)
+
+
+def _weight(element: Element, has_main: bool) -> float:
+    """What the markup says about the element, in a page with or without main elements."""
+    if element.junk:
+        return 0.0
+    return OUTSIDE_WEIGHT if has_main and not element.main else 1.0
+
+
+def _piece(element: Element, text: str) -> int:
+    return _key(f"{element.key}:{text}")
+
+
+def text_of(source: str | None, cut: frozenset[int], kept: frozenset[int] = frozenset()) -> str:
+    """The page's text: ``cut`` holds elements and pieces that go, ``kept`` elements that stay though outside the main ones."""
     elements, texts = blocks(source)
-    if any(e.main and not e.junk for e in elements):
-        return "\n".join(text for element, text in texts if element.main and not element.junk)
-    return "\n".join(text for element, text in texts if not element.junk and element.key not in cut)
+    main = _has_main(elements)
+    weighed = [(w, e, t) for e, t in texts if (w := _weight(e, main)) > 0]
+    left = [
+        t for w, e, t in weighed
+        if (w == 1 or e.key in kept) and e.key not in cut and (not cut or _piece(e, t) not in cut)
+    ]
+    if main and not left:
+        left = [t for w, _, t in weighed if w == 1]
+    return "\n".join(left)

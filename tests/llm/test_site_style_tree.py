@@ -32,6 +32,34 @@ def test_repeated_branches_of_a_site_go(spark):
     assert got[3] == "Story 3 is long" and got[20] == "Our offers"
 
 
+def _texts(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in st.main_text(df).collect()}
+
+
+def test_tree_decides_inside_and_outside_articles(spark):
+    """Repeated parts of articles go, by element and by paragraph; own text beside a teaser article stays."""
+    def page(i):
+        return (f"<article><h1>Head {i}</h1><p>Story {i} is long</p><p>Write to us</p><div class=end>Read on daily</div></article>"
+                "<div class=foot>All rights</div>")
+
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(12)]
+    rows += [(i, f"http://b.org/{i}", f"<article>Buy our book</article><div class=text>Tale {i} is long</div><div>Home</div>")
+             for i in range(20, 32)]
+    rows += [(40, "http://c.org/1", page(40)), (41, "http://c.org/2", "<article>Buy our book</article><div class=text>Tale</div>")]
+    got = _texts(spark, rows)
+    assert [got[i] for i in range(12)] == [f"Head {i}\nStory {i} is long" for i in range(12)]
+    assert [got[i] for i in range(20, 32)] == [f"Tale {i} is long" for i in range(20, 32)]
+    assert (got[40], got[41]) == ("Head 40\nStory 40 is long\nWrite to us\nRead on daily", "Buy our book")
+
+
+def test_pages_of_one_article_keep_it(spark):
+    rows = [(i, f"http://a.org/{i}", f"<nav>{i}</nav><article><p>One story</p></article>") for i in range(12)]
+    rows += [(20, "http://a.org/x", "<article><p>Other story</p></article>")]
+    got = _texts(spark, rows)
+    assert {got[i] for i in range(12)} == {"One story"} and got[20] == "Other story"
+
+
 def test_copies_are_no_repetition(spark):
     rows = [(i, f"http://a.org/{i}", "<div class=t>One story</div>") for i in range(30)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
