@@ -15,8 +15,11 @@ The pieces of text of an element are its leaves: one that ``n`` of the element's
 ``-log_m(n / m)``, so a paragraph repeated over the site goes though its neighbours of the same path stay.
 
 The page's own markup is a weight of the importance: 0 for elements that by their tag, role or
-class are never part of the text (menus, forms, adverts, comments and so on), ``OUTSIDE_WEIGHT`` for what lies outside
-the main elements (``article``, ``main``) of a page that has some, 1 for all else, inside main elements too.
+class are never part of the text (menus, forms, adverts, comments and so on), ``HALF`` for those of which only one part
+of a class or id says so (``left-sidebar``) and for what lies outside the main elements (``article``, ``main``) of a
+page that has some, 0 for both at once, 1 for all else, inside main elements too. A wrapper is no junk: nothing is that holds
+all main elements of the page, nor a form, a hidden element or one known by a part of a name that holds any of
+them or more than half of the page's text.
 Elements that the host shows on fewer than ``MIN_PAGES`` pages have no importance; there the markup decides alone,
 and what has a weight below 1 goes. A page of which nothing would be left shows the text of other pages in its
 main elements, which is no frame: that text stays.
@@ -37,8 +40,8 @@ from barfold.llm.common import map_rows, stored
 
 #: Least importance of an element that stays, and the weight of contents in it.
 MIN_IMPORTANCE, CONTENT_WEIGHT = 0.3, 0.9
-#: Weight of elements outside the main elements of their page.
-OUTSIDE_WEIGHT = 0.5
+#: Weight of elements outside the main elements of their page, and of those that one part of a name calls junk.
+HALF = 0.5
 #: Pages of a host from which on repetition says something.
 MIN_PAGES = 5
 #: Elements that the tree decides on (24 bytes each) up to which their table is broadcast; beyond, it is joined by a shuffle.
@@ -72,23 +75,49 @@ ENDS = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {
 
 
 class Element:
-    __slots__ = ("children", "junk", "key", "main", "name", "parent", "tag")
+    __slots__ = ("children", "doubt", "junk", "key", "main", "name", "parent", "says", "tag")
 
-    def __init__(self, tag: str, name: str, parent: "Element | None", junk: bool, main: bool):
+    def __init__(self, tag: str, name: str, parent: "Element | None", says: str, main: bool):
         self.tag, self.name, self.parent = tag, name, parent
-        self.junk = junk or (parent is not None and parent.junk)
+        #: What its own markup says: "" text, "part" or "form" junk unless it is a wrapper, "junk".
+        self.says = says
+        self.junk = self.doubt = False
         self.main = main or (parent is not None and parent.main)
         self.key = _key(f"{parent.key if parent else 0}/{name}")
         self.children: list[Element] = []
 
 
+def _judge(elements: list[Element], texts: list[tuple[Element, str]]) -> None:
+    """Set ``junk`` and ``doubt`` of all elements; parents come before their children."""
+    size = dict.fromkeys(map(id, elements), 0)
+    for element, text in texts:
+        size[id(element)] += len(text)
+    mains = [e for e in elements if e.tag in MAIN]
+    mains = [e for e in mains if not e.says] or [e for e in mains if e.says != "junk"]
+    holds = dict.fromkeys(map(id, elements), 0)
+    for element in mains:
+        holds[id(element)] = 1
+    for element in reversed(elements):
+        if element.parent:
+            size[id(element.parent)] += size[id(element)]
+            holds[id(element.parent)] += holds[id(element)]
+    for element in elements:
+        says, held = element.says, holds[id(element)]
+        wraps = bool(mains) and held == len(mains)
+        if says in ("part", "form"):
+            wraps = wraps or held > 0 or 2 * size[id(element)] > size[id(elements[0])]
+        up = element.parent
+        element.junk = (up is not None and up.junk) or (says in ("junk", "form") and not wraps)
+        element.doubt = (up is not None and up.doubt) or (says == "part" and not wraps)
+
+
 def blocks(source: str | None) -> tuple[list[Element], list[tuple[Element, str]]]:
     """Block elements in page order, and (element, text) of every piece of text between block tags.
 
     Tags may be left open, closed twice or cut off. White space runs are one blank.
     """
     source = source or ""
-    root = Element("", "", None, False, False)
+    root = Element("", "", None, "", False)
     elements, texts, buffer = [root], [], []
     here, at = root, 0
 
@@ -129,30 +158,36 @@ def blocks(source: str | None) -> tuple[list[Element], list[tuple[Element, str]]
             here = here.parent
     buffer.append(source[at:])
     flush()
+    _judge(elements, texts)
     return elements, texts
 
 
 def _open(tag: str, attributes: str, parent: Element) -> Element:
     names: list[str] = []
-    junk = tag in NEVER and not (tag == "header" and parent.main)
-    junk = junk or bool(_HIDING.search(attributes))
+    says = {"junk"} if tag in NEVER - {"form"} and not (tag == "header" and parent.main) else set()
+    if tag == "form" or _HIDING.search(attributes):
+        says.add("form")
     for key, *values in _ATTRIBUTE.findall(attributes):
         words = "".join(values).lower().split()
         if key.lower() == "role":
-            junk = junk or bool(ROLES.intersection(words))
+            if ROLES.intersection(words):
+                says.add("form" if "form" in words else "junk")
         else:
             names += words
-            junk = junk or any(_is_junk(w) for w in words)
+            says.update(map(_says, words))
     name = ".".join([tag, *(re.sub(r"\d+", "0", n) for n in names)])
-    return Element(tag, name, parent, junk and tag not in ("html", "body"), tag in MAIN)
+    most = "" if tag in ("html", "body") else next((x for x in ("junk", "form", "part") if x in says), "")
+    return Element(tag, name, parent, most, tag in MAIN)
 
 
-def _is_junk(name: str) -> bool:
-    """Whether a class or id names a part that is no text; ``has-sidebar`` or ``post-header`` do not."""
+def _says(name: str) -> str:
+    """Whether a class or id names a part that is no text, or only has a part that does; ``has-sidebar`` or ``post-header`` do not."""
+    if JUNK.match(name):
+        return "junk"
     parts = re.split(r"[-_]+", name)
     if parts[0] in ("no", "has", "with") or ("header" in parts and len(parts) > 1 and parts[0] not in ("site", "page", "main")):
-        return False
-    return bool(JUNK.match(name)) or any(JUNK.match(p) for p in parts)
+        return ""
+    return "part" if any(JUNK.match(p) for p in parts) else ""
 
 
 def host_of(url: Column) -> Column:
@@ -166,9 +201,9 @@ def _key(text: str) -> int:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``host, element, pages, importance, outside`` of ``pages(host, html)``: the elements that hold text.
+    """``host, element, pages, importance, weak`` of ``pages(host, html)``: the elements that hold text.
 
-    ``outside`` is whether the element lies outside the main elements on some page. A piece of text that
+    ``weak`` is whether the markup gives the element a weight below 1 on some page. A piece of text that
     ``MIN_PAGES`` pages or more show in one element is a row of its own, with the element's ``pages``. Pages of a
     host with equal html count once.
     """
@@ -176,14 +211,14 @@ def style_tree(pages: DataFrame) -> DataFrame:
         elements, texts = blocks(source)
         held: dict[int, list[str]] = {}
         pieces: dict[int, set[int]] = {}
-        outside: set[int] = set()
+        weak: set[int] = set()
         main = _has_main(elements)
         for element, text in texts:
             held.setdefault(element.key, []).append(text)
             if weight := _weight(element, main):
                 pieces.setdefault(element.key, set()).add(_piece(element, text))
                 if weight < 1:
-                    outside.add(element.key)
+                    weak.add(element.key)
         shown: dict[int, list[str]] = {}
         for element in elements:
             if element.key in held:
@@ -191,15 +226,15 @@ def style_tree(pages: DataFrame) -> DataFrame:
         page = _key(source)
         for key, content in held.items():
             own = sorted(pieces.get(key, ()))
-            yield host, page, key, _key("|".join(shown[key])), _key("\n".join(content)), own, key in outside
+            yield host, page, key, _key("|".join(shown[key])), _key("\n".join(content)), own, key in weak
 
     seen = pages.where(F.col("host").isNotNull() & F.col("html").isNotNull()).select("host", "html")
     observed = stored(map_rows(
         seen, observe,
-        "host string, page bigint, element bigint, look bigint, content bigint, pieces array<bigint>, outside boolean"
+        "host string, page bigint, element bigint, look bigint, content bigint, pieces array<bigint>, weak boolean"
     ).distinct(), "observed")
     every = observed.groupBy("host", "element").agg(
-        F.count("*").cast("double").alias("pages"), F.max("outside").alias("outside")
+        F.count("*").cast("double").alias("pages"), F.max("weak").alias("weak")
     )
 
     def repeated(value: str) -> DataFrame:
@@ -212,13 +247,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     # -sum(n/m log_m(n/m)) = 1 - sum(n log n) / (m log m), for presentations and for contents alike.
     entropy = lambda value: F.when(m > 1, 1 - F.col(value) / (m * F.log(m))).otherwise(1.0)
     importance = CONTENT_WEIGHT * entropy("content") + (1 - CONTENT_WEIGHT) * entropy("look")
-    tree = tree.select("host", "element", "pages", importance.alias("importance"), "outside")
+    tree = tree.select("host", "element", "pages", importance.alias("importance"), "weak")
     pieces = observed.select("host", "element", F.explode("pieces").alias("piece")).groupBy("host", "element", "piece").agg(
         F.count("*").alias("n")
     ).where(F.col("n") >= MIN_PAGES)
     leaves = pieces.join(every, ["host", "element"]).select(
         "host", F.col("piece").alias("element"), "pages", (1 - F.log("n") / F.log(m)).alias("importance"),
-        F.lit(False).alias("outside"),
+        F.lit(False).alias("weak"),
     )
     return tree.unionByName(leaves)
 
@@ -238,7 +273,7 @@ def main_text(
     own = own.withColumn("host", host_of(F.col("url")))
     known = style_tree(own).where(F.col("pages") >= MIN_PAGES)
     low = F.col("importance") < min_importance
-    high = F.col("outside") & (F.col("importance") * OUTSIDE_WEIGHT >= min_importance)
+    high = F.col("weak") & (F.col("importance") * HALF >= min_importance)
     told = stored(known.where(low | high).select("host", "element", low.alias("low")), "told")
     tree = told.groupBy("host").agg(
         F.sort_array(F.collect_set(F.when(F.col("low"), F.col("element")))).alias("cut"),
@@ -256,14 +291,15 @@ def main_text(
 
 
 def _has_main(elements: list[Element]) -> bool:
-    return any(e.main and not e.junk for e in elements)
+    return any(e.main and not e.junk and not e.doubt for e in elements)
 
 
 def _weight(element: Element, has_main: bool) -> float:
     """What the markup says about the element, in a page with or without main elements."""
-    if element.junk:
+    outside = has_main and not element.main
+    if element.junk or (outside and element.doubt):
         return 0.0
-    return OUTSIDE_WEIGHT if has_main and not element.main else 1.0
+    return HALF if outside or element.doubt else 1.0
 
 
 def _piece(element: Element, text: str) -> int:
@@ -271,7 +307,7 @@ def _piece(element: Element, text: str) -> int:
 
 
 def text_of(source: str | None, cut: frozenset[int], kept: frozenset[int] = frozenset()) -> str:
-    """The page's text: ``cut`` holds elements and pieces that go, ``kept`` elements that stay though outside the main ones."""
+    """The page's text: ``cut`` holds elements and pieces that go, ``kept`` elements of weight ``HALF`` that stay."""
     elements, texts = blocks(source)
     main = _has_main(elements)
     weighed = [(w, e, t) for e, t in texts if (w := _weight(e, main)) > 0]

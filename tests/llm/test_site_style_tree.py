@@ -60,6 +60,22 @@ def test_pages_of_one_article_keep_it(spark):
     assert {got[i] for i in range(12)} == {"One story"} and got[20] == "Other story"
 
 
+def test_wrappers_are_no_junk(spark):
+    story = "<article><h1>Head</h1><p>Story</p></article>"
+    for around in ("<form id=aspnetForm>", "<div class='content-sidebar-wrap'>", "<div class=layout-menu-left>",
+                   "<div id=social-history>", "<div class=sidebar>", "<div style='display: none'>", "<div role=form>"):
+        wrapped = f"<body><nav>a menu</nav>{around}<aside>Side</aside>{story}<div class=sidebar>More</div></body>"
+        assert st.text_of(wrapped, frozenset()) == "Head\nStory"
+        assert st.text_of(f"<body>{around}<p>{'A long story. ' * 9}</p></div></form><p>Foot", frozenset()).startswith(
+            "A long" if around not in ("<div class=sidebar>",) else "Foot")
+    beside = f"{story}<div class=related><article>Teaser</article></div><aside><article>Other</article></aside>"
+    assert st.text_of(beside, frozenset()) == "Head\nStory"
+    rows = [(i, f"http://a.org/{i}", f"<p>{'Text %d. ' % i * 9}</p><div class=social-history>Event {i}</div><div class=top-banner>Hi</div>")
+            for i in range(12)]
+    got = _texts(spark, rows)
+    assert all(got[i].endswith(f"Text {i}.\nEvent {i}") for i in range(12))
+
+
 def test_copies_are_no_repetition(spark):
     rows = [(i, f"http://a.org/{i}", "<div class=t>One story</div>") for i in range(30)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
