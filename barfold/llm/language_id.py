@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of text, markup, address and host evidence.
 
-* Text: a naive Bayes model over hashed byte trigrams, fitted on a bounded sample of labelled
-  rows. Its log likelihoods are tempered, since trigrams overlap. One more class, ``und``,
+* Text: a naive Bayes model over hashed byte trigrams. All labels of the table are its classes (256 KB each);
+  it is fitted on a bounded sample of their rows, drawn per label. Its log likelihoods are tempered, since trigrams overlap. One more class, ``und``,
   spreads evenly over all trigrams and takes texts that look like no known language.
 * Declared language and address suffix: how often each value goes with each language,
   counted over all rows by the text's own verdict and smoothed.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from barfold.llm.common import map_rows, stored
 
-#: Labelled rows that the text model is fitted on, at most: those of least id hash.
+#: Labelled rows that the text model is fitted on, about; of every label one at least.
 SAMPLE_ROWS = 4_000
 #: Hashed trigrams.
 BUCKETS = 1 << 16
@@ -45,15 +45,29 @@ def trigrams(text: str | None) -> "np.ndarray":
     return ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int64)
 
 
+def quotas(counts: dict[str, int]) -> dict[str, int]:
+    """Rows to draw of each label: ``SAMPLE_ROWS`` in equal parts; what a rare label can't fill goes to the others."""
+    out, left = {}, SAMPLE_ROWS
+    for place, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[label] = min(n, max(1, left // (len(counts) - place)))
+        left = max(0, left - out[label])
+    return out
+
+
 def fit(rows: DataFrame, text_col: str, label_col: str, id_col: str) -> tuple[list[str], np.ndarray]:
     """Languages and the (buckets, languages + 1) log likelihoods; the last column is ``und``."""
-    labelled = rows.where(F.col(label_col).isNotNull() & (F.col(label_col) != ""))
-    # A share of the ids first, so that no more than about the sample's own rows meet in one task.
-    n = labelled.count()
-    share = min(1.0, 1.2 * SAMPLE_ROWS / max(n, 1))
-    draw = F.coalesce(F.shiftrightunsigned(F.xxhash64(id_col), 33), F.lit(0))
-    drawn = labelled.where((draw <= int(share * (1 << 31))) & (F.length(text_col) > 2))
-    sample = drawn.orderBy(F.xxhash64(id_col), id_col).select(text_col, label_col).limit(SAMPLE_ROWS)
+    labelled = rows.where((F.col(label_col) != "") & (F.length(text_col) > 2)).select(
+        F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(id_col, text_col).alias("h")
+    ).withColumn("draw", F.shiftrightunsigned("h", 33))
+    seen = labelled.groupBy("label").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()
+    if not seen:
+        return [], np.zeros((BUCKETS, 1), dtype=np.float32)
+    quota = quotas({r.label: r.n for r in seen})
+    # The row of least draw is always among them, so that each label has a class.
+    limits = {r.label: max(quota[r.label] * (1 << 31) // r.n, r.least) for r in seen}
+    limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))
+    # A row repeated under its id is drawn once.
+    sample = labelled.where(F.col("draw") <= limit[F.col("label")]).dropDuplicates(["label", "h"]).select("text", "label")
 
     def count(text, label):
         bucket, n = np.unique(trigrams(text), return_counts=True)

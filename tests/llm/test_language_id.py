@@ -48,3 +48,20 @@ def test_rows_of_every_kind(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
     assert li.identify_documents(docs.limit(0)).count() == 0
     assert {r.accepted for r in li.identify_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {False}
+
+
+def test_rare_labels_have_a_class(spark, monkeypatch):
+    """More rows than the sample holds: three of French among 1,500 are still known."""
+    monkeypatch.setattr(li, "SAMPLE_ROWS", 60)
+    rnd = random.Random(6)
+    truth = {i: "fr" if i % 500 == 7 else "de" if i % 9 == 0 else "en" for i in range(1500)}
+    rows = [(i, _text(rnd, x, 20), x, "s") for i, x in truth.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: (r.language, r.accepted) for r in li.identify_documents(docs).collect()}
+    assert found == {i: (x, True) for i, x in truth.items()}
+    assert li.fit(docs.withColumn("doc_id", F.lit(None).cast("long")), "text", "lang", "doc_id")[0] == ["de", "en", "fr"]
+
+
+def test_quotas():
+    assert li.quotas({"a": 1, "b": 5000, "c": 9000}) == {"a": 1, "b": 1999, "c": 2000}
+    assert li.quotas({"a": 7, "b": 9}) == {"a": 7, "b": 9}
