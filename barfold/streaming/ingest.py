@@ -1,7 +1,7 @@
 """Incremental, restartable ingestion of newly landed day files."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,12 +63,23 @@ def failed_files(spark: SparkSession, target: str) -> DataFrame:
 
 
 def retry_failed(spark: SparkSession, target: str, at_most: int = 1000) -> None:
-    """Read failed files again: ``at_most`` of them, those of the smallest path first, the rest in later calls.
+    """Read all failed files again, in blocks of ``at_most`` by batch and path, until none is left untried.
 
     A repaired file enters the bars under the batch it landed in; the others stay in the log as failed.
     """
-    tried = failed_files(spark, target).orderBy("path").limit(at_most).collect()  # bounded by at_most
-    found = [r for r in tried if _exists(spark, r.path)]
+    place, last = F.struct("batch", "path"), None
+    while True:
+        failed = failed_files(spark, target)
+        if last is not None:
+            failed = failed.filter(place > F.struct(F.lit(last.batch).alias("batch"), F.lit(last.path).alias("path")))
+        tried = failed.orderBy("batch", "path").limit(at_most).collect()  # bounded by at_most
+        if not tried:
+            return
+        last = tried[-1]
+        _retry(spark, target, [r for r in tried if _exists(spark, r.path)])
+
+
+def _retry(spark: SparkSession, target: str, found: list[Row]) -> None:
     for batch in sorted({r.batch for r in found}):
         paths = [r.path for r in found if r.batch == batch]
         own = F.col("batch") == batch

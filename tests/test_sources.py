@@ -11,7 +11,7 @@ from barfold.sources.reference_data import (
 )
 from barfold.sources.sinks import write_report, write_review_queue
 from barfold.streaming.ingest import (
-    failed_files, ingest_incremental, landed_zip_stream, load_ingested, load_ingested_latest,
+    failed_files, ingest_incremental, landed_zip_stream, load_ingested, load_ingested_latest, retry_failed,
 )
 from tests.helpers import bar, bars, same_rows
 
@@ -139,6 +139,23 @@ def test_failed_files_are_kept_and_read_again(spark, landed, tmp_path_factory):
     assert run() == {"2024-01-03.zip"} and load_ingested(spark, target).count() == 5
 
 
+def test_files_that_stay_broken_hold_no_place(spark, tmp_path):
+    landing, target = tmp_path / "in", str(tmp_path / "bars")
+    days = [f"2024-01-0{n}" for n in (2, 3, 4, 5)]
+    for day in days:
+        land(landing, day, OLD)
+    zips = [next(landing.rglob(f"{day}.zip")) for day in days]
+    for path in zips:
+        path.write_bytes(b"no zip")
+    ingest_incremental(landed_zip_stream(spark, str(landing)), target, str(tmp_path / "cp"))
+    assert failed_files(spark, target).count() == 4
+    zips[0].unlink()
+    land(landing, days[3], OLD)
+    retry_failed(spark, target, at_most=2)
+    assert {r["path"][-14:-4] for r in failed_files(spark, target).collect()} == set(days[:3])
+    assert load_ingested(spark, target).count() == len(OLD.splitlines()) - 1
+
+
 def test_latest_restatement_keeps_rows_without_isin(spark, tmp_path):
     landing, target, checkpoint = tmp_path / "in", str(tmp_path / "bars"), str(tmp_path / "cp")
     early = DAYS[next(n for n in DAYS if n.startswith("1998"))]
