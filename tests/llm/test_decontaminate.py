@@ -54,6 +54,22 @@ def test_recall_and_precision_against_brute_force(planted):
     assert len(want) > 150 and len(got) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("size", [100, 250, 500, 1000])
+def test_recall_of_long_items_at_the_full_bound(size):
+    rnd = random.Random(size)
+    voc, foreign = [f"w{i}" for i in range(900)], [f"x{i}" for i in range(900)]
+    items = [(i, " ".join(rnd.choice(voc) for _ in range(size))) for i in range(4)]
+    index, found, n = dc.ItemIndex(items), 0, 40
+    for key in range(n):
+        words = _edited(rnd, items[key % 4][1].split(), size // 5, foreign)
+        before = [rnd.choice(voc) for _ in range(rnd.randint(0, 50))]
+        found += key % 4 in [m[0] for m in index.matches(" ".join(before + words + before))]
+    # All edits in one place: every part but a few is whole.
+    item = items[0][1].split()
+    assert [m[:2] for m in index.matches(" ".join(item[size // 5 :]))] == [(0, size // 5)]
+    assert found >= 0.99 * n
+
+
 def test_best_run_equals_plain_dynamic_programme():
     rnd = random.Random(4)
     for _ in range(300):
