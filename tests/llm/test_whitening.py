@@ -1,0 +1,79 @@
+import math
+import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from barfold.llm import whitening as wh
+
+DDL = "vec_id long, embedding array<double>, component string"
+
+
+def _whitened(spark, rows):
+    return wh.whiten(spark.createDataFrame(rows, DDL)).collect()
+
+
+def _integers(rows):
+    return {i: tuple(math.floor(256 * c) for c in v) for i, v, _ in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)}
+
+
+def _check(got, xs, rank=4):
+    """Against centred exact sums and a plain eigendecomposition."""
+    listed = sorted(set(xs.values()))
+    n, d = len(listed), len(listed[0])
+    sums = [sum(x[j] for x in listed) for j in range(d)]
+    centred = np.array([[float(Fraction(n * x[j] - sums[j], n)) for j in range(d)] for x in listed])
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    assert len(got) == len(xs) * rank
+    assert {(r.vec_id, r.component) for r in got} == {(i, c) for i in xs for c in range(1, rank + 1)}
+    signs = {}
+    for r in got:
+        x = xs[r.vec_id]
+        want = np.array([float(Fraction(n * x[j] - sums[j], n)) for j in range(d)]) @ vt[r.component - 1] / (s[r.component - 1] / math.sqrt(n))
+        if abs(want) > 1e-3:
+            signs.setdefault(r.component, np.sign(want * r.whitened))
+        assert abs(r.whitened * signs.get(r.component, 1) - want) < 1e-6 * (1 + abs(want))
+        deviation = sum((n * x[j] - sums[j]) ** 2 for j in range(d))
+        assert r.n == n and r.deviation == (deviation if deviation < 2**63 else None)
+        assert r.explained == pytest.approx(s[r.component - 1] ** 2 / (s**2).sum(), rel=1e-9)
+        assert r.identity_error < 1e-9
+
+
+def test_against_plain_svd(spark):
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(0, 1) * (j + 1) + 3 for j in range(9)], "x") for i in range(400)]
+    rows += [(1000 + i, rows[i % 7][1], "x") for i in range(300)]  # many copies count once in the fit list
+    _check(_whitened(spark, rows), _integers(rows))
+
+
+def test_ill_conditioned_and_dependent_dimensions(spark):
+    """Deviations of 1e7 to 1 beside a large offset, a constant dimension, and one that is the sum of two others."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(500):
+        a, b, c, e = (rnd.randrange(-1000, 1000) * 10000, rnd.randrange(-1000, 1000) * 50, rnd.randrange(-900, 900), rnd.randrange(-3, 4))
+        rows.append((i, [v / 256 for v in (a + 10**9, a + b, c, 7, a + b + c, e - 10**6)], "x"))
+    _check(_whitened(spark, rows), _integers(rows))
+
+
+def test_fewer_components_than_four(spark):
+    rows = [(i, [float(i % 5), 2.0 * (i % 5), 1.0], "x") for i in range(50)]
+    _check(_whitened(spark, rows), _integers(rows), rank=1)
+
+
+def test_rows_of_every_kind(spark):
+    nan, inf = float("nan"), float("inf")
+    base = [(i, [math.sin(i), math.cos(3 * i)], "x") for i in range(30)]
+    odd = [(50, None, "x"), (51, [1.0, None], "x"), (52, [nan, 1.0], "x"), (53, [inf, 1.0], "x"), (54, [], "x"), (55, [4.0, 5.0, 6.0], None)]
+    got = _whitened(spark, [*base, *odd, (None, [0.1, 0.2], "x"), (3, base[3][1], "x")])
+    assert len([r for r in got if r.vec_id == 3]) == 4 and len([r for r in got if r.vec_id is None]) == 2
+    assert not {r.vec_id for r in got} & {50, 51, 52, 53, 54, 55} and {r.n for r in got} == {31}
+    two = _whitened(spark, [*base, *[(100 + i, [math.sin(5 * i), 1.0, 2.0 * i], "x") for i in range(20)]])
+    assert {(r.vec_id >= 100, r.n) for r in two} == {(False, 30), (True, 20)}
+    assert _whitened(spark, []) == [] and _whitened(spark, [(1, [2.0, 3.0], "x")]) == []
+
+
+def test_deviations_beyond_a_long_are_null(spark):
+    got = _whitened(spark, [(i, [float(i * 2**40), float(i % 3)], "x") for i in range(20)])
+    assert {r.deviation is None for r in got if r.vec_id not in (9, 10)} == {True} and len(got) == 40
