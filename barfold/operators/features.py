@@ -6,10 +6,17 @@ rows per security), so partitioning by isin cannot produce a hot task, and
 one exchange plus one sort on (isin, date) serves every frame below.
 """
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barfold.functions.scalars import calendar_columns
+from barfold.operators.rolling import RollingDeviation, RollingMedian
+from barfold.schemas import TARGET_COLUMN
 
 VOL_WINDOW = 20
 VOLUME_WINDOW = 252
@@ -52,13 +59,30 @@ def realized_vol(rows: DataFrame, window: int = VOL_WINDOW) -> DataFrame:
 def volume_baseline(
     rows: DataFrame, window: int = VOLUME_WINDOW, min_rows: int = VOLUME_MIN_ROWS
 ) -> DataFrame:
-    """Trailing exact median and deviation of log volume."""
-    logged = rows.withColumn("log_vol", F.ln(F.col("volume") + 1))
-    return logged.withColumns({
-        "log_vol_baseline": _guarded(
-            F.percentile("log_vol", F.lit(0.5)), "log_vol", window, min_rows),
-        "log_vol_std": _guarded(F.stddev_samp("log_vol"), "log_vol", window, min_rows),
-    })
+    """Trailing exact median and deviation of log volume, once ``min_rows`` values are there.
+
+    A security's rows stream in date order through a sorted window (an Arrow map), which costs a search per row where a
+    window function orders the whole frame again for each. The exchange and sort are those of the other features' windows.
+    """
+    logged = rows.withColumns({"log_vol": F.ln(F.col("volume") + 1), "_place": F.row_number().over(by_date())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        median, deviation, seen = RollingMedian(window, min_rows), RollingDeviation(window, min_rows), 0
+        for batch in batches:
+            place = np.asarray(batch.column("_place"))
+            if not np.array_equal(place, np.arange(seen + 1, seen + 1 + len(place))):
+                raise RuntimeError("a security's rows did not arrive in date order")
+            seen += len(place)
+            values = batch.column("log_vol").to_numpy(zero_copy_only=False)
+            out = batch.drop_columns(["_place"])
+            for name, statistic in (("log_vol_baseline", median), ("log_vol_std", deviation)):
+                out = out.append_column(name, pa.array(statistic.of(values), pa.float64(), from_pandas=True))
+            yield out
+
+    schema = T.StructType([
+        *logged.drop("_place").schema.fields,
+        *(T.StructField(c, T.DoubleType()) for c in ("log_vol_baseline", "log_vol_std"))])
+    return logged.groupBy("isin").applyInArrow(run, schema)
 
 
 def scaled_features(rows: DataFrame) -> DataFrame:
@@ -87,9 +111,14 @@ def history_flag(rows: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
 
 
 def compute_features(prices: DataFrame) -> DataFrame:
-    """All feature columns, the label and the history flag, rows unchanged."""
+    """All feature columns, the label and the history flag, rows unchanged.
+
+    Every window function comes before the Arrow map of ``volume_baseline`` and everything after it is row by row: one
+    exchange and one sort in all.
+    """
     out = prices
-    for step in (log_returns, realized_vol, volume_baseline, scaled_features,
-                 calendar_encoding, forward_return, history_flag):
+    for step in (log_returns, realized_vol, forward_return, history_flag, volume_baseline, scaled_features,
+                 calendar_encoding):
         out = step(out)
-    return out
+    last = [TARGET_COLUMN, "has_sufficient_history"]
+    return out.select(*[c for c in out.columns if c not in last], *last)

@@ -105,10 +105,10 @@ def exact_quantiles(
     made inside those buckets only, and the values themselves are looked at
     inside the few fine buckets that remain. Every row is counted, but no more
     than a sliver of the values is ever shuffled. Meant for few groups (folds) of
-    any size.
+    any size. Null and NaN are missing and do not count.
     """
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    rows = df.filter(~missing(F.col(value))).select(*keys, value)
     spots = F.array(*[F.lit(float(p)) for p in probs])
     position = F.transform(spots, lambda p: p * (F.col("_n") - 1))
     needed = F.array_distinct(F.concat(

@@ -6,13 +6,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barfold.operators.ranking import exact_quantiles
+from barfold.operators.ranking import exact_quantiles, missing
 from barfold.operators.walkforward import filter_split
 from barfold.schemas import QUANTILES, TARGET_COLUMN
 
 def fit_ar1(assigned: DataFrame, x: str = "ret_1", y: str = TARGET_COLUMN) -> DataFrame:
-    """(fold, slope, intercept) of the next return on the current one."""
-    return filter_split(assigned, "train").groupBy("fold").agg(
+    """(fold, slope, intercept) of the next return on the current one; rows where either is null or NaN do not count."""
+    whole = filter_split(assigned, "train").filter(~missing(F.col(x)) & ~missing(F.col(y)))
+    return whole.groupBy("fold").agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
@@ -40,7 +41,7 @@ def fit_predict_quantiles(
     approximate: bool = False,
 ) -> DataFrame:
     """Training quantiles of the label as the (unconditional) forecast array."""
-    train = filter_split(assigned, "train").select("fold", y)
+    train = filter_split(assigned, "train").select("fold", y).filter(~missing(F.col(y)))
     if approximate:
         fitted = train.groupBy("fold").agg(
             F.percentile_approx(y, [float(q) for q in quantiles], 100_000).alias("pred"))

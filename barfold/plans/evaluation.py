@@ -3,7 +3,7 @@
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barfold.operators.features import compute_features
@@ -14,8 +14,9 @@ from barfold.operators.samples import sample_index
 from barfold.operators.signals import fit_predict_ar1, fit_predict_quantiles, median_forecast
 from barfold.operators.universe import restrict_to_universe
 from barfold.operators.walkforward import (
-    EMBARGO_DAYS, Fold, assert_no_leakage, assign_splits, filter_split, fold_counts,
+    EMBARGO_DAYS, Fold, assert_no_leakage, assign_splits, filter_split, fold_counts, folds_frame, pending_folds,
 )
+from barfold.plans.fingerprint import digest, of_table
 from barfold.schemas import TARGET_COLUMN
 from barfold.session import scratch_path, stage_table
 from barfold.sources.sinks import write_report
@@ -81,29 +82,57 @@ def evaluation_report(preds: DataFrame, book: str = "per_symbol") -> DataFrame:
     return with_verdict(fold_results(preds, book))
 
 
+_FOLD_KEY = "run string, fold string"
+
+
+def stored_folds(spark: SparkSession, root: str, run: str) -> DataFrame:
+    """(fold, scores) of every fold that was run below ``root`` from the same inputs; no scores for a fold too small to use."""
+    try:
+        return spark.read.parquet(f"{root}/folds").filter(F.col("run") == run).drop("run")
+    except AnalysisException:
+        return spark.createDataFrame([], _FOLD_KEY).drop("run")
+
+
+def store_folds(results: DataFrame, folds: Sequence[Fold], root: str, run: str) -> None:
+    """Each fold's result in a partition of its own, which replaces what is there: writing twice leaves one."""
+    every = folds_frame(results.sparkSession, folds).select("fold").join(results, "fold", "left")
+    every.withColumn("run", F.lit(run)).repartition(1).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("run", "fold").parquet(f"{root}/folds")
+
+
 def run_evaluation(
     curated: DataFrame, folds: Sequence[Fold], root: str, seq_len: int = 120,
     embargo_days: int = EMBARGO_DAYS, book: str = "per_symbol", universe: DataFrame | None = None,
-    forecasts: Callable[[DataFrame], DataFrame] = ar1_forecasts,
+    forecasts: Callable[[DataFrame], DataFrame] = ar1_forecasts, version: str = "",
 ) -> DataFrame:
     """Universe, features, samples, guarded fits and scores; the report is written below ``root`` and returned.
 
-    Folds whose results are already stored below ``root`` are not run again; folds that are too small have no
-    result. Only securities of ``universe`` take part, if one is given.
+    A fold's result is stored under the fingerprint of all it was made from: the rows of ``curated`` and ``universe``, the
+    parameters, the code of ``forecasts`` (with its closure and defaults) and ``version``, which the caller changes
+    when something else matters. Folds that are stored under the same fingerprint are not run again; anything different is
+    a run of its own beside the others. Folds that are too small are stored without scores and stay out of the report. Only
+    securities of ``universe`` take part, if one is given.
+
+    The inputs are hashed by one scan before anything else is done. A run that breaks off leaves its stored folds to be
+    reused, and one that is repeated replaces partitions, so no fold is ever there twice.
     """
     spark = curated.sparkSession
-    results = f"{root}/folds"
-    try:
-        done = {r["fold"] for r in spark.read.parquet(results).select("fold").distinct().collect()}  # one per fold
-    except AnalysisException:
-        done = set()
-    pending = [f for f in folds if f.label not in done]
+    members = None if universe is None else universe.select("isin").distinct()
+    run = "run-" + digest(of_table(curated), of_table(members), seq_len, embargo_days, book, forecasts, version)
+    # A fold's own dates belong to its name in the store: the same label over other dates is another fold.
+    named = {f"{f.label}@{f.test_start}..{f.test_end}": f for f in folds}
+    asked = [Fold(name, f.test_start, f.test_end) for name, f in named.items()]
+    todo = {r["fold"] for r in pending_folds(folds_frame(spark, asked), stored_folds(spark, root, run)).collect()}  # one per fold
+    pending = [f for f in asked if f.label in todo]
     if pending:
         rows = curated if universe is None else restrict_to_universe(curated, universe)
-        samples = stage_table(labelled_samples(rows, seq_len), "samples", f"{root}/samples")
+        samples = stage_table(labelled_samples(rows, seq_len), "samples")
         preds = stage_table(
             walk_forward_predictions(samples, pending, embargo_days, forecasts), "predictions", scratch_path(spark, "predictions"))
-        fold_results(preds, book).write.mode("append").parquet(results)
-    report = with_verdict(spark.read.parquet(results).filter(F.col("fold").isin([f.label for f in folds])))
+        store_folds(fold_results(preds, book), pending, root, run)
+    done = stored_folds(spark, root, run).filter(F.col("fold").isin([f.label for f in asked]) & F.col("n").isNotNull())
+    labels = F.create_map(*[F.lit(x) for name, f in named.items() for x in (name, f.label)])
+    ordered = ["fold", *[c for c in done.columns if c != "fold"]]
+    report = with_verdict(done.withColumn("fold", labels[F.col("fold")]).select(*ordered))
     write_report(report, f"{root}/report")
     return report

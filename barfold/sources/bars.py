@@ -1,8 +1,11 @@
 """Day files in, normalised bars out, and the year-partitioned bar store."""
 
+import csv
 import io
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +22,11 @@ ship_by_value(__name__)
 DATE_IN_NAME = r"(\d{4}-\d{2}-\d{2})(?!.*\d{4}-\d{2}-\d{2})"  # last one in the path
 OLD_LAYOUT_MARKER = next(t for t, c in OLD_LAYOUT.items() if c == "symbol")
 LINES_PER_BATCH = 8192
-MAX_COLUMNS = 64  # columns of a day file; the layouts have 34 at most
-_LINES = "_path string, date date, header string, line string, _error string"
+MAX_COLUMNS = 64  # columns of a day file; the layouts have 34 at most, and a file with more is set aside
+LINES = "_path string, titles string, line string, _error string"
+_BETWEEN = "\x1f"  # titles of a header, once read
+_QUOTED = re.compile(r'(?:^|,)"')
+_BLANKS = " \t\r\n\v\f\u00a0"
 
 
 def _one_row(*columns: Column) -> Column:
@@ -29,7 +35,7 @@ def _one_row(*columns: Column) -> Column:
 
 
 def _trimmed(text: Column) -> Column:
-    return F.btrim(text, F.lit(" \t\r\n\v\f\u00a0"))
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def _typed(field: T.StructField) -> Column:
@@ -45,65 +51,90 @@ def _typed(field: T.StructField) -> Column:
 
 # ---------------------------------------------------------------- day files
 
-def _text_lines(path: str, content: bytes) -> Iterator[str]:
-    """Lines of a day file; of a zip its first member, unpacked as it is read."""
-    if not path.lower().endswith(".zip"):
-        yield from io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", newline=None)
-        return
-    with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(archive.infolist()[0]) as raw:
-        yield from io.TextIOWrapper(raw, "utf-8-sig", newline=None)
+def _records(path: str, opened: BinaryIO) -> Iterator[str]:
+    """Records of a day file, of a zip its first member's, unpacked as they are read; a quoted line break stays in its record."""
+    if path.lower().endswith(".zip"):
+        with zipfile.ZipFile(opened) as archive, archive.open(archive.infolist()[0]) as raw:
+            yield from _whole(io.TextIOWrapper(raw, "utf-8-sig", newline=None))
+    else:
+        yield from _whole(io.TextIOWrapper(opened, "utf-8-sig", newline=None))
+
+
+def _whole(lines: Iterator[str]) -> Iterator[str]:
+    """Lines, joined where a cell that begins with a quote goes on; a quote inside a cell is a character like others."""
+    held = ""
+    for line in lines:
+        held += line
+        if held.count('"') % 2 == 0 or not _QUOTED.search(held):
+            yield held.rstrip("\n")
+            held = ""
+    if held:
+        raise ValueError("a quote is not closed")
+
+
+def _titles(header: str) -> str:
+    """A header's titles, read like any record."""
+    titles = [t.strip(_BLANKS) for t in next(csv.reader([header]), [])]
+    if len(titles) > MAX_COLUMNS:
+        raise ValueError(f"{len(titles)} columns, more than {MAX_COLUMNS}")
+    return _BETWEEN.join(titles)
+
+
+def file_lines(path: str, opened: Callable[[], BinaryIO]) -> Iterator[pa.RecordBatch]:
+    """(path, titles, line) of every record below a file's first one, as Arrow batches; one error row for a broken file."""
+    def batch_of(titles: str | None, lines: list, error: str | None = None) -> pa.RecordBatch:
+        n = len(lines)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, pa.string()) for x in ([path] * n, [titles] * n, lines, [error] * n)], names=["_path", "titles", "line", "_error"])
+
+    held, good = [], []
+    try:
+        with opened() as content:
+            lines = _records(path, content)
+            titles = _titles(next(lines, ""))
+            for line in lines:
+                if line.strip():
+                    held.append(line)
+                if len(held) == LINES_PER_BATCH:
+                    good.append(pa.array(held))
+                    held = []
+        # Rows leave only when the whole file was readable: a cut-off day is an error, not a short day.
+        for part in (*good, pa.array(held, pa.string())):
+            yield batch_of(titles, part.to_pylist())
+        if not good and not held:
+            yield batch_of(titles, [None])
+    except Exception as exc:  # one bad day must not stop the others
+        yield batch_of(None, [None], f"{type(exc).__name__}: {exc}")
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, date, header, line) of every line below the first one; one error row for a broken file."""
-    def batch_of(path, date, header, lines, error=None) -> pa.RecordBatch:
-        n = len(lines)
-        return pa.RecordBatch.from_arrays([
-            pa.array([path] * n, pa.string()), pa.array([date] * n, pa.date32()), pa.array([header] * n, pa.string()),
-            pa.array(lines, pa.string()), pa.array([error] * n, pa.string()),
-        ], names=["_path", "date", "header", "line", "_error"])
-
     for batch in batches:
         for i in range(batch.num_rows):
-            path, date, content = (batch.column(c)[i].as_py() for c in ("_path", "date", "content"))
-            held, good = [], []
-            try:
-                lines = _text_lines(path, content)
-                header = next(lines, "").rstrip("\n")
-                for line in lines:
-                    if line.strip():
-                        held.append(line.rstrip("\n"))
-                    if len(held) == LINES_PER_BATCH:
-                        good.append(pa.array(held))
-                        held = []
-                # Rows leave only when the whole file was readable: a cut-off day is an error, not a short day.
-                for part in (*good, pa.array(held, pa.string())):
-                    yield batch_of(path, date, header, part.to_pylist())
-                if not good and not held:
-                    yield batch_of(path, date, header, [None])
-            except Exception as exc:  # one bad day must not stop the others
-                yield batch_of(path, date, None, [None], f"{type(exc).__name__}: {exc}")
+            path, content = (batch.column(c)[i].as_py() for c in ("path", "content"))
+            yield from file_lines(path, lambda c=content: io.BytesIO(c))
 
 
 def parse_day_files(files: DataFrame) -> DataFrame:
     """Bars plus ``_path`` / ``_file`` / ``_error`` from (path, content) rows of day files, zipped or plain.
 
-    One file is one exchange day and the natural task unit. Python only unpacks lines;
-    layout, selection and typing are column expressions, the same for all
-    layouts and containers. The header is a file's first line. A file that cannot be read, has no
-    date in its name or no known header gives one row with ``_error``. Works
-    on batch and streaming frames.
+    One file is one exchange day and the natural task unit. Python only unpacks lines. Works on batch and streaming frames.
     """
-    named = files.select(
-        F.col("path").alias("_path"),
-        F.try_to_date(F.regexp_extract("path", DATE_IN_NAME, 1)).alias("date"), "content",
-    )
-    lines = named.mapInArrow(_unpack, _LINES)
-    titles = F.transform(F.split("header", ","), _trimmed)
-    csv = F.from_csv("line", ", ".join(f"c{i} string" for i in range(MAX_COLUMNS)), {
-        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
-    cells = lines.select("_path", "date", "_error", "line", _one_row(titles.alias("_titles"), csv.alias("_csv")))
-    cells = cells.select("*", _one_row(
+    return parse_lines(files.select("path", "content").mapInArrow(_unpack, LINES))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Bars plus ``_path`` / ``_file`` / ``_error`` from the lines of day files (``LINES``).
+
+    Layout, selection and typing are column expressions, the same for all layouts and containers. The header is a file's
+    first record, read like any other: quoted titles are known too. A file that cannot be read, has no
+    date in its name, no known header or more than ``MAX_COLUMNS`` columns gives rows with ``_error``, and no bars.
+    """
+    csv_cells = F.from_csv("line", ", ".join(f"c{i} string" for i in range(MAX_COLUMNS)), {
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": '"'})
+    date = F.try_to_date(F.regexp_extract("_path", DATE_IN_NAME, 1))
+    read = lines.select("_path", date.alias("date"), "_error", "line", _one_row(
+        F.split("titles", _BETWEEN).alias("_titles"), csv_cells.alias("_csv")))
+    cells = read.select("*", _one_row(
         F.array(*[F.col(f"_csv.c{i}") for i in range(MAX_COLUMNS)]).alias("_cells"),
         F.array_contains("_titles", NEW_LAYOUT_MARKER).alias("_new"),
         F.array_contains("_titles", OLD_LAYOUT_MARKER).alias("_old")))

@@ -1,7 +1,20 @@
-"""Incremental, restartable ingestion of newly landed day files."""
+"""Incremental, restartable ingestion of newly landed day files.
+
+Three stored tables side by side, all of them only ever added to:
+
+* bars, by (year, attempt): what an attempt read from the files that parsed;
+* files, by attempt: each file's outcome, with its error if it has one;
+* commits: one row per attempt that is complete.
+
+An attempt is a batch of the stream, a second look at files that failed, or a compaction. Readers see the attempts in the
+commits and nothing else, so a batch's bars and outcomes appear together, and what a broken-off attempt left behind never
+shows. Nothing stored is written again but by ``compact``.
+"""
+
+import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,127 +22,196 @@ from barfold.schemas import BARS
 from barfold.session import stage_table
 from barfold.sources.bars import good_bars, parse_day_files
 
-_FILES = T.StructType([
+_LANDED = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("modificationTime", T.TimestampType()),
     T.StructField("length", T.LongType()),
     T.StructField("content", T.BinaryType()),
 ])
-_STORED = T.StructType(
-    list(BARS.fields)
-    + [T.StructField("batch", T.LongType()), T.StructField("year", T.IntegerType())]
-)
+_ORIGIN = "batch long, path string, modified timestamp"
+_STORED = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BARS.fields) + f", {_ORIGIN}, attempt string, year int"
+_FILES = f"{_ORIGIN}, length long, error string, attempt string"
+_COMMITS = "attempt string, batch long, replaces array<string>"
 
 
 def landed_zip_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of zipped day files as they land below ``path``."""
     return (
-        spark.readStream.format("binaryFile").schema(_FILES)
+        spark.readStream.format("binaryFile").schema(_LANDED)
         .option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
     )
 
 
-_LOG = "path string, error string, batch long"
+def _beside(target: str, name: str) -> str:
+    return f"{target.rstrip('/')}-{name}"
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
 
-def _log_path(target: str) -> str:
-    return f"{target.rstrip('/')}-files"
+def commits(spark: SparkSession, target: str) -> DataFrame:
+    """(attempt, batch) of what readers see: committed, not replaced by a compaction, one attempt per batch."""
+    every = _read(spark, _beside(target, "commits"), _COMMITS)
+    replaced = every.select(F.explode("replaces").alias("attempt"))
+    seen = every.join(replaced, "attempt", "left_anti").select("attempt", "batch")
+    # The same batch committed by two drivers at once: the lesser name is the one that counts.
+    once = seen.filter(F.col("batch").isNotNull()).groupBy("batch").agg(F.min("attempt").alias("attempt"))
+    return once.select("attempt", "batch").unionByName(seen.filter(F.col("batch").isNull()))
+
+
+def _batch_is_stored(spark: SparkSession, target: str, batch: int) -> bool:
+    every = _read(spark, _beside(target, "commits"), _COMMITS)  # compactions replace batches, they don't undo them
+    return not every.filter(F.col("batch") == batch).isEmpty()
+
+
+def _visible(rows: DataFrame, target: str) -> DataFrame:
+    return rows.join(commits(rows.sparkSession, target).select("attempt"), "attempt", "left_semi")
+
+
+def _bars(spark: SparkSession, target: str) -> DataFrame:
+    return _visible(_read(spark, target, _STORED), target)
 
 
 def _store(
-    files: DataFrame, batch: int, target: str, old_bars: DataFrame | None = None, old_log: DataFrame | None = None
+    bars: DataFrame, files: DataFrame, target: str, name: str, batch: int | None = None, replaces: list[str] | None = None
 ) -> None:
-    """Bars of a batch into its (year, batch) partitions, then its files with their errors into the log."""
-    parsed = stage_table(parse_day_files(files), "parsed")
-    number = F.lit(batch).cast("long")
-    bars = good_bars(parsed).withColumns({"year": F.year("date"), "batch": number})
-    log = parsed.select(F.col("_path").alias("path"), F.col("_error").alias("error")).distinct().withColumn("batch", number)
-    if old_bars is not None:
-        bars, log = bars.unionByName(old_bars), log.unionByName(old_log)
-    for rows, path, parts in ((bars, target, ("year", "batch")), (log, _log_path(target), ("batch",))):
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    """Bars and outcomes under a new attempt, then its commit."""
+    spark, attempt = bars.sparkSession, f"{name}-{uuid.uuid4().hex}"
+    marked = bars.withColumns({"year": F.year("date"), "attempt": F.lit(attempt)})
+    marked.write.mode("append").partitionBy("year", "attempt").parquet(target)
+    files.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt").parquet(_beside(target, "files"))
+    spark.createDataFrame([(attempt, batch, replaces or [])], _COMMITS).repartition(1).write.mode("append").parquet(
+        _beside(target, "commits"))
+
+
+def _or_null(files: DataFrame, column: str, kind: str) -> Column:
+    return (F.col(column) if column in files.columns else F.lit(None)).cast(kind)
+
+
+def _parsed(files: DataFrame, batch: Column) -> tuple[DataFrame, DataFrame]:
+    """(bars of the files that parsed, outcome of every file), each with its origin, read from one stored parse."""
+    parsed = stage_table(parse_day_files(files.select("path", "content")), "parsed")
+    origin = files.select(
+        "path", _or_null(files, "modificationTime", "timestamp").alias("modified"), _or_null(files, "length", "long").alias("length"),
+        batch.cast("long").alias("batch"))
+    outcomes = parsed.select(F.col("_path").alias("path"), F.col("_error").alias("error")).distinct().join(origin, "path", "left")
+    bars = parsed.filter(F.col("_error").isNull()).withColumn("path", F.col("_path")).join(origin.drop("length"), "path", "left")
+    return bars.select(*BARS.names, "batch", "path", "modified"), outcomes.select("batch", "path", "modified", "length", "error")
 
 
 def landed_files(spark: SparkSession, target: str) -> DataFrame:
-    """(path, error, batch) of every file read so far; ``error`` is null where its bars are stored."""
-    try:
-        return spark.read.schema(_LOG).parquet(_log_path(target))
-    except AnalysisException:
-        return spark.createDataFrame([], _LOG)
+    """(path, error, batch, modified, length) of every file read so far; ``error`` is null where its bars are stored.
+
+    A file that was read more than once has its last outcome, and a good one for good.
+    """
+    last = F.struct(F.col("error").isNull(), "batch", "modified")
+    return _visible(_read(spark, _beside(target, "files"), _FILES), target).groupBy("path").agg(*(
+        F.max_by(c, last).alias(c) for c in ("error", "batch", "modified", "length")))
 
 
 def failed_files(spark: SparkSession, target: str) -> DataFrame:
     return landed_files(spark, target).filter(F.col("error").isNotNull())
 
 
+def _present(spark: SparkSession, folders: list[str]) -> DataFrame | None:
+    """(path, modificationTime, length) of the files in those of the folders that exist; contents are not read."""
+    found = []
+    for folder in folders:
+        try:
+            found.append(spark.read.format("binaryFile").load(folder).select("path", "modificationTime", "length"))
+        except AnalysisException:
+            continue
+    out = None
+    for files in found:
+        out = files if out is None else out.unionByName(files)
+    return out
+
+
 def retry_failed(spark: SparkSession, target: str, at_most: int = 1000) -> None:
-    """Read all failed files again, in blocks of ``at_most`` by batch and path, until none is left untried.
+    """Read the failed files again that were replaced since, in blocks of ``at_most`` paths.
 
-    A repaired file enters the bars under the batch it landed in; the others stay in the log as failed.
+    A file that is as it was (same time and length) is not read. Of those that are read only the ones that now parse are
+    stored, as one attempt that adds their bars (under the batch they landed in) and outcomes; for the others nothing
+    is written. Files whose time is not known are read each time.
     """
-    place, last = F.struct("batch", "path"), None
-    while True:
-        failed = failed_files(spark, target)
-        if last is not None:
-            failed = failed.filter(place > F.struct(F.lit(last.batch).alias("batch"), F.lit(last.path).alias("path")))
-        tried = failed.orderBy("batch", "path").limit(at_most).collect()  # bounded by at_most
-        if not tried:
-            return
-        last = tried[-1]
-        _retry(spark, target, [r for r in tried if _exists(spark, r.path)])
-
-
-def _retry(spark: SparkSession, target: str, found: list[Row]) -> None:
-    for batch in sorted({r.batch for r in found}):
-        paths = [r.path for r in found if r.batch == batch]
-        own = F.col("batch") == batch
-        log = stage_table(landed_files(spark, target).filter(own & ~F.col("path").isin(paths)), "log")
-        bars = stage_table(_stored(spark, target).filter(own), "present")
-        _store(spark.read.format("binaryFile").load(paths).select("path", "content"), batch, target, bars, log)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException:
-        return False
-    return True
+    failed = failed_files(spark, target)
+    folders = failed.select(F.regexp_extract("path", "^(.*)/", 1).alias("f")).distinct().collect()  # landing folders
+    present = _present(spark, sorted(r.f for r in folders if r.f))
+    if present is None:
+        return
+    same = failed["modified"].eqNullSafe(present["modificationTime"]) & failed["length"].eqNullSafe(present["length"])
+    changed = stage_table(failed.join(present, "path").filter(~same).select("path", "batch"), "changed")
+    last = ""
+    while block := changed.filter(F.col("path") > last).orderBy("path").limit(at_most).collect():  # bounded by at_most
+        last = block[-1].path
+        files = spark.read.format("binaryFile").load([r.path for r in block]).join(changed, "path")
+        bars, outcomes = _parsed(files, F.col("batch"))
+        repaired = outcomes.filter(F.col("error").isNull())
+        if not repaired.isEmpty():
+            _store(bars, repaired, target, "retry")
+
+
+def _ingest(batch: DataFrame, number: int, target: str) -> None:
+    if not _batch_is_stored(batch.sparkSession, target, number):
+        bars, outcomes = _parsed(batch, F.lit(number))
+        _store(bars, outcomes, target, f"batch{number}", number)
 
 
 def ingest_incremental(files: DataFrame, target: str, checkpoint: str) -> None:
     """Store everything that landed since the last call, then stop.
 
-    Files that failed before are read again first. The checkpoint remembers which files were
-    read, so a second call re-reads nothing else. Every landed file is either in
-    the bars or in the log with its error. ``foreachBatch`` may repeat a batch after a failure; each
-    batch owns its partitions and replaces them, so a repeat leaves no duplicates.
+    Files that failed before and were replaced are read again first. The checkpoint remembers which files were read, so
+    a second call re-reads nothing else. Every landed file is either in the bars or in the outcomes with its error.
+    ``foreachBatch`` may repeat a batch after a failure: one that is committed is not stored again.
     """
     retry_failed(files.sparkSession, target)
     query = (
         files.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, number: _store(batch, number, target)).start()
+        .foreachBatch(lambda batch, number: _ingest(batch, number, target)).start()
     )
     query.awaitTermination()
 
 
-def _stored(spark: SparkSession, target: str) -> DataFrame:
-    try:
-        return spark.read.schema(_STORED).parquet(target)
-    except AnalysisException:
-        return spark.createDataFrame([], _STORED)
+def compact(spark: SparkSession, target: str) -> None:
+    """All visible attempts as one, with one set of files per year; what it replaces stays on disk until ``clear_replaced``."""
+    names = sorted(r.attempt for r in commits(spark, target).collect())  # one per batch, retry or compaction since the last one
+    if len(names) < 2:
+        return
+    bars = stage_table(_bars(spark, target).drop("attempt"), "compacted").hint("rebalance", F.col("year"))
+    files = stage_table(landed_files(spark, target), "outcomes")
+    _store(bars.sortWithinPartitions("date", "isin"), files.repartition(1), target, "compact", None, names)
+
+
+def clear_replaced(spark: SparkSession, target: str) -> int:
+    """Delete the folders of attempts that a committed compaction replaces; returns how many folders went."""
+    every = _read(spark, _beside(target, "commits"), _COMMITS)
+    replaced = [r.attempt for r in every.select(F.explode("replaces").alias("attempt")).distinct().collect()]
+    jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for attempt in replaced:
+        for pattern in (f"{target}/year=*/attempt={attempt}", f"{_beside(target, 'files')}/attempt={attempt}"):
+            path = jvm.org.apache.hadoop.fs.Path(pattern)
+            system = path.getFileSystem(conf)
+            for found in system.globStatus(path) or ():
+                gone += bool(system.delete(found.getPath(), True))
+    return gone
 
 
 def load_ingested(spark: SparkSession, target: str) -> DataFrame:
     """All ingested bars."""
-    return _stored(spark, target).drop("batch", "year")
+    return _bars(spark, target).select(*BARS.names)
 
 
 def load_ingested_latest(spark: SparkSession, target: str) -> DataFrame:
-    """The bars of each date as its last batch states them: a restated day replaces the day before it.
+    """The bars of each date as its last file states them: a restated day replaces the day before it.
 
-    Rows are not merged, whatever their isin; a date's batches are its only key.
+    The last file is that of the last batch, within a batch the one landed last, then the one last by path. Rows are
+    not merged, whatever their isin; a date's files are its only key.
     """
-    rows = _stored(spark, target)
-    last = rows.groupBy("date").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["date", "batch"], "left_semi").drop("batch", "year")
+    rows = _bars(spark, target).withColumn("_origin", F.struct("batch", "modified", "path"))
+    last = rows.groupBy("date").agg(F.max("_origin").alias("_origin"))
+    return rows.join(last, ["date", "_origin"], "left_semi").select(*BARS.names)

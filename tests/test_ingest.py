@@ -1,0 +1,136 @@
+"""What incremental ingestion writes, and what readers see of it."""
+
+import os
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from barfold.sources import bars as src
+from barfold.streaming import ingest
+from tests.helpers import same_rows
+from tests.test_sources import OLD, land
+
+
+class Store:
+    def __init__(self, spark, folder):
+        self.spark, self.landing = spark, folder / "in"
+        self.target, self.checkpoint = str(folder / "bars"), str(folder / "cp")
+
+    def run(self):
+        ingest.ingest_incremental(ingest.landed_zip_stream(self.spark, str(self.landing)), self.target, self.checkpoint)
+
+    def stored(self) -> dict[str, int]:
+        return {str(p): p.stat().st_mtime_ns for f in (self.target, f"{self.target}-files", f"{self.target}-commits")
+                for p in Path(f).rglob("*.parquet")}
+
+    def break_(self, day):
+        path = next(self.landing.rglob(f"{day}.zip"))
+        path.write_bytes(b"no zip")
+        return path
+
+    def rows(self):
+        return ingest.load_ingested(self.spark, self.target)
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    made = Store(spark, tmp_path)
+    for n in range(2, 8):
+        land(made.landing, f"2024-01-0{n}", OLD)
+    made.break_("2024-01-03")
+    made.run()
+    return made
+
+
+PER_FILE = len(OLD.splitlines()) - 1
+
+
+def test_a_file_that_stays_broken_writes_nothing(store):
+    before = store.stored()
+    store.run()
+    store.run()
+    assert store.stored() == before
+    # Replaced by another broken one: it is read, and still nothing is written.
+    path = store.break_("2024-01-03")
+    path.write_bytes(b"still no zip")
+    store.run()
+    assert store.stored() == before and ingest.failed_files(store.spark, store.target).count() == 1
+
+
+def test_an_unchanged_file_is_not_read_again(store, monkeypatch):
+    monkeypatch.setattr(ingest, "_parsed", lambda *_: pytest.fail("read again"))
+    ingest.retry_failed(store.spark, store.target)
+
+
+def test_a_repaired_file_adds_its_own_files_only(store):
+    before = store.stored()
+    land(store.landing, "2024-01-03", OLD)
+    store.run()
+    after = store.stored()
+    assert before.items() <= after.items()
+    assert {Path(p).parent.name.split("-")[0] for p in after.keys() - before.keys()} <= {"attempt=retry", "bars"}
+    assert store.rows().count() == 6 * PER_FILE and ingest.failed_files(store.spark, store.target).isEmpty()
+    assert same_rows(store.rows(), src.read_bars(store.spark, str(store.landing)))
+    store.run()
+    assert store.stored() == after
+
+
+def test_bars_and_outcomes_become_visible_together(store, monkeypatch):
+    land(store.landing, "2024-02-01", OLD)
+    real = ingest._beside
+
+    def broken(target, name):
+        if name == "commits" and len(list(Path(f"{target}-files").iterdir())) > full:
+            raise OSError("driver lost")
+        return real(target, name)
+
+    full = len(list(Path(f"{store.target}-files").iterdir()))
+    monkeypatch.setattr(ingest, "_beside", broken)
+    with pytest.raises(Exception, match="driver lost"):
+        store.run()
+    monkeypatch.undo()
+    assert store.rows().count() == 5 * PER_FILE and ingest.landed_files(store.spark, store.target).count() == 6
+    store.run()  # the batch is repeated; what the lost driver left is not seen
+    assert store.rows().count() == 6 * PER_FILE and ingest.landed_files(store.spark, store.target).count() == 7
+
+
+def test_a_committed_batch_is_not_stored_again(store):
+    before = store.stored()
+    frame = src.read_files(store.spark, str(store.landing), "*.zip")
+    ingest._ingest(frame, 0, store.target)
+    assert store.stored() == before
+    ingest._ingest(frame.limit(0), 77, store.target)
+    assert store.rows().count() == 5 * PER_FILE
+
+
+def test_restatement_within_one_batch(spark, tmp_path):
+    store = Store(spark, tmp_path)
+    for n, (name, close) in enumerate([("2024-01-05", "1.0,"), ("a/2024-01-05", "99.0,"), ("2024-01-06", "5.0,")]):
+        land(store.landing / Path(name).parent, Path(name).name, OLD.replace("10.5,", close))
+        path = sorted(store.landing.rglob(f"{Path(name).name}.zip"), key=lambda p: p.stat().st_mtime_ns)[-1]
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    store.run()
+    got = ingest.load_ingested_latest(spark, store.target)
+    assert got.count() == 2 * PER_FILE and store.rows().count() == 3 * PER_FILE
+    fifth = got.filter(F.col("date") == "2024-01-05").first().asDict().values()
+    assert 99.0 in fifth and 1.0 not in fifth
+
+
+def test_compaction_keeps_rows_and_outcomes(store):
+    for n in range(1, 4):
+        land(store.landing, f"2024-02-0{n}", OLD)
+        store.run()
+    rows, files = store.rows().cache(), ingest.landed_files(store.spark, store.target).cache()
+    assert rows.count() == 8 * PER_FILE and files.count() == 9
+    ingest.compact(store.spark, store.target)
+    assert ingest.commits(store.spark, store.target).count() == 1
+    assert ingest.clear_replaced(store.spark, store.target) > 0
+    assert same_rows(store.rows(), rows) and same_rows(ingest.landed_files(store.spark, store.target), files)
+    after = store.stored()
+    ingest.compact(store.spark, store.target)
+    store.run()
+    assert store.stored() == after
+    land(store.landing, "2024-01-03", OLD)
+    store.run()
+    assert store.rows().count() == 9 * PER_FILE and ingest.failed_files(store.spark, store.target).isEmpty()

@@ -1,4 +1,5 @@
 import datetime as dt
+import functools
 
 import numpy as np
 import pytest
@@ -14,7 +15,9 @@ from barfold.operators.walkforward import (
     Fold, assert_no_leakage, assign_splits, filter_split, fold_counts, folds_frame,
     leakage_guard, pending_folds, session_cutoffs, shuffle_labels, yearly_folds,
 )
+from barfold.plans import evaluation
 from barfold.plans.evaluation import median_forecasts, run_evaluation
+from barfold.plans.fingerprint import digest
 from tests.helpers import adjusted, weekdays
 
 FOLD = Fold("t", dt.date(2016, 6, 1), dt.date(2016, 12, 31))
@@ -153,8 +156,6 @@ def test_whole_evaluation(ar_samples, spark, tmp_path):
     assert row["fold"] == "c" and row["mean_ic"] > 0.2 and row["gate_pass"]
     assert row["n"] > 200 and row["net_sharpe"] > 1
     assert spark.read.json(f"{root}/report").first()["fold"] == "c"
-    # A stored fold is not run again: without prices the report is the same.
-    assert run_evaluation(prices.limit(0), CONTROL, root, seq_len=20).first() == row
     few = spark.createDataFrame([("K1",), ("K2",), ("K3",), ("K4",)], "isin string")
     part = run_evaluation(prices, CONTROL, str(tmp_path / "few"), seq_len=20, universe=few, forecasts=median_forecasts).first()
     assert 0 < part["n"] < row["n"] and part["mean_ic"] is None
@@ -164,3 +165,87 @@ def test_leaking_rows_stop_a_run(ar_samples):
     _, samples = ar_samples
     with pytest.raises(AssertionError, match="leakage"):
         assert_no_leakage(filter_split(assign_splits(samples, CONTROL, 0), "train"), CONTROL, embargo_days=10)
+
+
+def test_gaps_do_not_reach_the_fits(spark):
+    nan = float("nan")
+    rows = [("f", "train", "A", dt.date(2020, 1, 1), x, y) for x, y in zip(
+        [0.1, 0.2, 0.3, 0.4, nan, 0.2, None], [1.0, 2.0, 3.0, 4.0, 9.0, nan, 5.0])]
+    rows += [("f", "train", "A", dt.date(2020, 1, 1), 0.0, v) for v in ()] + [("f", "test", "A", dt.date(2021, 1, 1), 0.5, 1.0)]
+    df = spark.createDataFrame(rows, "fold string, split string, isin string, label_date date, ret_1 double, fwd_ret_1 double")
+    fitted = fit_ar1(df).first()
+    assert (fitted.slope, fitted.intercept) == (pytest.approx(10.0), pytest.approx(0.0))
+    known = [1.0, 2.0, 3.0, 4.0, 5.0, 9.0]
+    for approximate in (False, True):
+        got = fit_predict_quantiles(df, quantiles=(0.0, 0.5, 1.0), approximate=approximate).first()["pred"]
+        assert got == pytest.approx([1.0, np.median(known) if not approximate else 3.0, 9.0])
+
+
+# ---- stored folds: reused only for the same inputs
+
+def _scores(report):
+    return sorted(tuple(r) for r in report.collect())
+
+
+def _files(root):
+    return sorted((p.relative_to(root).as_posix(), p.stat().st_mtime_ns) for p in root.glob("folds/**/*.parquet"))
+
+
+def test_stored_folds_are_reused_only_for_the_same_inputs(ar_samples, tmp_path, monkeypatch):
+    prices, _ = ar_samples
+    prices = prices.cache()
+    root = tmp_path / "run"
+
+    def run(**changed):
+        given = {"seq_len": 20} | changed
+        return _scores(run_evaluation(changed.pop("prices", prices), given.pop("folds", CONTROL), str(root), **{k: v for k, v in given.items() if k != "prices"}))
+
+    first = run()
+    stored = _files(root)
+    assert run() == first and _files(root) == stored  # nothing was written again
+    changes = [
+        {"seq_len": 60}, {"forecasts": median_forecasts}, {"book": "pooled"}, {"embargo_days": 30}, {"version": "2"},
+        {"prices": prices.filter("isin <> 'K1'")}, {"universe": prices.filter("isin > 'K2'").select("isin")},
+        {"folds": [Fold("c", dt.date(2018, 10, 1), dt.date(2018, 12, 31))]},
+    ]
+    for n, change in enumerate(changes, 2):
+        assert len(run(**change)) == 1
+        assert len(_files(root)) == n  # a result of its own for each
+    assert run(seq_len=60) != first and run(forecasts=median_forecasts) != first
+    fresh = _scores(run_evaluation(prices, CONTROL, str(tmp_path / "fresh"), seq_len=60, forecasts=median_forecasts, book="pooled"))
+    assert run(seq_len=60, forecasts=median_forecasts, book="pooled") == fresh
+
+
+def test_forecasts_are_told_apart_by_their_code():
+    def scaled(k):
+        return lambda df: df.withColumn("pred", F.col("pred") * k)
+
+    assert digest(scaled(1)) == digest(scaled(1)) != digest(scaled(2))
+    assert digest(functools.partial(max, key=len)) != digest(functools.partial(max, key=abs))
+
+
+def test_a_run_that_breaks_off_leaves_no_fold_twice(ar_samples, tmp_path, monkeypatch):
+    prices, _ = ar_samples
+    folds = [Fold("a", dt.date(2018, 7, 1), dt.date(2018, 9, 30)), CONTROL[0], Fold("late", dt.date(2030, 1, 1), dt.date(2030, 12, 31))]
+    root = tmp_path / "run"
+
+    def broken(*_):
+        raise OSError("no space left")
+
+    monkeypatch.setattr(evaluation, "write_report", broken)
+    with pytest.raises(OSError):
+        run_evaluation(prices, folds[:1], str(root), seq_len=20)
+    stored = _files(root)
+    monkeypatch.undo()
+    report = run_evaluation(prices, folds, str(root), seq_len=20)
+    assert sorted(r.fold for r in report.collect()) == ["a", "c"]  # the fold without samples has no scores
+    assert set(stored) <= set(_files(root)) and len(_files(root)) == 3
+    again = _files(root)
+    run_evaluation(prices, folds, str(root), seq_len=20)
+    assert _files(root) == again  # the empty fold is not tried again either
+    # Two runs of the same fold at once: the later one replaces the earlier one's partition.
+    run = next(p.name.removeprefix("run=") for p in (root / "folds").glob("run=*"))
+    results = evaluation.stored_folds(prices.sparkSession, str(root), run).filter("fold like 'a@%'").cache()
+    name = results.first()["fold"]
+    evaluation.store_folds(results, [Fold(name, folds[0].test_start, folds[0].test_end)], str(root), run)
+    assert evaluation.stored_folds(prices.sparkSession, str(root), run).groupBy("fold").count().filter("count > 1").isEmpty()

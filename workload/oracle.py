@@ -396,6 +396,8 @@ _QUALITY = ("isin, symbol, first_date, last_date, n_sessions, n_zero_volume, "
 _FINAL = {
     "read_bars": f"SELECT {_READ} FROM x_raw",
     "read_bars_csv": f"SELECT {_READ} FROM x_raw",
+    "read_bars_zips": f"SELECT {_READ} FROM x_raw",
+    "read_bars_zip_stream": f"SELECT {_READ} FROM x_raw",
     "quarantine_bad_files":
         "SELECT CAST(min(date) AS VARCHAR) || '_0_bad.zip' AS file, true AS has_error "
         "FROM x_raw GROUP BY year(date)",
@@ -543,6 +545,16 @@ _FINAL = {
         "SELECT fold, isin, date, (round(CASE WHEN sd > 0 THEN (ret_1 - mu) / sd END, 6) + 0.0) "
         "AS pred FROM (SELECT *, avg(ret_1) OVER w AS mu, stddev_samp(ret_1) OVER w AS sd "
         "FROM x_test_rows WINDOW w AS (PARTITION BY fold, date))",
+    "score_panels_softmax":
+        f"SELECT fold, isin, date, {r('exp(v - max(v) OVER w) / sum(exp(v)) OVER w * exp(max(v) OVER w)', 'pred', 9)} "
+        "FROM (SELECT *, round(ret_1, 10) AS v FROM x_test_rows) WINDOW w AS (PARTITION BY fold, date)",
+    "score_panels_rank":
+        f"SELECT fold, isin, date, {r('(rank() OVER (PARTITION BY fold, date ORDER BY v) - 0.5) / count(*) OVER (PARTITION BY fold, date)', 'pred', 9)} "
+        "FROM (SELECT *, round(ret_1, 10) AS v FROM x_test_rows)",
+    "fit_gaps":
+        f"SELECT fold, {r('regr_slope(fwd_ret_1, ret_1)', 'slope')}, {r('regr_intercept(fwd_ret_1, ret_1)', 'intercept')}, "
+        f"{r('quantile_cont(fwd_ret_1, 0.1)', 'q1')}, {r('quantile_cont(fwd_ret_1, 0.5)', 'q5')} "
+        "FROM x_assigned WHERE split = 'train' AND dayofmonth(feature_end_date) NOT IN (5, 6) GROUP BY fold",
     "score_panels_by":
         "SELECT fold, isin, date, (round(CASE WHEN sd > 0 THEN (ret_1 - mu) / sd END, 6) + 0.0) "
         "AS pred FROM (SELECT *, avg(ret_1) OVER w AS mu, stddev_samp(ret_1) OVER w AS sd "

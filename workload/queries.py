@@ -8,6 +8,7 @@ import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +17,7 @@ from barfold.functions.arrays import patchify
 from barfold.functions.corporate_actions import action_multiplier
 from barfold.functions.scalars import signum_deadzone
 from barfold.operators import (
-    adjust, curate, features, metrics, quality, samples, signals, universe, walkforward,
+    adjust, curate, features, metrics, panels, quality, samples, signals, universe, walkforward,
 )
 from barfold.operators.ranking import average_ranks
 from barfold.plans import curated as curated_plan
@@ -24,7 +25,7 @@ from barfold.plans import evaluation
 from barfold.schemas import FEATURE_COLUMNS, QUANTILES, TARGET_COLUMN
 from barfold.session import keep_table, scratch_path, stage_table
 from barfold.sources import bars as bar_files
-from barfold.sources import reference_data, sinks
+from barfold.sources import day_file_source, reference_data, sinks
 from barfold.streaming import ingest
 from workload import fixtures
 
@@ -150,6 +151,36 @@ def read_bars_csv(x: Inputs) -> DataFrame:
     return bar_files.read_bars_csv(x.spark, path)
 
 
+def _land_day_files(x: Inputs, lines: DataFrame, path: str) -> None:
+    """Zips of a day's lines, one per block of keys, below ``path``."""
+    block = F.expr(f"k div {fixtures.ROWS_PER_FILE_KEYS}")
+    day_file_source.write_day_files(lines.select(
+        F.concat_ws("", F.col("day").cast("string"), F.lit("_"), block, F.lit(".zip")).alias("file"), "header", "line"), path)
+
+
+@query
+def read_bars_zips(x: Inputs) -> DataFrame:
+    """Real zips written to shared storage and read back, both through the data source."""
+    path = scratch_path(x.spark, "day-zips")
+    _land_day_files(x, fixtures.csv_lines(x.bars_raw), path)
+    return day_file_source.read_bars_from_source(x.spark, path)
+
+
+@query
+def read_bars_zip_stream(x: Inputs) -> DataFrame:
+    """Two landings of zips through the source's stream: each file once."""
+    root = scratch_path(x.spark, "zip-stream")
+    landing, bars, checkpoint = (f"{root}/{p}" for p in ("landing", "bars", "checkpoint"))
+    lines = stage_table(fixtures.csv_lines(x.bars_raw), "day-lines")
+    early = F.year("day") < 1998
+    for part in (early, ~early, F.lit(False)):
+        _land_day_files(x, lines.filter(part), landing)
+        stream = day_file_source.day_file_line_stream(x.spark, landing, f"{root}/found")
+        parsed = bar_files.good_bars(bar_files.parse_lines(stream))
+        parsed.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).format("parquet").start(bars).awaitTermination()
+    return x.spark.read.parquet(bars)
+
+
 @query
 def quarantine_bad_files(x: Inputs) -> DataFrame:
     parsed = bar_files.parse_day_files(fixtures.day_files(x.spark, x.bars_raw))
@@ -547,6 +578,23 @@ def shuffle_labels(x: Inputs) -> DataFrame:
 
 # ------------------------------------------------------------------ signals and metrics
 
+def _nan_labels(assigned: DataFrame) -> DataFrame:
+    """NaN labels on the 5th of a month, no labels on the 6th."""
+    day = F.dayofmonth("feature_end_date")
+    label = F.when(day == 5, F.lit(float("nan"))).when(day != 6, F.col(TARGET_COLUMN))
+    return assigned.withColumn(TARGET_COLUMN, label)
+
+
+@query
+def fit_gaps(x: Inputs) -> DataFrame:
+    """Both fits over labels with gaps, as one row per fold."""
+    gapped = _nan_labels(x.assigned)
+    levels = signals.fit_predict_quantiles(gapped).groupBy("fold").agg(F.first("pred").alias("pred"))
+    fitted = signals.fit_ar1(gapped).join(levels, "fold")
+    return rounded(fitted.select("fold", "slope", "intercept", F.col("pred")[0].alias("q1"), F.col("pred")[4].alias("q5")),
+                   "slope", "intercept", "q1", "q5")
+
+
 @query
 def fit_predict_ar1(x: Inputs) -> DataFrame:
     return rounded(signals.fit_predict_ar1(x.assigned), "pred", "actual")
@@ -582,6 +630,55 @@ def score_panels_by(x: Inputs) -> DataFrame:
     return rounded(scored.select("fold", "isin", "date", F.nanvl("pred", F.lit(None)).alias("pred")), "pred")
 
 
+def _softmax_sum(key, batches):
+    top, total = float("-inf"), 0.0
+    for batch in batches:
+        ret = batch.column("ret_1").to_numpy()
+        high = max(top, ret.max())
+        total, top = total * np.exp(top - high) + np.exp(ret - high).sum(), high
+    return top, total
+
+
+def _softmax(key, seen, batches):
+    top, total = seen
+    return (np.exp(batch.column("ret_1").to_numpy() - top) / total for batch in batches)
+
+
+def _rank_share(key, n, batches):
+    """Place of each name in its panel, ties at their first place; the rows come sorted."""
+    row, place, last = 0, 0, None
+    for batch in batches:
+        out = []
+        for value in batch.column("ret_1").to_pylist():
+            row += 1
+            if value != last:
+                place, last = row, value
+            out.append((place - 0.5) / n)
+        yield out
+
+
+def _panel_rows(x: Inputs) -> DataFrame:
+    return walkforward.filter_split(x.assigned, "test").select(
+        "fold", "isin", F.col("label_date").alias("date"), F.round("ret_1", 10).alias("ret_1"))
+
+
+@query
+def score_panels_softmax(x: Inputs) -> DataFrame:
+    """A function of all names of a date: their softmax, each panel streamed twice."""
+    scored = panels.score_whole_panels(_panel_rows(x), _softmax, summarize=_softmax_sum)
+    return rounded(scored.select("fold", "isin", "date", "pred"), "pred", dp=9)
+
+
+@query
+def score_panels_rank(x: Inputs) -> DataFrame:
+    """The share of a date's names below each, over rows that stream in order of their return."""
+    def size(key, batches):
+        return sum(b.num_rows for b in batches)
+
+    scored = panels.score_whole_panels(_panel_rows(x), _rank_share, order=["ret_1", "isin"], summarize=size)
+    return rounded(scored.select("fold", "isin", "date", "pred"), "pred", dp=9)
+
+
 def _with_gaps(preds: DataFrame) -> DataFrame:
     """Forecasts with NaN on some days of the year and null on others."""
     day = F.dayofyear("date")
