@@ -262,6 +262,10 @@ def _search(docs: DataFrame, items: list[tuple], max_share: float, schema: str)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item; rows with a null id stay."""
-    bad = contamination(docs, items).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text contains a benchmark item; rows with a null id stay.
+
+    Rows with one id and different texts are judged apart.
+    """
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("_of")).alias("row"), "text")
+    bad = contamination(keyed, items, id_col="row").select("doc_id.*").distinct()
+    return docs.withColumn("_of", F.xxhash64("text")).join(bad, ["doc_id", "_of"], "left_anti").select(*docs.columns)

@@ -199,14 +199,15 @@ def _small(table: DataFrame, name: str) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose language isn't accepted; ``lang`` is label and declaration.
+    """``docs`` without the rows whose language isn't accepted; ``lang`` is label and declaration.
 
-    Rows with a null id stay.
+    Rows with one id that differ in text, ``lang`` or ``source`` are judged apart. Rows with a null id stay.
     """
-    found = identify_documents(docs)
-    bad = found.where(~F.col("accepted") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    own = F.xxhash64("text", "lang", "source")
+    found = identify_documents(docs.select(F.struct("doc_id", own.alias("_of")).alias("row"), "text", "lang", "source"), "row")
+    bad = found.where(~F.col("accepted")).select("doc_id.*").distinct()
+    return docs.withColumn("_of", own).join(bad, ["doc_id", "_of"], "left_anti").select(*docs.columns)
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
-    return identify(docs, declared=F.col("lang"), host=F.col("source"))
+def identify_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return identify(docs, id_col, declared=F.col("lang"), host=F.col("source"))

@@ -25,7 +25,7 @@ from barfold.llm.common import stored
 MIN_WORDS = 5
 
 
-#: Lines (16 bytes each) up to which the lines to look at again are broadcast; beyond, they are joined by a shuffle.
+#: Lines (24 bytes each) up to which the lines to look at again are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
 
@@ -33,10 +33,14 @@ def _words(line: str) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
+#: A line's place: rows are told apart by id and text, so that texts that share an id are documents of their own.
+PLACE = ("doc_id", "of_text", "line_no")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, line`` of every line that isn't blank, without outer blanks."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", F.trim("line").alias("line")).where("line <> ''")
+    """``PLACE`` and ``line`` of every line that isn't blank, without outer blanks."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("of_text"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select(*PLACE, F.trim("line").alias("line")).where("line <> ''")
 
 
 def _halves() -> Column:
@@ -82,8 +86,8 @@ def near_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
     partners = stored(_may_have_partner(lines).select("first.*"), "partners")
     if partners.count() <= BROADCAST_LINES:
         partners = F.broadcast(partners)
-    again = _lines(docs).join(partners, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"])
-    may = stored(again.select(F.struct("doc_id", "line_no").alias("first"), _words("line").alias("words")), "may")
+    again = _lines(docs).join(partners, list(PLACE)).dropDuplicates(PLACE)
+    may = stored(again.select(F.struct(*PLACE).alias("first"), _words("line").alias("words")), "may")
 
     w, n = F.col("words"), F.size("words")
     variants = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(
@@ -108,25 +112,25 @@ def near_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no`` of every line that an earlier one equals or differs from by one word.
+    """``doc_id, of_text, line_no`` of every line that an earlier one equals or differs from by one word.
 
-    Earlier means a smaller (doc_id, line_no); which lines were dropped themselves
+    Earlier means a smaller (doc_id, hash of the row's text, line_no); which lines were dropped themselves
     does not matter. Lines are compared without outer blanks, words are what blanks separate; blank
-    lines and rows with a null ``doc_id`` or text take no part. A row repeated under
-    the same ``doc_id`` counts as the same document.
+    lines and rows with a null ``doc_id`` or text take no part. Rows with one id and different texts are
+    documents of their own; a row repeated with the same text counts as the same document.
     """
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     places = _lines(docs).withColumn("words", _words("line")).select(
-        "doc_id", "line_no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), _halves().alias("halves")
+        *PLACE, F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), _halves().alias("halves")
     )
     places = stored(places, "places")
     lines = stored(places.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("halves").alias("halves")
+        F.min(F.struct(*PLACE)).alias("first"), F.first("halves").alias("halves")
     ), "distinct")
     near = stored(near_repeats(docs, lines).withColumn("near", F.lit(True)), "near")
     known = lines.drop("halves").join(near, "first", "left")
-    later = F.struct("doc_id", "line_no") != F.col("first")
-    return places.drop("halves").join(known, ["h1", "h2"]).where(F.col("near") | later).select("doc_id", "line_no")
+    later = F.struct(*PLACE) != F.col("first")
+    return places.drop("halves").join(known, ["h1", "h2"]).where(F.col("near") | later).select(*PLACE)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -137,10 +141,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text, and how many went. A null text stays null with 0 lines; a text whose
     lines all went is empty.
     """
-    gone = stored(repeats(docs), "repeats").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = stored(repeats(docs), "repeats").groupBy(F.col("doc_id").alias("_id"), F.col("of_text").alias("_of")).agg(
+        F.sort_array(F.collect_set("line_no")).alias("at"))
+    # One mark a line up to the last that goes, so that looking up a line costs the same wherever it is.
+    before = F.transform("at", lambda x, i: x - F.when(i > 0, F.get("at", i - 1) + 1).otherwise(0))
+    marks = F.array_join(F.transform(before, lambda n: F.concat(F.repeat(F.lit("."), n), F.lit("x"))), "")
+    gone = gone.select("_id", "_of", F.split(marks, "").alias("_gone"))
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
-    out = docs.drop("n_lines", "n_dropped").join(gone, F.col("doc_id") == F.col("_id"), "left")
+    kept = F.filter(lines, lambda line, i: F.coalesce(F.get("_gone", i) != "x", F.lit(True)))
+    out = docs.drop("n_lines", "n_dropped").join(
+        gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_of")), "left")
     out = out.withColumn("_kept", F.when(F.col("_gone").isNull(), lines).otherwise(kept))
     out = out.withColumns({
         "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"),

@@ -174,10 +174,10 @@ ORACLE: dict[str, str] = {
     """,
     "op6_line_dedup": r"""
         WITH lines AS (
-            SELECT doc_id, i - 1 AS line_no, x[i] AS raw, trim(x[i]) AS line
-            FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS t(i)
+            SELECT doc_id, h, i - 1 AS line_no, x[i] AS raw, trim(x[i]) AS line
+            FROM (SELECT doc_id, md5(text) AS h, string_split(text, chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS t(i)
         ), firsts AS (
-            SELECT line, min({'d': doc_id, 'n': line_no}) AS f FROM lines WHERE line <> '' GROUP BY line
+            SELECT line, min({'d': doc_id, 'h': h, 'n': line_no}) AS f FROM lines WHERE line <> '' GROUP BY line
         ), worded AS (
             SELECT line, f, list_filter(string_split(line, ' '), lambda w: w <> '') AS ws
             FROM firsts
@@ -192,11 +192,11 @@ ORACLE: dict[str, str] = {
             UNION SELECT g.line FROM gaps g JOIN wholes w USING (k) WHERE w.f < g.f
             UNION SELECT w.line FROM gaps g JOIN wholes w USING (k) WHERE g.f < w.f
         ), kept AS (
-            SELECT l.*, l.line = '' OR ({'d': doc_id, 'n': line_no} = firsts.f AND near.line IS NULL) AS stays
+            SELECT l.*, l.line = '' OR ({'d': doc_id, 'h': h, 'n': line_no} = firsts.f AND near.line IS NULL) AS stays
             FROM lines l LEFT JOIN firsts USING (line) LEFT JOIN near USING (line)
         )
         SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (stays), '') AS text,
             count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped
-        FROM kept GROUP BY doc_id
+        FROM kept GROUP BY doc_id, h
     """,
 }

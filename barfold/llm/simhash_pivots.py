@@ -164,21 +164,36 @@ def near_duplicates(
     ``component_id``; repeated rows stay repeated; an empty table gives no rows.
     """
     prints = stored(fingerprints(docs, id_col, text_col, width).withColumnRenamed(id_col, "doc_id"), "fingerprints")
+    return _with_components(prints, max_bits).select("doc_id", "fp", "component_id")
+
+
+def _with_components(prints: DataFrame, max_bits: int) -> DataFrame:
+    """``prints`` with ``component``, a number of each group of linked fingerprints, and ``component_id``, its smallest id.
+
+    Fingerprints are linked as such: an id on rows of different fingerprints does not join them.
+    """
     classes = stored(
-        prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")), "classes"
-    )
-    roots = components(near_links(classes, max_bits))
-    known = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(known, "fp", "left").select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+        prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "classes"
     )
+    roots = stored(components(near_links(classes.select("fp", "node"), max_bits)), "roots")
+    least = roots.join(classes, "node").groupBy("root").agg(F.min("least").alias("of_root"))
+    known = classes.join(roots.join(least, "root"), "node", "left").select(
+        "fp", F.coalesce("root", "node").alias("component"), F.coalesce("of_root", "least").alias("component_id"))
+    named = F.col("doc_id").isNotNull()
+    return prints.join(known, "fp", "left").withColumns({c: F.when(named, F.col(c)) for c in ("component", "component_id")})
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest ``doc_id``, once.
+def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one row of each group: the one of smallest (``doc_id``, fingerprint, hash of the text).
 
-    Rows with a null ``doc_id`` are kept.
+    Rows with one id and different texts are documents of their own. Of rows that are equal in id and text the one with
+    the smallest other columns stays. Rows with a null ``doc_id`` are kept.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    own = F.xxhash64("text")
+    keyed = docs.where(F.col("doc_id").isNotNull()).select(F.struct("doc_id", own.alias("of_text")).alias("row"), "text")
+    prints = stored(fingerprints(keyed, "row", "text").select("row.*", "fp"), "fingerprints")
+    kept = _with_components(prints, max_bits).groupBy("component").agg(
+        F.min(F.struct("doc_id", "fp", "of_text")).alias("kept")).select("kept.doc_id", F.col("kept.of_text").alias("_of"))
+    named = docs.withColumn("_of", own).join(kept, ["doc_id", "_of"], "left_semi")
+    one = named.groupBy("doc_id", "_of").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return one.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
