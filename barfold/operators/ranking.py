@@ -109,39 +109,49 @@ def exact_quantiles(
     """
     keys = list(keys)
     rows = df.filter(~missing(F.col(value))).select(*keys, value)
-    spots = F.array(*[F.lit(float(p)) for p in probs])
-    position = F.transform(spots, lambda p: p * (F.col("_n") - 1))
-    needed = F.array_distinct(F.concat(
-        F.transform(position, lambda p: F.floor(p)), F.transform(position, lambda p: F.ceil(p))))
-
-    def holding(counts: DataFrame, cells: list[str], order: str) -> DataFrame:
-        """Cells that hold a wanted position, with the number of rows before them."""
-        # ``_start`` is the count before the enclosing cell of the previous, coarser level.
-        inside = F.sum("_count").over(_running([*keys, *cells], order)) - F.col("_count")
-        return counts.withColumn("_before", F.col("_start") + inside).filter(
-            F.exists(needed, lambda p: (F.col("_before") <= p)
-                     & (p < F.col("_before") + F.col("_count"))))
-
     coarse, fine = (magnitude_bucket(F.col(value), g) for g in QUANTILE_GRIDS)
     first = (
         rows.groupBy(*keys, coarse.alias("_coarse")).agg(F.count(F.lit(1)).alias("_count"))
         .withColumn("_start", F.lit(0))
         .withColumn("_n", F.sum("_count").over(Window.partitionBy(*keys)))
     )
-    kept = holding(first, [], "_coarse").select(*keys, "_coarse", "_n", F.col("_before").alias("_start"))
+    kept = holding_cells(first, keys, "_coarse", probs).select(*keys, "_coarse", "_n", F.col("_before").alias("_start"))
     # At most two cells per level and group (a fold) pass each filter: the broadcasts are bounded.
     second = (
         rows.withColumn("_coarse", coarse).join(F.broadcast(kept), [*keys, "_coarse"])
         .groupBy(*keys, "_coarse", "_n", "_start", fine.alias("_fine"))
         .agg(F.count(F.lit(1)).alias("_count"))
     )
-    kept = holding(second, ["_coarse"], "_fine").select(
+    kept = holding_cells(second, [*keys, "_coarse"], "_fine", probs).select(
         *keys, "_fine", "_n", F.col("_before").alias("_start"))
     third = (
         rows.withColumn("_fine", fine).join(F.broadcast(kept), [*keys, "_fine"])
         .groupBy(*keys, "_fine", "_n", "_start", value).agg(F.count(F.lit(1)).alias("_count"))
     )
-    packed = holding(third, ["_fine"], value).groupBy(*keys).agg(
+    return interpolated_quantiles(holding_cells(third, [*keys, "_fine"], value, probs), keys, value, probs, out)
+
+
+def _positions(probs: Sequence[float]) -> Column:
+    return F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: p * (F.col("_n") - 1))
+
+
+def holding_cells(counts: DataFrame, within: Sequence[str], order: str, probs: Sequence[float]) -> DataFrame:
+    """Of cells with ``_count`` rows those that hold a wanted position of their group's ``_n``, with ``_before`` rows before.
+
+    ``_start`` is the count before the enclosing cell ``within`` which they are ordered.
+    """
+    needed = F.array_distinct(F.concat(
+        F.transform(_positions(probs), lambda p: F.floor(p)), F.transform(_positions(probs), lambda p: F.ceil(p))))
+    inside = F.sum("_count").over(_running(within, order)) - F.col("_count")
+    return counts.withColumn("_before", F.col("_start") + inside).filter(
+        F.exists(needed, lambda p: (F.col("_before") <= p) & (p < F.col("_before") + F.col("_count"))))
+
+
+def interpolated_quantiles(
+    near: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str
+) -> DataFrame:
+    """Quantiles of each group from the values (``_before``, ``_count``) at their positions: two per quantile at most."""
+    packed = near.groupBy(*keys).agg(
         F.collect_list(F.struct("_before", "_count", F.col(value).alias("v"))).alias("_near"),
         F.max("_n").alias("_n"))
 
@@ -154,7 +164,7 @@ def exact_quantiles(
         lo, hi = F.floor(p), F.ceil(p)
         return value_at(lo) + (value_at(hi) - value_at(lo)) * (p - lo)
 
-    return packed.select(*keys, F.transform(position, interpolated).alias(out))
+    return packed.select(*keys, F.transform(_positions(probs), interpolated).alias(out))
 
 
 def position_by_hash(df: DataFrame, hashed: str, ties: Sequence[str], out: str) -> DataFrame:

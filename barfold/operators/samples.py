@@ -62,21 +62,25 @@ def sample_index(
     )
 
 
-def _windows(state: DataFrame, seq_len: int, columns: Sequence[str]) -> DataFrame:
+def _windows(state: DataFrame, seq_len: int, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The usable rows of ``state`` with their ``window``.
 
-    A security's rows are gathered once, in order (bounded by the calendar), and sliced at the
-    usable rows only; no frame is built for the others.
+    A security's rows are gathered once, in order (bounded by the calendar). Each usable row takes its window as a
+    slice of them, which shares the rows' arrays, before the rows are generated: a generated row carries its own
+    window and not the whole security.
     """
     cells = F.array(*[F.col(c) for c in columns])
-    rest = [c for c in state.columns if c not in columns]
+    rest = [c for c in state.columns if (c not in columns or c in keep) and c not in ("isin", "array_idx", "_usable")]
     packed = state.groupBy("isin").agg(F.sort_array(F.collect_list(F.struct(
-        "array_idx", cells.alias("_cells"), *[c for c in rest if c not in ("isin", "array_idx")]))).alias("_rows"))
-    usable = packed.select(
-        "isin", F.transform("_rows", lambda r: r["_cells"]).alias("_all"),
-        F.inline(F.filter("_rows", lambda r: r["_usable"])))
-    window = F.slice("_all", F.col("array_idx") - (seq_len - 2), seq_len)
-    return usable.withColumn("window", window).drop("_all", "_cells")
+        "array_idx", cells.alias("_cells"), "_usable", *rest))).alias("_rows"))
+    split = packed.select(
+        "isin", F.transform("_rows", lambda r: r["_cells"]).alias("_all"), F.filter("_rows", lambda r: r["_usable"]).alias("_rows"))
+
+    def with_window(r: Column) -> Column:
+        window = F.slice("_all", r["array_idx"] - (seq_len - 2), seq_len)
+        return F.struct(r["array_idx"].alias("array_idx"), *[r[c].alias(c) for c in rest], window.alias("window"))
+
+    return split.select("isin", F.inline(F.transform("_rows", with_window)))
 
 
 def sample_windows(
@@ -112,6 +116,7 @@ def panel_index(
     min_symbols_per_date: int = 5,
     feature_columns: Sequence[str] = FEATURE_COLUMNS,
     with_windows: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per (date, name) of every panel with enough valid names.
 
@@ -124,12 +129,12 @@ def panel_index(
     members = restrict_to_universe(features, universe)
     state = _with_window_state(members, seq_len, feature_columns)
     columns = ["isin", F.col("date").alias("feature_end_date"), "array_idx",
-               F.col("_next_date").alias("target_date"), F.col(TARGET_COLUMN).alias("target")]
-    state = state.select(
-        "isin", "date", "array_idx", "_next_date", "_usable", TARGET_COLUMN, *(feature_columns if with_windows else ()))
+               F.col("_next_date").alias("target_date"), F.col(TARGET_COLUMN).alias("target"), *keep]
+    asked = [*keep, *(c for c in (feature_columns if with_windows else ()) if c not in keep)]
+    state = state.select("isin", "date", "array_idx", "_next_date", "_usable", TARGET_COLUMN, *asked)
     if with_windows:
         columns.append("window")
-    valid = (_windows(state, seq_len, feature_columns) if with_windows else state.filter("_usable")).select(*columns)
+    valid = (_windows(state, seq_len, feature_columns, keep) if with_windows else state.filter("_usable")).select(*columns)
     days = next_market_date(members).select(
         F.col("date").alias("feature_end_date"), F.col("next_date").alias("label_date"))
     sizes = valid.groupBy("feature_end_date").agg(F.count(F.lit(1)).alias("n_names"))
@@ -137,7 +142,7 @@ def panel_index(
         F.broadcast(days), "feature_end_date")
     out = valid.join(F.broadcast(panels), "feature_end_date")
     return out.select("feature_end_date", "label_date", "isin", "array_idx", "target_date",
-                      "target", "n_names", *(["window"] if with_windows else []))
+                      "target", "n_names", *(["window"] if with_windows else []), *keep)
 
 
 def panel_tensors(

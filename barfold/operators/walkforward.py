@@ -80,12 +80,21 @@ def _embargo_cutoffs(
     return session_cutoffs(calendar, folds, embargo_days)
 
 
+def training_cutoffs(
+    folds: Sequence[Fold], embargo_days: int = EMBARGO_DAYS, embargo_unit: str = "days", calendar: DataFrame | None = None
+) -> dict[str, dt.date]:
+    """Per fold the date before which a label must be known to train on it."""
+    cutoffs = _embargo_cutoffs(folds, embargo_days, embargo_unit, calendar)
+    return {f.label: _cutoff(f, embargo_days, cutoffs) for f in folds}
+
+
 def assign_splits(
     samples: DataFrame,
     folds: Sequence[Fold],
     embargo_days: int = EMBARGO_DAYS,
     embargo_unit: str = "days",
     calendar: DataFrame | None = None,
+    realized_column: str | None = None,
 ) -> DataFrame:
     """Rows (fold, split, sample) for every fold a sample takes part in.
 
@@ -93,12 +102,16 @@ def assign_splits(
     label both inside the fold. The short fold list travels as a literal array,
     so this is a narrow map: no join, no shuffle. Samples in the embargo gap or
     after the fold give no row for it. With ``embargo_unit="sessions"`` the
-    embargo counts days of ``calendar``.
+    embargo counts days of ``calendar``. ``realized_column`` is the date on which the target is really known (a panel's
+    ``target_date``): training then needs both dates before the embargo, and a row without one does not train.
     """
     cutoffs = _embargo_cutoffs(folds, embargo_days, embargo_unit, calendar)
+    known = F.col("label_date")
+    if realized_column is not None:
+        known = F.when(F.col(realized_column).isNotNull(), F.greatest("label_date", realized_column))
 
     def membership(f: Fold) -> Column:
-        split = F.when(F.col("label_date") < F.lit(_cutoff(f, embargo_days, cutoffs)), "train").when(
+        split = F.when(known < F.lit(_cutoff(f, embargo_days, cutoffs)), "train").when(
             (F.col("feature_end_date") >= F.lit(f.test_start))
             & (F.col("label_date") <= F.lit(f.test_end)), "test")
         return F.struct(F.lit(f.label).alias("fold"), split.alias("split"))
@@ -148,12 +161,40 @@ def leakage_guard(
     known rather than its nominal label date; ``embargo_unit`` and ``calendar`` are those of
     ``assign_splits``.
     """
+    cutoff = _guard_cutoff(folds, embargo_days, embargo_unit, calendar)
+    return train.withColumn("embargo_cutoff", cutoff).filter(~_safe(realized_column, F.col("embargo_cutoff")))
+
+
+def _guard_cutoff(folds: Sequence[Fold], embargo_days: int, embargo_unit: str, calendar: DataFrame | None) -> Column:
     cutoffs = _embargo_cutoffs(folds, embargo_days, embargo_unit, calendar)
     limits = F.create_map(*[
         F.lit(x) for f in folds for x in (f.label, _cutoff(f, embargo_days, cutoffs))])
-    safe = F.col(realized_column) < F.col("embargo_cutoff")
-    return train.withColumn("embargo_cutoff", F.try_element_at(limits, F.col("fold"))).filter(
-        ~F.coalesce(safe, F.lit(False)))
+    return F.try_element_at(limits, F.col("fold"))
+
+
+def _safe(realized_column: str, cutoff: Column) -> Column:
+    return F.coalesce(F.col(realized_column) < cutoff, F.lit(False))
+
+
+def guarded(
+    assigned: DataFrame,
+    folds: Sequence[Fold],
+    embargo_days: int = EMBARGO_DAYS,
+    realized_column: str = "label_date",
+    embargo_unit: str = "days",
+    calendar: DataFrame | None = None,
+) -> DataFrame:
+    """``assigned``, whose training rows are checked as they are read: one that leaks fails the job that reads it.
+
+    The check is that of ``leakage_guard``, made where ``split`` is read: fitting and guarding share one scan, and what
+    selects training rows can't go by the guard. A row that is in no known split counts as a training row.
+    """
+    cutoff = _guard_cutoff(folds, embargo_days, embargo_unit, calendar)
+    told = F.concat_ws(" ", F.lit("leakage:"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (
+        "fold", "isin", "label_date", realized_column)])
+    fine = F.coalesce(F.col("split") == "test", F.lit(False)) | _safe(realized_column, cutoff)
+    # In the value of the column and not as a filter, which the optimizer may move before the one on the split.
+    return assigned.withColumn("split", F.when(fine, F.col("split")).otherwise(F.raise_error(told).cast("string")))
 
 
 def assert_no_leakage(train: DataFrame, folds: Sequence[Fold], **guard) -> None:

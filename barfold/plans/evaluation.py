@@ -10,15 +10,15 @@ from barfold.operators.features import compute_features
 from barfold.operators.metrics import (
     IC_THRESHOLD, mse_loss, rank_ic_summary, sign_backtest,
 )
-from barfold.operators.samples import sample_index
+from barfold.operators.samples import panel_index, sample_index
 from barfold.operators.signals import fit_predict_ar1, fit_predict_quantiles, median_forecast
 from barfold.operators.universe import restrict_to_universe
 from barfold.operators.walkforward import (
-    EMBARGO_DAYS, Fold, assert_no_leakage, assign_splits, filter_split, fold_counts, folds_frame, pending_folds,
+    EMBARGO_DAYS, Fold, assign_splits, fold_counts, folds_frame, guarded, panel_fold_counts, pending_folds,
 )
 from barfold.plans.fingerprint import digest, of_table
 from barfold.schemas import TARGET_COLUMN
-from barfold.session import scratch_path, stage_table
+from barfold.session import stage_table
 from barfold.sources.sinks import write_report
 
 
@@ -27,9 +27,20 @@ def labelled_samples(curated: DataFrame, seq_len: int = 120) -> DataFrame:
     return sample_index(compute_features(curated), seq_len, keep=["ret_1", TARGET_COLUMN])
 
 
-def usable_folds(assigned: DataFrame, **limits: int) -> DataFrame:
-    """Rows of the folds that are large enough to fit and score."""
-    keep = fold_counts(assigned, **limits).filter("usable").select("fold")
+def labelled_panels(curated: DataFrame, universe: DataFrame, seq_len: int = 120, min_names: int = 5) -> DataFrame:
+    """Names of every panel of the universe with the columns the baselines need.
+
+    ``label_date`` is the panel's, the next market day; ``target_date`` says when the name's own target is known.
+    """
+    features = stage_table(compute_features(curated), "panel-features")
+    panels = panel_index(features, universe, seq_len, min_names, keep=["ret_1"])
+    return panels.withColumnRenamed("target", TARGET_COLUMN)
+
+
+def usable_folds(assigned: DataFrame, by_panel: bool = False, **limits: int) -> DataFrame:
+    """Rows of the folds that are large enough to fit and score, in names or in panel dates."""
+    counts = panel_fold_counts if by_panel else fold_counts
+    keep = counts(assigned, **limits).filter("usable").select("fold")
     return assigned.join(F.broadcast(keep), "fold", "left_semi")  # one row per fold
 
 
@@ -44,16 +55,18 @@ def median_forecasts(assigned: DataFrame) -> DataFrame:
 
 def walk_forward_predictions(
     samples: DataFrame, folds: Sequence[Fold], embargo_days: int = EMBARGO_DAYS,
-    forecasts: Callable[[DataFrame], DataFrame] = ar1_forecasts,
+    forecasts: Callable[[DataFrame], DataFrame] = ar1_forecasts, panels: bool = False,
 ) -> DataFrame:
-    """Forecasts for every usable fold, after the guard has looked at the training rows.
+    """Forecasts for every usable fold; a training row that leaks fails the job that fits on it.
 
     Fold membership multiplies rows, and counting, fitting and predicting each
-    need them, so ``samples`` should be a stored, narrow table.
+    need them, so ``samples`` should be a stored, narrow table. With ``panels`` they are those of ``labelled_panels``:
+    a name whose own next row comes after the embargo does not train, though its panel's label date would let it.
     """
-    assigned = usable_folds(assign_splits(samples, folds, embargo_days))
-    assert_no_leakage(filter_split(assigned, "train"), folds, embargo_days=embargo_days)
-    return forecasts(assigned)
+    realized = "target_date" if panels else "label_date"
+    assigned = usable_folds(
+        assign_splits(samples, folds, embargo_days, realized_column=realized if panels else None), panels)
+    return forecasts(guarded(assigned, folds, embargo_days, realized))
 
 
 def fold_results(preds: DataFrame, book: str = "per_symbol") -> DataFrame:
@@ -103,7 +116,8 @@ def store_folds(results: DataFrame, folds: Sequence[Fold], root: str, run: str)
 def run_evaluation(
     curated: DataFrame, folds: Sequence[Fold], root: str, seq_len: int = 120,
     embargo_days: int = EMBARGO_DAYS, book: str = "per_symbol", universe: DataFrame | None = None,
-    forecasts: Callable[[DataFrame], DataFrame] = ar1_forecasts, version: str = "",
+    forecasts: Callable[[DataFrame], DataFrame] = ar1_forecasts, version: str = "", panels: bool = False,
+    min_names: int = 5,
 ) -> DataFrame:
     """Universe, features, samples, guarded fits and scores; the report is written below ``root`` and returned.
 
@@ -111,14 +125,17 @@ def run_evaluation(
     parameters, the code of ``forecasts`` (with its closure and defaults) and ``version``, which the caller changes
     when something else matters. Folds that are stored under the same fingerprint are not run again; anything different is
     a run of its own beside the others. Folds that are too small are stored without scores and stay out of the report. Only
-    securities of ``universe`` take part, if one is given.
+    securities of ``universe`` take part, if one is given. With ``panels`` the samples are the names of every date's panel
+    of ``min_names`` or more (which needs a universe), purged by the date their own target is known.
 
     The inputs are hashed by one scan before anything else is done. A run that breaks off leaves its stored folds to be
     reused, and one that is repeated replaces partitions, so no fold is ever there twice.
     """
     spark = curated.sparkSession
+    if panels and universe is None:
+        raise ValueError("panels need a universe")
     members = None if universe is None else universe.select("isin").distinct()
-    run = "run-" + digest(of_table(curated), of_table(members), seq_len, embargo_days, book, forecasts, version)
+    run = "run-" + digest(of_table(curated), of_table(members), seq_len, embargo_days, book, forecasts, version, panels and min_names)
     # A fold's own dates belong to its name in the store: the same label over other dates is another fold.
     named = {f"{f.label}@{f.test_start}..{f.test_end}": f for f in folds}
     asked = [Fold(name, f.test_start, f.test_end) for name, f in named.items()]
@@ -126,9 +143,9 @@ def run_evaluation(
     pending = [f for f in asked if f.label in todo]
     if pending:
         rows = curated if universe is None else restrict_to_universe(curated, universe)
-        samples = stage_table(labelled_samples(rows, seq_len), "samples")
-        preds = stage_table(
-            walk_forward_predictions(samples, pending, embargo_days, forecasts), "predictions", scratch_path(spark, "predictions"))
+        made = labelled_panels(rows, universe, seq_len, min_names) if panels else labelled_samples(rows, seq_len)
+        samples = stage_table(made, "samples")
+        preds = stage_table(walk_forward_predictions(samples, pending, embargo_days, forecasts, panels), "predictions")
         store_folds(fold_results(preds, book), pending, root, run)
     done = stored_folds(spark, root, run).filter(F.col("fold").isin([f.label for f in asked]) & F.col("n").isNotNull())
     labels = F.create_map(*[F.lit(x) for name, f in named.items() for x in (name, f.label)])

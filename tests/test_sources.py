@@ -13,7 +13,8 @@ from barfold.sources.sinks import write_report, write_review_queue
 from barfold.streaming.ingest import (
     failed_files, ingest_incremental, landed_zip_stream, load_ingested, load_ingested_latest, retry_failed,
 )
-from tests.helpers import bar, bars, same_rows
+from barfold.operators.features import compute_features
+from tests.helpers import adjusted, bar, bars, same_rows
 
 EARLY = "SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,LAST,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,TIMESTAMP\n" \
         "ACME , EQ,10,11,9,10.5,10.4, ,1000,10500.5,02-JAN-1998\nBOND,BE,x,1,1,1,1,1,1,1,02-JAN-1998\n"
@@ -106,6 +107,48 @@ def test_scan_prunes_years_and_pushes_filters(spark, tmp_path):
     assert "ReadSchema: struct<date:date,isin:string>" in plan
 
 
+def _rows_scanned(df):
+    """Rows that the scans of an executed plan gave out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    scans = plan.collectLeaves().mkString("|") and plan.collectLeaves()
+    return sum(scans.apply(i).metrics().get("numOutputRows").get().value() for i in range(scans.size()))
+
+
+def test_a_list_of_securities_skips_row_groups(spark, tmp_path):
+    """Isins of one range in turn in every row group: ranges skip nothing, bloom filters do."""
+    names = [f"INE{k:04d}" for k in range(400)]
+    rows = spark.createDataFrame([(n, dt.date(2019, 1, 1) + dt.timedelta(days=d)) for n in names for d in range(50)], "isin string, date date")
+    spread = rows.withColumn("year", F.year("date")).withColumn("part", F.pmod(F.xxhash64("isin"), F.lit(16)))
+    for part in range(16):
+        src._store_writer(spread.filter(F.col("part") == part).drop("part").coalesce(1)).mode("append").partitionBy("year").parquet(str(tmp_path / "s"))
+    asked = src.scan_curated(spark, str(tmp_path / "s"), isins=names[7:9]).select("isin", "date")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert asked.count() == 100
+        assert _rows_scanned(src.scan_curated(spark, str(tmp_path / "s"), isins=names[7:9]).select("isin", "date")) < rows.count() / 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_table_by_security_needs_no_exchange(spark, tmp_path):
+    prices = adjusted(spark, {f"INE{k:03d}": [(dt.date(2019, 1, 1) + dt.timedelta(days=d), 100.0 + d) for d in range(80)] for k in range(20)})
+    src.write_by_security(prices, "prices_by_security", str(tmp_path / "t"), buckets=8)
+    try:
+        stored = spark.table("prices_by_security")
+        plan = compute_features(stored)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        keys = ["isin", "date"]
+        assert same_rows(compute_features(stored).select(*keys, "ret_1", "vol_z"), compute_features(prices).select(*keys, "ret_1", "vol_z"))
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert _rows_scanned(stored.filter("isin = 'INE007'")) < prices.count() / 3  # only its bucket
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        src.write_by_security(prices.filter("isin > 'INE010'"), "prices_by_security", str(tmp_path / "t"), buckets=8)
+        assert spark.table("prices_by_security").select("isin").distinct().count() == 9
+    finally:
+        spark.sql("DROP TABLE IF EXISTS prices_by_security")
+
+
 def test_incremental_reads_each_file_once(spark, landed, tmp_path_factory):
     out = tmp_path_factory.mktemp("inc")
     target, checkpoint = str(out / "bars"), str(out / "cp")

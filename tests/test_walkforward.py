@@ -13,7 +13,7 @@ from barfold.operators.signals import (
 )
 from barfold.operators.walkforward import (
     Fold, assert_no_leakage, assign_splits, filter_split, fold_counts, folds_frame,
-    leakage_guard, pending_folds, session_cutoffs, shuffle_labels, yearly_folds,
+    guarded, leakage_guard, pending_folds, session_cutoffs, shuffle_labels, yearly_folds,
 )
 from barfold.plans import evaluation
 from barfold.plans.evaluation import median_forecasts, run_evaluation
@@ -249,3 +249,38 @@ def test_a_run_that_breaks_off_leaves_no_fold_twice(ar_samples, tmp_path, monkey
     name = results.first()["fold"]
     evaluation.store_folds(results, [Fold(name, folds[0].test_start, folds[0].test_end)], str(root), run)
     assert evaluation.stored_folds(prices.sparkSession, str(root), run).groupBy("fold").count().filter("count > 1").isEmpty()
+
+
+def test_panel_run_purges_by_the_date_a_target_is_known(ar_samples, tmp_path):
+    """K0 skips the days around the cutoff: its last targets before the gap are known long after their panels' label dates."""
+    prices, _ = ar_samples
+    gap = (F.col("isin") == "K0") & F.col("date").between("2018-09-10", "2018-11-15")
+    prices = prices.filter(~gap).cache()
+    universe = prices.select("isin").distinct()
+    rows = evaluation.labelled_panels(prices, universe, 20).cache()
+    late = rows.filter("isin = 'K0' and label_date < '2018-09-21' and target_date > '2018-11-01'")
+    assert late.count() == 1
+    plain, purged = (filter_split(assign_splits(rows, CONTROL, realized_column=c), "train") for c in (None, "target_date"))
+    assert plain.exceptAll(purged).select("isin").collect() == late.select("isin").collect()
+    with pytest.raises(AssertionError, match="leakage"):
+        assert_no_leakage(plain, CONTROL, realized_column="target_date")
+    report = run_evaluation(prices, CONTROL, str(tmp_path / "p"), seq_len=20, universe=universe, panels=True).first()
+    assert report["mean_ic"] > 0.2 and report["n"] > 200
+    with pytest.raises(ValueError, match="universe"):
+        run_evaluation(prices, CONTROL, str(tmp_path / "p"), panels=True)
+
+
+def test_the_guard_in_the_plan_stops_a_fit_without_a_job_of_its_own(spark, ar_samples):
+    _, samples = ar_samples
+    clean = assign_splits(samples, CONTROL)
+    assert guarded(clean, CONTROL).exceptAll(clean).isEmpty() and guarded(clean, CONTROL).count() == clean.count()
+    plan = fit_ar1(guarded(clean, CONTROL))._jdf.queryExecution().executedPlan().toString()
+    assert "raise_error" in plan and plan.count("InMemoryTableScan") == 1
+    for leaking in (assign_splits(samples, CONTROL, 0), clean.withColumn("fold", F.lit("unknown")),
+                    clean.withColumn("label_date", F.lit(None).cast("date")), clean.withColumn("split", F.lit(None).cast("string"))):
+        if leaking.filter("split = 'train' or split is null").isEmpty():
+            continue
+        with pytest.raises(Exception, match="leakage: "):
+            filter_split(guarded(leaking, CONTROL), "train").agg(F.sum("ret_1")).collect()
+    with pytest.raises(Exception, match="leakage: "):
+        fit_predict_ar1(guarded(assign_splits(samples, CONTROL, 0), CONTROL)).collect()

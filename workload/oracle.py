@@ -263,6 +263,11 @@ _TEST = "feature_end_date >= test_start AND label_date <= test_end"
 cte("x_assigned", f"""
  SELECT f.fold, CASE WHEN label_date < test_start - 10 THEN 'train' ELSE 'test' END AS split, s.*
  FROM x_samples s JOIN x_folds f ON label_date < test_start - 10 OR ({_TEST})""")
+cte("x_panel_assigned", f"""
+ SELECT f.fold, CASE WHEN greatest(label_date, target_date) < test_start - 10 AND target_date IS NOT NULL THEN 'train' ELSE 'test' END AS split,
+  p.isin, p.feature_end_date, p.label_date, p.target, t.ret_1
+ FROM x_panels p JOIN x_returns t ON t.isin = p.isin AND t.date = p.feature_end_date
+ JOIN x_folds f ON (greatest(label_date, target_date) < test_start - 10 AND target_date IS NOT NULL) OR ({_TEST})""")
 cte("x_test_rows", "SELECT fold, isin, label_date AS date, ret_1, fwd_ret_1 AS actual "
                    "FROM x_assigned WHERE split = 'test'")
 cte("x_ar1", """
@@ -276,6 +281,9 @@ _LEVELS = ", ".join(f"0.{i}" for i in range(1, 10))
 cte("x_levels", f"""
  SELECT fold, quantile_cont(fwd_ret_1, [{_LEVELS}]) AS q
  FROM x_assigned WHERE split = 'train' GROUP BY fold""")
+cte("x_gap_levels", f"""
+ SELECT fold, quantile_cont(fwd_ret_1, [{_LEVELS}]) AS q
+ FROM x_assigned WHERE split = 'train' AND dayofmonth(feature_end_date) NOT IN (5, 6) GROUP BY fold""")
 cte("x_quantiles", "SELECT fold, isin, date, actual, q FROM x_test_rows JOIN x_levels USING (fold)")
 cte("x_pinball", f"""
  SELECT fold, i, lv, greatest((lv - 1) * (actual - q[i]), lv * (actual - q[i])) AS loss
@@ -483,6 +491,8 @@ _FINAL = {
                          + " FROM x_features",
     "compute_features": "SELECT isin, date, " + ", ".join(map(r, (*FEATURES, "fwd_ret_1")))
                         + ", has_sufficient_history FROM x_features",
+    "compute_features_long": "SELECT isin, date, " + ", ".join(map(r, (*FEATURES, "fwd_ret_1")))
+                        + ", has_sufficient_history FROM x_features",
     "sample_index": "SELECT isin, feature_end_date, label_date, array_idx FROM x_samples",
     "sample_windows": "SELECT isin, feature_end_date, label_date, array_idx, len(win) AS n_rows, "
                       f"{digest('flatten(win)')} AS window, {r('fwd_ret_1', 'target')} "
@@ -551,6 +561,22 @@ _FINAL = {
     "score_panels_rank":
         f"SELECT fold, isin, date, {r('(rank() OVER (PARTITION BY fold, date ORDER BY v) - 0.5) / count(*) OVER (PARTITION BY fold, date)', 'pred', 9)} "
         "FROM (SELECT *, round(ret_1, 10) AS v FROM x_test_rows)",
+    "walk_forward_ar1": f"SELECT fold, isin, date, {r('pred')}, {r('actual')} FROM x_forecast",
+    "walk_forward_quantiles":
+        f"SELECT fold, isin, date, {r('actual')}, {_Q9} FROM (SELECT fold, isin, label_date AS date, "
+        "CASE WHEN dayofmonth(feature_end_date) NOT IN (5, 6) THEN fwd_ret_1 END AS actual FROM x_assigned WHERE split = 'test') "
+        "JOIN x_gap_levels USING (fold)",
+    "fold_counts_nested":
+        "SELECT fold, n_train, n_test, n_train >= 200 AND n_test >= 20 AS usable FROM ("
+        "SELECT fold, count(*) FILTER (WHERE split = 'train') AS n_train, "
+        "count(*) FILTER (WHERE split = 'test') AS n_test FROM x_assigned GROUP BY fold)",
+    "panel_forecasts":
+        f"SELECT fold, isin, label_date AS date, {r('icept + slope * ret_1', 'pred')}, {r('target', 'actual')} "
+        "FROM x_panel_assigned JOIN (SELECT fold, regr_slope(target, ret_1) AS slope, regr_intercept(target, ret_1) AS icept "
+        "FROM x_panel_assigned WHERE split = 'train' GROUP BY fold) USING (fold) "
+        "JOIN (SELECT fold FROM x_panel_assigned GROUP BY fold "
+        "HAVING count(DISTINCT feature_end_date) FILTER (WHERE split = 'train') >= 50 "
+        "AND count(DISTINCT feature_end_date) FILTER (WHERE split = 'test') >= 5) USING (fold) WHERE split = 'test'",
     "fit_gaps":
         f"SELECT fold, {r('regr_slope(fwd_ret_1, ret_1)', 'slope')}, {r('regr_intercept(fwd_ret_1, ret_1)', 'intercept')}, "
         f"{r('quantile_cont(fwd_ret_1, 0.1)', 'q1')}, {r('quantile_cont(fwd_ret_1, 0.5)', 'q5')} "

@@ -17,7 +17,7 @@ from barfold.functions.arrays import patchify
 from barfold.functions.corporate_actions import action_multiplier
 from barfold.functions.scalars import signum_deadzone
 from barfold.operators import (
-    adjust, curate, features, metrics, panels, quality, samples, signals, universe, walkforward,
+    adjust, curate, features, long_histories, metrics, nested, panels, quality, samples, signals, universe, walkforward,
 )
 from barfold.operators.ranking import average_ranks
 from barfold.plans import curated as curated_plan
@@ -473,6 +473,14 @@ def compute_features(x: Inputs) -> DataFrame:
     return rounded(rows.select("isin", "date", *cols, "has_sufficient_history"), *cols)
 
 
+@query
+def compute_features_long(x: Inputs) -> DataFrame:
+    """The same features, every quarter of a security a window partition of its own."""
+    cols = (*FEATURE_COLUMNS, "fwd_ret_1")
+    rows = long_histories.compute_features_long(x.curated, F.trunc("date", "quarter"))
+    return rounded(rows.select("isin", "date", *cols, "has_sufficient_history"), *cols)
+
+
 # ------------------------------------------------------------------ samples and panels
 
 @query
@@ -585,6 +593,34 @@ def _nan_labels(assigned: DataFrame) -> DataFrame:
     return assigned.withColumn(TARGET_COLUMN, label)
 
 
+@query
+def walk_forward_ar1(x: Inputs) -> DataFrame:
+    """The autoregressive forecasts from sums per date: samples are not multiplied by folds for the fit."""
+    return rounded(nested.walk_forward_ar1(x.samples, FOLDS), "pred", "actual")
+
+
+@query
+def walk_forward_quantiles(x: Inputs) -> DataFrame:
+    rows = nested.walk_forward_quantiles(_nan_labels(x.samples), FOLDS)
+    return rounded(rows.select(
+        "fold", "isin", "date", F.nanvl("actual", F.lit(None)).alias("actual"),
+        *[F.col("pred")[i].alias(f"q{i + 1}") for i in range(len(QUANTILES))]),
+        "actual", *[f"q{i + 1}" for i in range(len(QUANTILES))])
+
+
+@query
+def fold_counts_nested(x: Inputs) -> DataFrame:
+    return nested.fold_counts_nested(x.samples, FOLDS)
+
+
+@query
+def panel_forecasts(x: Inputs) -> DataFrame:
+    """The panel run of the chain up to its forecasts: purged by the date each target is known, guarded by the same."""
+    panels_ = samples.panel_index(x.features, x.universe, SEQ_LEN, keep=["ret_1"]).withColumnRenamed("target", TARGET_COLUMN)
+    made = evaluation.walk_forward_predictions(stage_table(panels_, "panels"), FOLDS, panels=True)
+    return rounded(made, "pred", "actual")
+
+
 @query
 def fit_gaps(x: Inputs) -> DataFrame:
     """Both fits over labels with gaps, as one row per fold."""
