@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from barfold.schemas import BARS
 from barfold.session import stage_table
-from barfold.sources.bars import good_bars, parse_day_files
+from barfold.sources.bars import parse_day_files
 
 _LANDED = T.StructType([
     T.StructField("path", T.StringType()),

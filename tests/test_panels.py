@@ -3,7 +3,6 @@
 import datetime as dt
 
 import numpy as np
-import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
@@ -146,7 +145,6 @@ def test_rolling_statistics_in_pieces(window, least):
 
 def test_volume_baseline_streams_each_security(spark, small_batches):
     dates = weekdays(900, dt.date(2015, 1, 1))
-    rng = np.random.default_rng(1)
     prices = adjusted(spark, {k: [(d, 100.0) for d in dates[:n]] for k, n in (("A", 900), ("B", 70), ("C", 1))})
     prices = prices.withColumn("volume", F.when(F.col("close_adj") > 0, F.pmod(F.xxhash64("isin", "date"), F.lit(10_000)).cast("double")))
     prices = prices.withColumn("volume", F.when(F.dayofmonth("date") != 3, F.col("volume")))
@@ -155,7 +153,7 @@ def test_volume_baseline_streams_each_security(spark, small_batches):
         want = _plain(own.log_vol.to_numpy(dtype=float), 252, 63)
         assert np.allclose(own.log_vol_baseline.to_numpy(dtype=float), want[:, 0], equal_nan=True)
         assert np.allclose(own.log_vol_std.to_numpy(dtype=float), want[:, 1], equal_nan=True)
-    assert rng is not None and len(got) == 971
+    assert len(got) == 971
 
 
 def test_features_need_one_exchange_and_one_sort(spark):
