@@ -16,7 +16,7 @@ Texts are read three times and shuffled once, for the result; in between lines a
 hashes (96 bits) and places.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barfold.llm.common import stored
@@ -81,6 +81,24 @@ def _may_have_partner(lines: DataFrame) -> DataFrame:
     return keyed.join(shared, "half", "left_semi").select("first").distinct()
 
 
+def _variants(lines: DataFrame) -> DataFrame:
+    """``first, key, gap``: a hash of each line's words without one, and (gap -1) of all of them.
+
+    A word's hash depends on its place, moved up by one behind the gap. The hashes before and behind a gap are two
+    running values over the line, so a line costs as much as it has words, however long it is.
+    """
+    each = lines.select("first", F.size("words").alias("n"), F.posexplode("words").alias("gap", "word")).select(
+        "first", "n", "gap", F.xxhash64("word", "gap").alias("here"), F.xxhash64("word", F.col("gap") - 1).alias("moved"))
+    line = Window.partitionBy("first")
+    so_far = line.orderBy("gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = each.withColumns({
+        "upto": F.bit_xor("here").over(so_far), "passed": F.bit_xor("moved").over(so_far), "every": F.bit_xor("moved").over(line)})
+    behind = F.col("every").bitwiseXOR(F.col("passed"))
+    without = F.struct(F.col("upto").bitwiseXOR(F.col("here")).bitwiseXOR(behind).alias("key"), F.col("gap").alias("gap"))
+    whole = F.struct(F.col("upto").alias("key"), F.lit(-1).alias("gap"))
+    return run.select("first", F.inline(F.when(F.col("gap") == F.col("n") - 1, F.array(without, whole)).otherwise(F.array(without))))
+
+
 def near_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``first`` of the distinct lines that an earlier one equals but for one word."""
     partners = stored(_may_have_partner(lines).select("first.*"), "partners")
@@ -89,12 +107,7 @@ def near_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
     again = _lines(docs).join(partners, list(PLACE)).dropDuplicates(PLACE)
     may = stored(again.select(F.struct(*PLACE).alias("first"), _words("line").alias("words")), "may")
 
-    w, n = F.col("words"), F.size("words")
-    variants = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(
-        F.xxhash64(F.slice(w, F.lit(1), i), F.slice(w, i + 2, F.greatest(n - i - 1, F.lit(0)))).alias("key"),
-        F.when(i < n, i).otherwise(-1).alias("gap"),
-    ))
-    variants = stored(may.select("first", F.inline(variants)), "variants")
+    variants = stored(_variants(may), "variants")
     # The earliest line at each key and gap; keys where nothing meets are left behind here.
     at_gap = variants.groupBy("key", "gap").agg(F.min("first").alias("same"), F.count("*").alias("lines"))
     at_key = at_gap.groupBy("key").agg(
