@@ -204,7 +204,7 @@ def test_stored_folds_are_reused_only_for_the_same_inputs(ar_samples, tmp_path,
     stored = _files(root)
     assert run() == first and _files(root) == stored  # nothing was written again
     changes = [
-        {"seq_len": 60}, {"forecasts": median_forecasts}, {"book": "pooled"}, {"prices": prices.filter("isin <> 'K1'")},
+        {"seq_len": 60}, {"forecasts": median_forecasts}, {"prices": prices.filter("isin <> 'K1'")},
         {"folds": [Fold("c", dt.date(2018, 10, 1), dt.date(2018, 12, 31))]},
     ]
     for n, change in enumerate(changes, 2):
