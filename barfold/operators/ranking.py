@@ -3,8 +3,8 @@
 A date's cross-section, a fold or the whole table can hold a large share of
 all rows, so none of them may be one window partition. The pattern used here:
 
-1. collapse equal values with a partially aggregated count, which also removes
-   the effect of one value repeated many times;
+1. where one value may be repeated many times, collapse equal values with a
+   partially aggregated count;
 2. cut the value axis into buckets with a fixed monotone function, so equal
    values share a bucket and every re-run of a lost task agrees;
 3. order inside (group, bucket), and add the number of rows in lower buckets,
@@ -15,10 +15,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from barfold.session import stage_table
+from pyspark.sql import types as T
 
 BUCKETS_PER_E_FOLD = 256
+CELLS_PER_E_FOLD = 2  # of a rank's coarse grid
+LIGHT_ROWS = 1_000_000  # most rows of a cell that a window orders
+SPREAD = 64  # shares of a heavier cell
 QUANTILE_GRIDS = (256, 1 << 20)  # buckets per e-fold, coarse then fine
 ISIN_PREFIX = 8  # leading characters of an isin that form its bucket: four of the symbol in a fallback
 HASH_DIGITS = 4  # leading hex digits of a hash that form its bucket
@@ -72,28 +74,61 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
 
 
 def average_ranks(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str], suffix: str = "_rank"
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], suffix: str = "_rank",
+    light_rows: int = LIGHT_ROWS,
 ) -> DataFrame:
     """Tie-averaged 1-based rank of each (double) value column within ``keys``.
 
-    One way for groups of every size: the value columns are stacked and equal values
-    collapsed by one partially aggregated count, the counts placed through buckets, and
-    the ranks stored and joined back. Null and NaN have no rank and do not count.
+    A rank is the number of rows in lower cells of a coarse grid, from one partially aggregated
+    count, and the place inside the own cell, from a window: one exchange of the rows per
+    column. Cells of more than ``light_rows`` rows, say one value repeated many times, are never
+    a window partition: their rows are spread, and take the position of their value instead, from counts
+    of distinct values. Nothing runs before the result is asked for. Null and NaN have no rank
+    and do not count; they are spread as well.
     """
     keys = list(keys)
     stacked = df.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(v).alias("_column"), F.col(v).cast("double").alias("_value")) for v in values])))
-    placed = value_positions(stacked, [*keys, "_column"], "_value")
-    ranks = stage_table(placed.select(
-        *keys, "_column", "_value", (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias("_rank")), "ranks")
+        F.struct(F.lit(v).alias("_column"), F.col(v).cast("double").alias("_value")) for v in values
+    ]))).filter(~missing(F.col("_value"))).withColumn("_cell", _cell(F.col("_value")))
+    counts = stacked.groupBy(*keys, "_column", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    below = F.sum("_n").over(_running([*keys, "_column"], "_cell")) - F.col("_n")
+    cells = counts.withColumns({"_below": below, "_heavy": F.col("_n") > light_rows})
+    # At most one row per ``light_rows`` rows of the input: the broadcast is bounded.
+    heavy = F.broadcast(counts.filter(F.col("_n") > light_rows).select(*keys, "_column", "_cell", F.lit(True).alias("_hot")))
+    in_heavy = stacked.join(heavy, [*keys, "_column", "_cell"])
+    placed = value_positions(in_heavy, [*keys, "_column", "_cell"], "_value").select(
+        *keys, "_column", "_cell", "_value", (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias("_heavy_rank"))
+
     out = df
+    hashable = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    spread = F.pmod(F.xxhash64(*hashable), F.lit(SPREAD)).cast("int")
     for v in values:
-        own = ranks.filter(F.col("_column") == v).select(
-            *keys, F.col("_value").alias(v), F.col("_rank").alias(v + suffix))
-        out = out.join(own, [*keys, v], "left")
+        value = F.col(v).cast("double")
+        own = [t.filter(F.col("_column") == v).drop("_column") for t in (heavy, cells, placed)]
+        shares = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+        offsets = own[1].select(*keys, "_cell", "_below", F.explode(shares).alias("_share"))
+        order = Window.partitionBy(*keys, "_cell", "_share").orderBy("_value")
+        # Both ends of a run of equal values from frames that keep no rows in memory.
+        first, last = F.rank().over(order), F.count("_value").over(
+            order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        out = (
+            out.withColumns({"_value": F.when(~missing(value), F.when(value == 0, F.lit(0.0)).otherwise(value))})
+            .withColumn("_cell", _cell(F.col("_value")))
+            .join(own[0], [*keys, "_cell"], "left")
+            .withColumn("_share", F.when(F.col("_hot") | F.col("_value").isNull(), spread).otherwise(0))
+            .withColumn("_inside", F.when(F.col("_hot").isNull() & F.col("_value").isNotNull(), (first + last) / 2))
+            .join(offsets, [*keys, "_cell", "_share"], "left")
+            .join(own[2], [*keys, "_cell", "_value"], "left")
+            .withColumn(v + suffix, F.col("_below") + F.coalesce("_heavy_rank", "_inside"))
+            .drop("_value", "_cell", "_hot", "_share", "_inside", "_below", "_heavy_rank")
+        )
     return out.select(*df.columns, *[v + suffix for v in values])
 
 
+def _cell(value: Column) -> Column:
+    return magnitude_bucket(value, CELLS_PER_E_FOLD)
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
     out: str = "quantiles",

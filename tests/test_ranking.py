@@ -53,10 +53,34 @@ def test_missing_values_have_no_rank_and_dates_with_gaps_no_ic(spark):
     assert {r.date: (r.ic, r.n_names) for r in dropped} == {"a": (pytest.approx(1.0), 4), "b": (pytest.approx(1.0), 4), "c": (pytest.approx(1.0), 3)}
 
 
-def test_two_columns_need_one_pass_over_the_rows(crowded):
+@pytest.mark.parametrize("light_rows", [0, 5, 400])
+def test_heavy_cells_get_the_same_ranks(crowded, light_rows):
+    pdf, df = crowded
+    got = average_ranks(df, ["d"], ["v"], light_rows=light_rows).toPandas().set_index("i")["v_rank"]
+    want = (pdf.v + 0.0).groupby(pdf.d).rank(method="average")
+    assert np.array_equal(got.sort_index().to_numpy(), want.to_numpy())
+
+
+def test_missing_values_beside_heavy_cells(spark):
+    rows = [("a", i, 1.0 if i % 3 else float("nan") if i % 2 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "d string, i int, v double")
+    got = {(r.v is None or r.v != r.v, r.v_rank) for r in average_ranks(df, ["d"], ["v"], light_rows=10).collect()}
+    assert got == {(True, None), (False, 20.5)}
+    assert average_ranks(df.limit(0), ["d"], ["v"]).count() == 0
+
+
+def test_rows_move_once_per_ranked_column_and_nothing_runs_early(spark, crowded, tmp_path):
     _, df = crowded
-    plan = average_ranks(df.withColumn("w", -F.col("v")), ["d"], ["v", "w"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") <= 2 and plan.count("Exchange hashpartitioning") <= 8
+    df.select("*", (-F.col("v")).alias("w"), F.lit("carried").alias("payload")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    spark.sparkContext.setJobGroup("ranks", "")
+    ranked = average_ranks(rows, ["d"], ["v", "w"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("ranks")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "hashpartitioning(d#" in line and "_share#" in line]
+    assert len(moved) <= 4  # per column the rows, and the short list of cells that meets them
+    assert ranked.count() == 3000
 
 
 def test_gaps_take_no_position(spark):
