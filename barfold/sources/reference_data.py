@@ -29,15 +29,21 @@ def parse_actions(raw: DataFrame) -> DataFrame:
 def action_records(spark: SparkSession, path: str) -> DataFrame:
     """Raw feed rows with ``_file`` and ``_corrupt``: what a row says that is no record, else null.
 
-    A landed file is one period of the feed, as a JSON array in any layout or as one
-    object per line. A broken array is one corrupt row.
+    A landed file is a JSON array in any layout, or one object per line; its first line with
+    anything in it tells which. Files are read in splits: lines are records wherever they lie, so such a
+    file may have any size. Only the lines of an array are put together again, in one row of
+    2 GB at most. A broken array is one corrupt row.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("_file"), F.trim("value").alias("value"))
-    listed = F.from_json("value", "array<string>")
-    texts = F.when(F.startswith("value", F.lit("[")), F.coalesce(listed, F.array("value"))).otherwise(
-        F.filter(F.split("value", "\n"), lambda line: F.trim(line) != ""))
-    texts = files.select("_file", F.explode(texts).alias("text"))
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), at.alias("_at"), "value").filter(
+        F.col("value").rlike(r"\S"))
+    arrays = lines.groupBy("_file").agg(F.min_by("value", "_at").alias("head")).filter(
+        F.col("head").rlike(r"^\s*\[")).select("_file")
+    whole = lines.join(arrays, "_file").groupBy("_file").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    listed = F.coalesce(F.from_json("value", "array<string>"), F.array("value"))
+    texts = lines.join(arrays, "_file", "left_anti").select("_file", F.col("value").alias("text")).unionByName(
+        whole.select("_file", F.explode(listed).alias("text")))
     schema = T.StructType([*RAW_ACTIONS.fields, T.StructField("_bad", T.StringType())])
     record = F.from_json("text", schema, {"columnNameOfCorruptRecord": "_bad"})
     parsed = texts.select("_file", "text", F.inline(F.array(F.struct(record.alias("r")))))

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import zipfile
 
 import pytest
@@ -232,6 +233,24 @@ def test_actions_feed(spark, tmp_path):
     assert read_actions(spark, str(tmp_path / "none")).schema == got.schema
 
 
+def test_action_feed_is_read_in_splits(spark, tmp_path):
+    rows = [{"isin": f"I{i}", "symbol": "S", "series": "EQ", "exDate": "06-Jan-2020", "subject": "x" * (i % 50)} for i in range(3000)]
+    (tmp_path / "lines.json").write_text("\n\n" + "\n".join(map(json.dumps, rows)) + "\n[no record\n")
+    (tmp_path / "array.json").write_text("\n \n" + json.dumps(rows, indent=1))
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 1 << 15)
+    try:
+        records = action_records(spark, str(tmp_path))
+        got = records.groupBy(F.element_at(F.split("_file", "/"), -1)).agg(
+            F.count("isin"), F.count_distinct("isin"), F.count("_corrupt")).collect()
+        splits = spark.read.text(str(tmp_path / "lines.json")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set(size, before)
+    assert splits > 3
+    assert {tuple(r) for r in got} == {("lines.json", 3000, 3000, 1), ("array.json", 3000, 3000, 0)}
+
+
 def test_index_lists(spark, tmp_path):
     for name in ("BIG", "SMALL"):
         (tmp_path / f"{name}.csv").write_text(" Company Name ,Industry,Symbol,Series,ISIN Code\nAcme Ltd,Tools,ACME,EQ,INE1\n")
