@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from barfold.llm.common import stored
 
-#: Pivots: a sample of the vectors, bounded by this number.
+#: Pivots: a sample of the vectors of one length, bounded by this number.
 PIVOTS = 128
 #: Nearest pivots by which a vector is posted, and of them those that a query reads.
 POSTED, READ = 128, 64
@@ -47,8 +47,9 @@ def nearest(
     """``query_id, rank, vec_id, score``: for each query row the ``k`` nearest other rows found.
 
     Nearness is the largest inner product in double precision, ties go to the
-    smaller id. Rows with a null id or an unusable vector take no part, neither do
-    vectors whose length differs from the most frequent one; of rows with
+    smaller id. Rows with a null id or an unusable vector take no part; vectors of
+    different lengths have no inner product, so each length is searched apart, by pivots of its own
+    (``pivots`` vectors per length are held by the driver and the tasks); of rows with
     the same id one counts. Fewer candidates than ``k`` give fewer ranks, an empty table no rows.
     """
     rows = vectors.select(
@@ -56,26 +57,35 @@ def nearest(
         is_query.alias("query"),
     ).where(F.col("id").isNotNull() & usable(vectors, vector_col))
     rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("query").alias("query"))
-    width = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    n_rows, dim = (width.rows, width.n) if width else (0, 1)
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    rows = stored(rows.where(F.size("v") == dim).withColumn("norm2", norm), "vectors")
-    top = rows.agg(F.max("norm2")).first()[0] or 0.0
-    sample = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").select("v").limit(pivots).collect()]
-    centres = lifted(np.array(sample, dtype=np.float64).reshape(len(sample), dim), top)
-
-    blocks, query_blocks = -(-n_rows // BLOCK) or 1, -(-n_rows // (QUERY_BLOCK * 8)) or 1
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    query_block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = rows.select("id", "v", block.alias("block"), every(query_blocks).alias("query_block"))
-    queries = rows.where("query").select("id", "v", query_block.alias("query_block"), every(blocks).alias("block"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = search_block(*_arrays(left, dim), *_arrays(right, dim), centres, top, k, posted, read, share)
+    rows = stored(rows.withColumns({"norm2": norm, "dim": F.size("v")}), "vectors")
+    lengths = rows.groupBy("dim").agg(F.count("*").alias("rows"), F.max("norm2").alias("top"))
+    top = {r.dim: r.top for r in lengths.collect()}
+    sample: dict[int, list] = {}
+    drawn = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id")
+    for r in rows.withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= pivots).orderBy("dim", "nth").select("dim", "v").collect():
+        sample.setdefault(r.dim, []).append(r.v)
+    centres = {dim: lifted(np.array(v, dtype=np.float64), top[dim]) for dim, v in sample.items()}
+
+    # One row per length of vectors.
+    rows = rows.join(F.broadcast(lengths.select(
+        "dim", F.ceil(F.col("rows") / BLOCK).alias("blocks"), F.ceil(F.col("rows") / (QUERY_BLOCK * 8)).alias("query_blocks"),
+    )), "dim")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    query_block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("query_blocks")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    index = rows.select(F.col("dim").alias("width"), "id", "v", block.alias("block"), every("query_blocks").alias("query_block"))
+    queries = rows.where("query").select(
+        F.col("dim").alias("width"), F.col("id").alias("id"), F.col("v").alias("v"), query_block.alias("query_block"), every("blocks").alias("block"),
+    )
+
+    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        dim = key[0].as_py()
+        found = search_block(*_arrays(left, dim), *_arrays(right, dim), centres[dim], top[dim], k, posted, read, share)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
 
-    found = index.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInArrow(
+    pair = ("width", "block", "query_block")
+    found = index.groupBy(*pair).cogroup(queries.groupBy(*pair)).applyInArrow(
         search, "query_id bigint, vec_id bigint, score double"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

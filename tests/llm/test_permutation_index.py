@@ -45,6 +45,20 @@ def test_ties_and_rows_of_every_kind(spark):
     assert pi.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_each_length_is_searched_apart(spark, monkeypatch):
+    monkeypatch.setattr(pi, "BLOCK", 100)
+    rng = np.random.default_rng(2)
+    rows = {i: rng.normal(size=(2, 3, 8)[i % 3]).tolist() for i in range(600)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    got: dict[int, list] = {}
+    for r in pi.nearest(df, F.col("vec_id") % 20 == 0, share=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(range(0, 600, 20))
+    for key, found in got.items():
+        ids = [i for i in rows if len(rows[i]) == len(rows[key])]
+        assert found == _exact(ids, np.array([rows[i] for i in ids]), key, 20)
+
+
 def test_a_very_common_vector_does_not_crowd_out_the_others():
     rng = np.random.default_rng(5)
     v = rng.normal(size=(3000, 16))
