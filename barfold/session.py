@@ -76,25 +76,37 @@ def stage_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
-_kept: dict[tuple[str, str], str] = {}
+_kept: dict[tuple[str, str], tuple[tuple, str]] = {}
 _kept_lock = threading.RLock()
 
 
-def keep_table(key: str, spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+def folder_state(spark: SparkSession, path: str) -> tuple:
+    """What a folder holds: each entry's name, time, bytes and number of files, from the file system's own summaries."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(at):
+        return ()
+    totals = ((s, system.getContentSummary(s.getPath())) for s in system.listStatus(at))
+    return tuple(sorted(
+        (s.getPath().getName(), s.getModificationTime(), t.getLength(), t.getFileCount()) for s, t in totals))
+
+
+def keep_table(key: str, spark: SparkSession, build: Callable[[], DataFrame], source: str | None = None) -> DataFrame:
     """A table built once per application and stored in the shared folder.
 
     Steps hand over through stored tables, so later queries of the same
-    application read the result instead of repeating the chain. A missing
-    folder is simply rebuilt.
+    application read the result instead of repeating the chain. It is built anew where the
+    stored folder is missing, and where an entry of the folder ``source`` was replaced since.
     """
     slot = (spark.sparkContext.applicationId, key)
+    state = folder_state(spark, source) if source else ()
     with _kept_lock:
-        if slot in _kept:
+        if slot in _kept and _kept[slot][0] == state:
             try:
-                return spark.read.parquet(_kept[slot])
+                return spark.read.parquet(_kept[slot][1])
             except AnalysisException:
-                del _kept[slot]
+                pass
         path = scratch_path(spark, key.rsplit("/", 1)[-1])
         table = stage_table(build(), "", path)
-        _kept[slot] = path
+        _kept[slot] = (state, path)
         return table

@@ -53,7 +53,7 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return keep_table(f"{self.sf_dir}/{name}", self.spark, build)
+        return keep_table(f"{self.sf_dir}/{name}", self.spark, build, self.sf_dir)
 
     @cached_property
     def bars_raw(self) -> DataFrame:
