@@ -44,3 +44,22 @@ def test_no_partition_is_longer_than_a_bucket_and_its_halo(prices):
 
 def test_no_rows(prices):
     assert compute_features_long(prices.limit(0)).count() == 0
+
+
+def test_small_buckets_are_put_together(prices):
+    """A halo for every bucket would be some ten times the rows; a history below ``least`` rows has none at all."""
+    dealt = with_halo(prices, F.trunc("date", "month"), least=400)
+    n = prices.count()
+    assert dealt.count() <= n + (REACH + 1) * (n // 400)
+    assert dealt.filter("_own").count() == n
+    assert dealt.filter(F.col("isin").isin("THIN", "TWO", "ONE")).filter("not _own").isEmpty()
+    assert dealt.groupBy("isin", "_target").count().agg(F.max("count")).first()[0] <= 400 + 31 + REACH + 1
+
+
+@pytest.mark.parametrize("least", [1, 7, 300])
+def test_same_features_however_buckets_are_put_together(prices, least):
+    def told(df):
+        doubles = [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"]
+        return df.withColumns({c: F.round(c, 9) for c in doubles})
+
+    assert same_rows(told(compute_features(prices)), told(compute_features_long(prices, F.trunc("date", "week"), least)))

@@ -421,6 +421,8 @@ def restrict_to_universe(x: Inputs) -> DataFrame:
 
 # ------------------------------------------------------------------ features
 
+# What the feature steps read of the curated rows: the others would travel through every exchange.
+_PRICES = ("isin", "date", "open_adj", "high_adj", "low_adj", "close_adj", "volume")
 _RETURNS = ("ret_1", "ret_o", "ret_h", "ret_l")
 
 
@@ -475,9 +477,9 @@ def compute_features(x: Inputs) -> DataFrame:
 
 @query
 def compute_features_long(x: Inputs) -> DataFrame:
-    """The same features, every quarter of a security a window partition of its own."""
+    """The same features, quarters of a security put together to window partitions of some thousand rows."""
     cols = (*FEATURE_COLUMNS, "fwd_ret_1")
-    rows = long_histories.compute_features_long(x.curated, F.trunc("date", "quarter"))
+    rows = long_histories.compute_features_long(x.curated.select(*_PRICES), F.trunc("date", "quarter"))
     return rounded(rows.select("isin", "date", *cols, "has_sufficient_history"), *cols)
 
 
