@@ -88,6 +88,19 @@ def test_windows_hold_the_trailing_rows(prices):
     assert sample_windows(feats, seq, as_float=True).schema["window"].dataType.simpleString() == "array<array<float>>"
 
 
+def test_windows_of_what_each_row_gives(prices):
+    """A cell is worked out once a row: windows of row texts are the texts of the windows' rows."""
+    feats = compute_features(prices)
+    text = F.concat_ws(",", *[F.round(F.col(c) * 1e6).cast("long") for c in FEATURE_COLUMNS])
+    keys = ["isin", "feature_end_date", "label_date", "array_idx", "target"]
+    told = sample_windows(feats, 5, cell=text).withColumn("window", F.array_join("window", ","))
+    whole = sample_windows(feats, 5).withColumn("window", F.array_join(F.transform(
+        F.flatten("window"), lambda x: F.round(x * 1e6).cast("long")), ","))
+    assert told.count() > 500 and same_rows(told.select(*keys, "window"), whole.select(*keys, "window"))
+    with pytest.raises(ValueError):
+        sample_windows(feats, 5, as_float=True, cell=text)
+
+
 def _panel_features(spark, names, n_days, history_from=3):
     start = dt.date(2020, 1, 1)
     rows = []
