@@ -43,21 +43,15 @@ def symbol_isin_map(bars: DataFrame) -> DataFrame:
 def backfill_isin(bars: DataFrame) -> DataFrame:
     """Fill missing isins from the symbol's known one, else a ``SYM:`` id.
 
-    The lookup side carries no broadcast hint: its size is that of the symbol
-    list, so the planner (and AQE at run time) broadcasts it only while it is
-    under the configured threshold and otherwise splits skewed symbols.
+    Only rows without an isin are looked up and move for it. The lookup side carries no broadcast hint: its size is that
+    of the symbol list, so the planner (and AQE at run time) broadcasts it only while it is under the configured threshold and
+    otherwise splits skewed symbols.
     """
-    given = F.when(F.col("isin") != "", F.col("isin"))
-    return (
-        bars.join(symbol_isin_map(bars), "symbol", "left")
-        .withColumn(
-            "isin",
-            F.coalesce(given, F.col("_known_isin"),
-                       F.concat(F.lit(FALLBACK_PREFIX), F.col("symbol"))),
-        )
-        .withColumn("isin_is_symbol_fallback", F.col("isin").startswith(FALLBACK_PREFIX))
-        .select(*bars.columns, "isin_is_symbol_fallback")
-    )
+    given = F.coalesce(F.col("isin") != "", F.lit(False))
+    looked_up = bars.filter(~given).join(symbol_isin_map(bars), "symbol", "left").withColumn(
+        "isin", F.coalesce("_known_isin", F.concat(F.lit(FALLBACK_PREFIX), F.col("symbol"))))
+    return bars.filter(given).unionByName(looked_up.select(*bars.columns)).withColumn(
+        "isin_is_symbol_fallback", F.col("isin").startswith(FALLBACK_PREFIX))
 
 
 def dedupe_bars(bars: DataFrame) -> DataFrame:

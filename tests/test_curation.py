@@ -110,3 +110,31 @@ def test_build_curated_store(spark, tmp_path):
     assert quality_report(load_curated(spark, root), f"{root}/quality").first()["gate"] == "GREEN"
     no_actions = build_curated(bars(spark, rows), None, scratch_path(spark, "store")).first()
     assert no_actions["n_adjustment_events"] == 0
+
+
+def test_only_rows_without_an_isin_are_looked_up(spark):
+    """Rows that have one would all move by symbol for nothing."""
+    rows = bars(spark, [bar("INE1", day(0), symbol="A"), bar("INE1", day(1), symbol="A"), bar(None, day(2), symbol="A"),
+                        bar("", day(3), symbol="A"), bar(None, day(4), symbol="B"), bar("", day(5), symbol="")])
+    got = backfill_isin(rows)
+    assert sorted((r.date, r.isin, r.isin_is_symbol_fallback) for r in got.collect()) == [
+        (day(0), "INE1", False), (day(1), "INE1", False), (day(2), "INE1", False), (day(3), "INE1", False),
+        (day(4), "SYM:B", True), (day(5), "SYM:", True)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.splitlines()[0]
+    assert top.startswith("Union") and "Join LeftOuter" in plan
+
+
+def test_trades_move_once_and_are_not_combined_before(spark):
+    from workload import fixtures
+
+    plan = fixtures.bars_raw(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_stored_features_have_no_prices(spark):
+    from barfold.schemas import FEATURE_COLUMNS, TARGET_COLUMN
+    from workload.queries import Inputs
+
+    stored = Inputs(spark, "/root/testdata/sf0.001").features
+    assert stored.columns == ["isin", "date", *FEATURE_COLUMNS, TARGET_COLUMN, "has_sufficient_history"]

@@ -37,6 +37,9 @@ LIQUIDITY = {"lookback_days": 365, "min_adv": 3e4, "min_sessions": 60}
 AS_OF = dt.date(2001, 12, 31)
 DONE_FOLDS = ("1998", "1999")
 
+# What the feature steps read of the curated rows: the others would travel through every exchange.
+_PRICES = ("isin", "date", "open_adj", "high_adj", "low_adj", "close_adj", "volume")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -86,7 +89,9 @@ class Inputs:
 
     @cached_property
     def features(self) -> DataFrame:
-        return self._kept("features", lambda: features.compute_features(self.curated))
+        """What later steps read of the features; prices and half-way columns are not stored a second time."""
+        return self._kept("features", lambda: features.compute_features(self.curated.select(*_PRICES)).select(
+            "isin", "date", *FEATURE_COLUMNS, TARGET_COLUMN, "has_sufficient_history"))
 
     @cached_property
     def universe(self) -> DataFrame:
@@ -426,45 +431,43 @@ def restrict_to_universe(x: Inputs) -> DataFrame:
 
 # ------------------------------------------------------------------ features
 
-# What the feature steps read of the curated rows: the others would travel through every exchange.
-_PRICES = ("isin", "date", "open_adj", "high_adj", "low_adj", "close_adj", "volume")
 _RETURNS = ("ret_1", "ret_o", "ret_h", "ret_l")
 
 
 @query
 def log_returns(x: Inputs) -> DataFrame:
-    return rounded(features.log_returns(x.curated).select("isin", "date", *_RETURNS), *_RETURNS)
+    return rounded(features.log_returns(x.curated.select(*_PRICES)).select("isin", "date", *_RETURNS), *_RETURNS)
 
 
 @query
 def realized_vol(x: Inputs) -> DataFrame:
-    rows = features.realized_vol(features.log_returns(x.curated))
+    rows = features.realized_vol(features.log_returns(x.curated.select(*_PRICES)))
     return rounded(rows.select("isin", "date", "realized_vol_20"), "realized_vol_20")
 
 
 @query
 def volume_baseline(x: Inputs) -> DataFrame:
     cols = ("log_vol", "log_vol_baseline", "log_vol_std")
-    return rounded(features.volume_baseline(x.curated).select("isin", "date", *cols), *cols)
+    return rounded(features.volume_baseline(x.curated.select(*_PRICES)).select("isin", "date", *cols), *cols)
 
 
 @query
 def scaled_features(x: Inputs) -> DataFrame:
     rows = features.scaled_features(features.volume_baseline(
-        features.realized_vol(features.log_returns(x.curated))))
+        features.realized_vol(features.log_returns(x.curated.select(*_PRICES)))))
     return rounded(rows.select("isin", "date", "ret_1_volscaled", "vol_z"),
                    "ret_1_volscaled", "vol_z")
 
 
 @query
 def forward_return(x: Inputs) -> DataFrame:
-    return rounded(features.forward_return(x.curated).select("isin", "date", "fwd_ret_1"),
+    return rounded(features.forward_return(x.curated.select(*_PRICES)).select("isin", "date", "fwd_ret_1"),
                    "fwd_ret_1")
 
 
 @query
 def history_flag(x: Inputs) -> DataFrame:
-    return features.history_flag(x.curated).select("isin", "date", "has_sufficient_history")
+    return features.history_flag(x.curated.select(*_PRICES)).select("isin", "date", "has_sufficient_history")
 
 
 @query
@@ -476,7 +479,7 @@ def calendar_encoding(x: Inputs) -> DataFrame:
 @query
 def compute_features(x: Inputs) -> DataFrame:
     cols = (*FEATURE_COLUMNS, "fwd_ret_1")
-    rows = features.compute_features(x.curated)
+    rows = features.compute_features(x.curated.select(*_PRICES))
     return rounded(rows.select("isin", "date", *cols, "has_sufficient_history"), *cols)
 
 
