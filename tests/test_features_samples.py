@@ -137,6 +137,20 @@ def test_large_panels_are_spread_not_cut(spark):
         assert sorted(n for r in rows if r["feature_end_date"] == d for n in r["isins"]) == names
 
 
+def test_panels_are_cut_from_rows_not_from_moved_windows(spark, prices):
+    """The names' windows in panels are those of the samples, across years, and no window is moved or sorted."""
+    feats = compute_features(prices).cache()
+    universe = feats.select("isin").distinct()
+    made = panel_tensors(feats, universe, 30, 2)
+    got = {(r["feature_end_date"], k): (w, t) for r in made.collect() for k, w, t in zip(r["isins"], r["windows"], r["targets"])}
+    want = {(r["feature_end_date"], r["isin"]): (r["window"], r["target"]) for r in sample_windows(feats, 30).collect()}
+    listed = {(r["feature_end_date"], r["isin"]) for r in panel_index(feats, universe, 30, 2).collect()}
+    assert len(listed) > 400 and len({d.year for d, _ in listed}) == 2
+    assert got.keys() == listed and all(got[k] == want[k] for k in listed)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_panel_target_date_can_pass_the_label_date(spark, prices):
     feats = compute_features(prices).cache()
     universe = spark.createDataFrame([("A",), ("B",), ("C",)], "isin string")
