@@ -15,10 +15,16 @@ def patchify(window: Column, seq_len: int, n_features: int, patch_size: int) ->
     with zero rows, so the newest patch always holds real rows only.
     """
     missing = -seq_len % patch_size
-    zero_row = F.array_repeat(F.lit(0.0), n_features)
-    padded = F.concat(F.array_repeat(zero_row, missing), window) if missing else window
-    starts = F.sequence(F.lit(1), F.lit(seq_len + missing), F.lit(patch_size))
-    return F.transform(starts, lambda s: F.flatten(F.slice(padded, s, patch_size)))
+    # Only the first patch is filled: the others are cut from the window itself, without a padded copy of it for each.
+    whole = patch_size - missing if missing else 0
+    patches = []
+    if missing:
+        zero_rows = F.array_repeat(F.array_repeat(F.lit(0.0), n_features), missing)
+        patches.append(F.array(F.flatten(F.concat(zero_rows, F.slice(window, 1, whole)))))
+    if whole < seq_len:
+        starts = F.sequence(F.lit(whole + 1), F.lit(seq_len), F.lit(patch_size))
+        patches.append(F.transform(starts, lambda s: F.flatten(F.slice(window, s, patch_size))))
+    return F.concat(*patches) if len(patches) > 1 else patches[0]
 
 
 def pinball_terms(

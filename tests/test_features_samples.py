@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barfold.functions.arrays import patchify
 from barfold.operators.features import compute_features
 from barfold.operators.samples import panel_index, panel_tensors, sample_index, sample_windows
 from barfold.schemas import FEATURE_COLUMNS
@@ -101,6 +102,19 @@ def test_windows_of_what_each_row_gives(prices):
         sample_windows(feats, 5, as_float=True, cell=text)
 
 
+@pytest.mark.parametrize("seq, patch", [(120, 7), (6, 3), (5, 9), (4, 4), (7, 1)])
+def test_patches_are_cut_from_the_window_itself(spark, seq, patch):
+    rows = [[float(i), float(-i)] for i in range(1, seq + 1)]
+    window = F.col("w")
+    made = spark.createDataFrame([(rows,)], "w array<array<double>>").select(patchify(window, seq, 2, patch).alias("p"))
+    missing = -seq % patch
+    padded = [[0.0, 0.0]] * missing + rows
+    assert made.first()["p"] == [sum(padded[i:i + patch], []) for i in range(0, seq + missing, patch)]
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan.count("concat(") <= 2  # none inside the function that is run for each patch
+    assert "slice(concat" not in plan
+
+
 def _panel_features(spark, names, n_days, history_from=3):
     start = dt.date(2020, 1, 1)
     rows = []
