@@ -129,15 +129,19 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     first record, read like any other: quoted titles are known too. A file that cannot be read, has no
     date in its name, no known header or more than ``MAX_COLUMNS`` columns gives rows with ``_error``, and no bars.
     """
-    csv_cells = F.from_csv("line", ", ".join(f"c{i} string" for i in range(MAX_COLUMNS)), {
+    # Only a line with a quote needs the CSV parser, in a step of its own: it can't be compiled together with other columns. A
+    # title that is not there has position 0 and no cell.
+    whole = F.from_csv("line", ", ".join(f"c{i} string" for i in range(MAX_COLUMNS)), {
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": '"'})
-    date = F.try_to_date(F.regexp_extract("_path", DATE_IN_NAME, 1))
-    read = lines.select("_path", date.alias("date"), "_error", "line", _one_row(
-        F.split("titles", _BETWEEN).alias("_titles"), csv_cells.alias("_csv")))
-    cells = read.select("*", _one_row(
-        F.array(*[F.col(f"_csv.c{i}") for i in range(MAX_COLUMNS)]).alias("_cells"),
-        F.array_contains("_titles", NEW_LAYOUT_MARKER).alias("_new"),
-        F.array_contains("_titles", OLD_LAYOUT_MARKER).alias("_old")))
+    quoted = F.get(F.transform(F.array(whole), lambda c: F.array(*[c[f"c{i}"] for i in range(MAX_COLUMNS)])), F.lit(0))
+    read = lines.select("*", _one_row(F.when(F.col("line").contains('"'), quoted).alias("_quoted")))
+    between = F.concat(F.lit(_BETWEEN), F.col("titles"), F.lit(_BETWEEN))
+    cells = read.select("_path", "_error", "line", _one_row(
+        F.try_to_date(F.regexp_extract("_path", DATE_IN_NAME, 1)).alias("date"),
+        F.split("titles", _BETWEEN).alias("_titles"),
+        F.when(F.col("_quoted").isNull(), F.split("line", ",")).otherwise(F.col("_quoted")).alias("_cells"),
+        between.contains(f"{_BETWEEN}{NEW_LAYOUT_MARKER}{_BETWEEN}").alias("_new"),
+        between.contains(f"{_BETWEEN}{OLD_LAYOUT_MARKER}{_BETWEEN}").alias("_old")))
 
     def place(name: str) -> Column:
         """Position of the title that a cell has in the row's layout."""
@@ -146,16 +150,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         return F.array_position("_titles", title).cast("int")
 
     names = [*(f.name for f in BARS.fields if f.name != "date"), "instrument_type"]
-    cells = cells.select("*", _one_row(*(place(n).alias(f"_at_{n}") for n in names)))
     texts = cells.select("_path", "date", "_error", "line", "_new", "_old", _one_row(*(
-        _trimmed(F.when(F.col(f"_at_{n}") > 0, F.get("_cells", F.col(f"_at_{n}") - 1))).alias(n) for n in names)))
+        _trimmed(F.get("_cells", place(n) - 1)).alias(n) for n in names)))
     known = F.coalesce(F.col("_new") | F.col("_old"), F.lit(False))
     error = F.coalesce(
         "_error", F.when(F.col("date").isNull(), "no date in file name"), F.when(~known, "no known day-file header"))
     equity = ~F.col("_new") | F.coalesce(F.col("instrument_type") == EQUITY_INSTRUMENT, F.lit(False))
     parsed = texts.withColumn("_error", error).filter(F.col("_error").isNotNull() | (F.col("line").isNotNull() & equity))
     return parsed.select(
-        *(_typed(f).alias(f.name) for f in BARS.fields), "_path", F.regexp_extract("_path", r"([^/]+)$", 1).alias("_file"),
+        *(_typed(f).alias(f.name) for f in BARS.fields), "_path", F.substring_index("_path", "/", -1).alias("_file"),
         "_error")
 
 

@@ -283,3 +283,29 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "q")).first()["isin"] == "A"
     write_report(rows, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 1
+
+
+def test_only_quoted_lines_meet_the_csv_parser(spark):
+    titles = src._BETWEEN.join(t.strip() for t in OLD.splitlines()[0].split(","))
+    plain, cells = " ACME\t, EQ ,10,11,9,x,NaN,,1000,5e3,,12, INE001 ,more", "ACME EQ 10 11 9 x NaN  1000 5e3  12 INE001 more".split(" ")
+    rows = [("/l/2024-01-01.zip", titles, line, None) for line in (plain, ",".join(f'"{c}"' for c in cells), "ACME,EQ", "")]
+    parsed = src.parse_lines(spark.createDataFrame(rows, src.LINES))
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_csv(") == 1 and 'CASE WHEN Contains(line' in plan.split("from_csv(")[0].splitlines()[-1]
+    first, second, short, empty = parsed.collect()
+    assert first == second and (first.isin, first.open, first.close, first.last, first.n_trades) == ("INE001", 10.0, None, None, 12)
+    assert (short.symbol, short.series, short.isin, empty.symbol) == ("ACME", "EQ", None, None)
+
+
+def test_day_files_are_packed_once(spark):
+    from workload import fixtures
+    raw = fixtures.bars_raw(spark, "/root/testdata/sf0.001")
+    files = fixtures.day_files(spark, raw)
+    assert files._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.path: bytes(r.content) for r in files.collect()}
+    bad = {p: c for p, c in got.items() if p.endswith("_bad.zip")}
+    years = {r.y for r in raw.select(F.year("date").alias("y")).distinct().collect()}
+    assert {int(p.split("/")[2]) for p in bad} == years and len(bad) == len(years)
+    for path, content in bad.items():
+        whole = path.replace("_bad.zip", ".zip")
+        assert whole == min(p for p in got if p.split("/")[2] == path.split("/")[2]) and content == got[whole][:20]

@@ -196,23 +196,21 @@ def _zipped(text: pd.Series) -> pd.Series:
 def day_files(spark: SparkSession, bars: DataFrame) -> DataFrame:
     """(path, content) of one zip per day and block of keys, and one broken file."""
     block = F.expr(f"k div {ROWS_PER_FILE_KEYS}")
+    path = F.concat(F.lit("/landed/"), F.year("day"), F.lit("/"), F.col("day").cast("string"),
+                    F.lit("_"), F.col("block"), F.lit(".zip"))
     files = (
         csv_lines(bars).groupBy("day", "header", block.alias("block"))
         .agg(F.array_sort(F.collect_list("line")).alias("lines"))
-        .select(
-            F.concat(F.lit("/landed/"), F.year("day"), F.lit("/"), F.col("day").cast("string"),
-                     F.lit("_"), F.col("block"), F.lit(".zip")).alias("path"),
-            _zipped(F.concat_ws("\n", "header", "lines")).alias("content"),
-        )
-    )
-    # A broken copy per year, derived from the data: same name plus "bad", cut short.
-    broken = files.groupBy(F.regexp_extract("path", r"/(\d{4})/", 1).alias("y")).agg(
-        F.min_by("path", "path").alias("p"), F.min_by("content", "path").alias("c")
-    ).select(
-        F.regexp_replace("p", r"\.zip$", "_bad.zip").alias("path"),
-        F.substring("c", 1, 20).alias("content"),
+        .select(path.alias("path"), _zipped(F.concat_ws("\n", "header", "lines")).alias("content"))
     )
-    return files.unionByName(broken)
+    # A broken copy per year, derived from the data: the first name plus "bad", cut short. The names follow from days and
+    # keys alone, so nothing is packed a second time to find them; they are one per year.
+    first = bars.select(F.col("date").alias("day"), block.alias("block")).groupBy(F.year("day")).agg(
+        F.min(path).alias("path")).select("path", F.lit(True).alias("first"))
+    whole = F.struct("path", "content")
+    broken = F.struct(F.regexp_replace("path", r"\.zip$", "_bad.zip").alias("path"), F.substring("content", 1, 20).alias("content"))
+    return files.join(F.broadcast(first), "path", "left").select(
+        F.inline(F.when(F.col("first"), F.array(whole, broken)).otherwise(F.array(whole))))
 
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
