@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from barfold.functions.corporate_actions import action_multiplier, needs_review
 
 PRICE_COLUMNS = ("open", "high", "low", "close")
+#: Tasks that read the subject lines of a feed: a small feed in bytes is much work, so its size must not decide.
+FEED_TASKS = 64
 
 
 def unparsed_actions(actions: DataFrame) -> DataFrame:
@@ -17,13 +19,13 @@ def adjustment_factors(actions: DataFrame) -> DataFrame:
     """(isin, ex_date, cum_factor): product of this and every later multiplier.
 
     Actions sharing an ex-date are multiplied together first, so the running
-    product sees one row per (isin, ex_date).
+    product sees one row per (isin, ex_date). The subject lines are read after the one
+    exchange, so that a feed in few files is not read by few tasks, and only once each.
     """
     per_day = (
-        actions.filter(F.col("series") == "EQ")
-        .withColumn("multiplier", action_multiplier(F.col("subject")))
+        actions.filter(F.col("series") == "EQ").select("isin", "ex_date", "subject").repartition(FEED_TASKS, "isin")
+        .groupBy("isin", "ex_date").agg(F.product(action_multiplier(F.col("subject"))).alias("multiplier"))
         .filter(F.col("multiplier").isNotNull())
-        .groupBy("isin", "ex_date").agg(F.product("multiplier").alias("multiplier"))
     )
     newest_first = (
         Window.partitionBy("isin").orderBy(F.col("ex_date").desc())

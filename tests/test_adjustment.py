@@ -112,3 +112,12 @@ def test_no_factors_keeps_prices_and_columns(spark):
     row = apply_adjustment(prices, empty).first()
     assert row["adj_factor"] == 1.0 and row["close_adj"] == row["close"]
     assert apply_adjustment(prices, empty).columns == apply_adjustment_scan(prices, empty).columns
+
+
+def test_subjects_are_read_once_behind_the_only_exchange(spark):
+    rows = [("A", "A", "EQ", day(i % 3), t) for i, t in enumerate(["Bonus 1:1", SPLIT_10_TO_2, "Demerger", "Bonus 1:1", None])]
+    factors = adjustment_factors(spark.createDataFrame(rows, ACTIONS))
+    plan = factors._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("regexp_extract") < plan.index("Exchange hashpartitioning")  # parents come first in the text
+    assert {(r.ex_date, round(r.cum_factor, 9)) for r in factors.collect()} == {(day(0), 0.05), (day(1), 0.2)}
