@@ -68,15 +68,15 @@ def dedupe_bars(bars: DataFrame) -> DataFrame:
 def tradable_range(bars: DataFrame) -> DataFrame:
     """Listing span of every security, from what actually traded.
 
-    The distinct count makes Spark pre-aggregate on (isin, date), so even
-    undeduplicated input reaches the final step with calendar-bounded groups.
+    Dates and symbols are collected as sets on the map side, so even undeduplicated input
+    moves once, with each security as one row per task that holds no more than the calendar.
     """
     spans = [
         F.max_by("symbol", F.struct("date", "symbol")).alias("last_symbol"),
         F.sort_array(F.collect_set("symbol")).alias("symbols_seen"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
-        F.count_distinct("date").alias("n_sessions"),
+        F.size(F.collect_set("date")).cast("long").alias("n_sessions"),
     ]
     if "isin_is_symbol_fallback" in bars.columns:
         spans.append(F.bool_or("isin_is_symbol_fallback").alias("isin_is_symbol_fallback"))

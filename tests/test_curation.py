@@ -138,3 +138,11 @@ def test_stored_features_have_no_prices(spark):
 
     stored = Inputs(spark, "/root/testdata/sf0.001").features
     assert stored.columns == ["isin", "date", *FEATURE_COLUMNS, TARGET_COLUMN, "has_sufficient_history"]
+
+
+def test_ranges_move_each_security_once(spark):
+    rows = bars(spark, [bar("A", day(i % 3), symbol=f"S{i % 2}") for i in range(6)] + [bar("B", day(5)), bar("B", None)])
+    ranges = tradable_range(rows)
+    assert ranges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert dict(ranges.dtypes)["n_sessions"] == "bigint"
+    assert {r.isin: r.n_sessions for r in ranges.collect()} == {"A": 3, "B": 1}
