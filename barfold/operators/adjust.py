@@ -15,15 +15,16 @@ def unparsed_actions(actions: DataFrame) -> DataFrame:
     return actions.filter((F.col("series") == "EQ") & needs_review(F.col("subject")))
 
 
-def adjustment_factors(actions: DataFrame) -> DataFrame:
+def adjustment_factors(actions: DataFrame, tasks: int = FEED_TASKS) -> DataFrame:
     """(isin, ex_date, cum_factor): product of this and every later multiplier.
 
     Actions sharing an ex-date are multiplied together first, so the running
     product sees one row per (isin, ex_date). The subject lines are read after the one
-    exchange, so that a feed in few files is not read by few tasks, and only once each.
+    exchange, so that a feed in few files is not read by few tasks, and only once each. Prices dealt by isin into as many
+    parts as ``tasks`` join the factors as both lie.
     """
     per_day = (
-        actions.filter(F.col("series") == "EQ").select("isin", "ex_date", "subject").repartition(FEED_TASKS, "isin")
+        actions.filter(F.col("series") == "EQ").select("isin", "ex_date", "subject").repartition(tasks, "isin")
         .groupBy("isin", "ex_date").agg(F.product(action_multiplier(F.col("subject"))).alias("multiplier"))
         .filter(F.col("multiplier").isNotNull())
     )

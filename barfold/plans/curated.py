@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.operators.adjust import adjustment_factors, apply_adjustment, unparsed_actions
+from barfold.operators.adjust import FEED_TASKS, adjustment_factors, apply_adjustment, unparsed_actions
 from barfold.operators.curate import (
     DEFAULT_SERIES, backfill_isin, dedupe_bars, select_equity_rows, tradable_range,
     trading_calendar,
@@ -24,15 +24,21 @@ def clean_bars(raw: DataFrame, series: Sequence[str] = DEFAULT_SERIES) -> DataFr
 
 
 def curate(
-    raw: DataFrame, actions: DataFrame | None, series: Sequence[str] = DEFAULT_SERIES
+    raw: DataFrame, actions: DataFrame | None, series: Sequence[str] = DEFAULT_SERIES, parts: int | None = None
 ) -> DataFrame:
-    """Clean bars with adjusted prices; no actions means a factor of one."""
+    """Clean bars with adjusted prices; no actions means a factor of one.
+
+    With ``parts`` the clean bars, and the factors, are dealt by isin into that many parts, once, with no more columns than
+    are asked for: the join of both, however it is planned, the features after it and a store in as many buckets take them as they lie.
+    """
     bars = clean_bars(raw, series)
+    if parts is not None:
+        bars = bars.repartition(parts, "isin")
     if actions is None:
         factors = bars.sparkSession.createDataFrame(
             [], "isin string, ex_date date, cum_factor double")
     else:
-        factors = adjustment_factors(actions)
+        factors = adjustment_factors(actions, parts or FEED_TASKS)
     adjusted = apply_adjustment(bars, factors)
     return adjusted.select(*[f.name for f in CURATED.fields])
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 from barfold.operators.curate import (
     backfill_isin, dedupe_bars, select_equity_rows, tradable_range,
@@ -7,7 +8,7 @@ from barfold.operators.quality import quality_failing, quality_gate, quality_per
 from barfold.operators.universe import liquid_universe, top_liquid
 from barfold.plans.curated import build_curated, load_curated, quality_report
 from barfold.session import scratch_path
-from tests.helpers import bar, bars, day
+from tests.helpers import bar, bars, day, same_rows
 
 
 def test_select_equity_rows(spark):
@@ -146,3 +147,46 @@ def test_ranges_move_each_security_once(spark):
     assert ranges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert dict(ranges.dtypes)["n_sessions"] == "bigint"
     assert {r.isin: r.n_sessions for r in ranges.collect()} == {"A": 3, "B": 1}
+
+
+def test_curated_rows_move_once_more_whatever_the_join(spark):
+    from barfold.operators.features import compute_features
+    from barfold.plans.curated import curate
+    from workload.queries import Inputs, _PRICES
+
+    x = Inputs(spark, "/root/testdata/sf0.001")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plans = {}
+    try:
+        for size in (limit, "-1"):  # a factor table of any size: broadcast, and too large for that
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+            rows = compute_features(curate(x.raw, x.actions, parts=5).select(*_PRICES))
+            plans[size] = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" in plans["-1"]
+    for plan in plans.values():
+        # The bars and the factors, each once, and neither again for the join, the windows or the Arrow map.
+        moves = re.findall(r"Exchange hashpartitioning\(isin#\d+, (\d+)\), (\w+)", plan)
+        assert moves == [("5", "REPARTITION_BY_NUM")] * 2
+
+
+def test_session_embargo_stores_no_curated_rows(spark, tmp_path):
+    import shutil
+
+    from barfold.operators.samples import sample_index
+    from barfold.session import kept_table
+    from workload.queries import QUERIES, Inputs
+
+    source = str(tmp_path / "sf")  # a folder of its own: nothing is built for it yet
+    shutil.copytree("/root/testdata/sf0.001", source)
+    got = QUERIES["assign_splits_sessions"](spark, source)
+    assert kept_table(f"{source}/samples", spark, source) is not None
+    assert kept_table(f"{source}/curated", spark, source) is None
+    x = Inputs(spark, source)
+    assert "Exchange" not in sample_index(x.features)._jdf.queryExecution().executedPlan().toString()
+    on_the_way = x.prices
+    x.curated  # from now on features are made of the stored rows
+    stored = Inputs(spark, source).prices
+    assert same_rows(stored, on_the_way) and got.count() > 0
+    assert x.bars_raw.filter("prev_close <=> close AND last <=> close").count() == x.bars_raw.count()

@@ -30,8 +30,18 @@ def _code(prefix: str, k) -> Column:
     return F.format_string(prefix + "%06d", k)
 
 
-def bars_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw bars, one per (supplier, ship date, line status), with key ``k``."""
+#: Columns of the raw bars that repeat the close; a store can leave them out.
+REPEATED = ("prev_close", "last")
+
+
+def with_repeated(bars: DataFrame) -> DataFrame:
+    """Raw bars stored without their ``REPEATED`` columns, whole again."""
+    after = bars.columns.index("close") + 1
+    return bars.select(*bars.columns[:after], *[F.col("close").alias(c) for c in REPEATED], *bars.columns[after:])
+
+
+def bars_raw(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Raw bars, one per (supplier, ship date, line status), with key ``k``; the trades move in ``parts``, if given."""
     px = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     k, date, close = F.col("k"), F.col("date"), F.col("_close")
@@ -41,7 +51,7 @@ def bars_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("date"), F.col("l_linestatus").alias("status"),
         F.year("l_shipdate").alias("_year"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     day = (
-        trades.repartition("k", "_year").groupBy("k", "_year", "date", "status")
+        trades.repartition(*([] if parts is None else [parts]), "k", "_year").groupBy("k", "_year", "date", "status")
         .agg(
             F.min_by(px, order).alias("_open"), F.max_by(px, order).alias("_close"),
             F.max(px).alias("_high"), F.min(px).alias("_low"),

@@ -23,7 +23,7 @@ from barfold.operators.ranking import average_ranks
 from barfold.plans import curated as curated_plan
 from barfold.plans import evaluation
 from barfold.schemas import FEATURE_COLUMNS, QUANTILES, TARGET_COLUMN
-from barfold.session import keep_table, scratch_path, stage_table
+from barfold.session import keep_table, kept_table, scratch_path, stage_table, stored_bytes
 from barfold.sources import bars as bar_files
 from barfold.sources import day_file_source, reference_data, sinks
 from barfold.streaming import ingest
@@ -37,6 +37,9 @@ LIQUIDITY = {"lookback_days": 365, "min_adv": 3e4, "min_sessions": 60}
 AS_OF = dt.date(2001, 12, 31)
 DONE_FOLDS = ("1998", "1999")
 
+# Trades of a part, in bytes of the input: what a task holds to sort then stays the same at any size of the whole.
+PART_BYTES = 4 << 20
+
 # What the feature steps read of the curated rows: the others would travel through every exchange.
 _PRICES = ("isin", "date", "open_adj", "high_adj", "low_adj", "close_adj", "volume")
 
@@ -55,12 +58,19 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return keep_table(f"{self.sf_dir}/{name}", self.spark, build, self.sf_dir)
+    def _kept(self, name: str, build: Callable[[], DataFrame], **buckets) -> DataFrame:
+        return keep_table(f"{self.sf_dir}/{name}", self.spark, build, self.sf_dir, **buckets)
+
+    @cached_property
+    def parts(self) -> int:
+        """Into how many parts trades and bars are dealt."""
+        needed = -(-stored_bytes(self.spark, f"{self.sf_dir}/lineitem.parquet") // PART_BYTES)
+        return max(needed, self.spark.sparkContext.defaultParallelism)
 
     @cached_property
     def bars_raw(self) -> DataFrame:
-        return self._kept("raw-bars", lambda: fixtures.bars_raw(self.spark, self.sf_dir))
+        return fixtures.with_repeated(self._kept("raw-bars", lambda: fixtures.bars_raw(
+            self.spark, self.sf_dir, self.parts).drop(*fixtures.REPEATED)))
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -85,13 +95,22 @@ class Inputs:
 
     @cached_property
     def curated(self) -> DataFrame:
-        return self._kept("curated", lambda: curated_plan.curate(self.raw, self.actions))
+        return self._kept("curated", self._curate, by="isin", buckets=self.parts)
+
+    def _curate(self) -> DataFrame:
+        return curated_plan.curate(self.raw, self.actions, parts=self.parts)
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        """What features read: of the curated table if it is stored, else as a step on the way, which nothing else asks to be stored."""
+        stored = kept_table(f"{self.sf_dir}/curated", self.spark, self.sf_dir)
+        return (self._curate() if stored is None else stored).select(*_PRICES)
 
     @cached_property
     def features(self) -> DataFrame:
         """What later steps read of the features; prices and half-way columns are not stored a second time."""
-        return self._kept("features", lambda: features.compute_features(self.curated.select(*_PRICES)).select(
-            "isin", "date", *FEATURE_COLUMNS, TARGET_COLUMN, "has_sufficient_history"))
+        return self._kept("features", lambda: features.compute_features(self.prices).select(
+            "isin", "date", *FEATURE_COLUMNS, TARGET_COLUMN, "has_sufficient_history"), by="isin", buckets=self.parts)
 
     @cached_property
     def universe(self) -> DataFrame:
@@ -557,9 +576,10 @@ def assign_splits(x: Inputs) -> DataFrame:
 
 @query
 def assign_splits_sessions(x: Inputs) -> DataFrame:
+    # Features have the dates of the curated rows, row by row.
     rows = walkforward.assign_splits(
         x.samples, FOLDS, 10, embargo_unit="sessions",
-        calendar=curate.trading_calendar(x.curated))
+        calendar=curate.trading_calendar(x.features))
     return rows.select("fold", "split", "isin", "feature_end_date", "label_date")
 
 
