@@ -35,8 +35,8 @@ LEAF_BYTES = 6
 SHORT_BYTES = 64
 #: Characters of a text that are matched in one go.
 LEAF_CHARS = 16_384
-#: Entries of a worker's memo of encoded pieces; it is emptied when full.
-MEMO = 400_000
+#: Entries of each of a worker's three memos, about 200 bytes each; one that is full is emptied.
+MEMO = 150_000
 #: Stands for the rank of a pair that is no token.
 NONE = 1 << 62
 
@@ -274,3 +274,14 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
         encoded.select(id_col, "n_tokens", "ids"), one,
         f"`{id_col}` {kind}, n_tokens bigint, ids binary, decoded binary",
     )
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass: each task has one Python worker with one vocabulary, not one for each way."""
+    def one(key, text):
+        codec = load(path, pattern)
+        ids = codec.encode(text or "")
+        return [(key, len(ids), ids.tobytes(), codec.decode(ids))]
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_rows(docs.select(id_col, text_col), one, f"`{id_col}` {kind}, n_tokens bigint, ids binary, decoded binary")
