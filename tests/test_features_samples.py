@@ -4,10 +4,12 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from barfold.functions.arrays import patchify
+from barfold.operators import samples
 from barfold.operators.features import compute_features
 from barfold.operators.samples import panel_index, panel_tensors, sample_index, sample_windows
 from barfold.schemas import FEATURE_COLUMNS
@@ -165,6 +167,43 @@ def test_panels_are_cut_from_rows_not_from_moved_windows(spark, prices):
     assert "collect_list" not in plan
 
 
+def test_panels_move_the_rows_that_windows_need_and_sort_none(spark):
+    """Rows before the first window stay where they are, and records of a shard and year are cut as they come."""
+    feats = _panel_features(spark, ["N1", "N2", "N3"], 900, history_from=500)
+    made = panel_tensors(feats, feats.select("isin").distinct(), 20, 2)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [shard" not in plan and "REPARTITION" in plan
+    rows = feats.orderBy("isin", "date").select(
+        "isin", "date", (F.col("has_sufficient_history") & F.col("fwd_ret_1").isNotNull()).alias("_usable"),
+        F.col("fwd_ret_1").alias("target"), F.col("ret_1").cast("long").cast("string").alias("cell")).toArrow()
+    packed = [r for b in samples._packed(iter(rows.to_batches(70)), 20) for r in b.to_pylist()]
+    cells = [samples._from_bytes(pa.scalar(r["cells"])).to_pylist() for r in packed]
+    days = lambda a, b: [str(i) for i in range(a, b + 1)]
+    assert [(r["isin"], r["_year"]) for r in packed] == [(k, y) for k in ("N1", "N2", "N3") for y in (2021, 2022)]
+    assert cells == [days(481, 730), days(712, 898)] * 3  # 2022 begins at row 731
+    assert [len(r["at"]) for r in packed] == [231, 168] * 3 and [r["at"][0] for r in packed] == [19] * 6
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_panels_do_not_depend_on_how_records_come(spark, size):
+    """Names in any order and any number of batches, years that share a partition: each panel has its names in order."""
+    names = [f"N{i:02d}" for i in range(12)]
+    day = lambda i: dt.date(1990, 12, 25) + dt.timedelta(days=i + (i > 9) * 365 * 32)
+    rows = pa.table({
+        "isin": [k for k in names for _ in range(20)], "date": [day(i) for _ in names for i in range(20)],
+        "_usable": [i >= 4 for _ in names for i in range(20)], "target": [float(i) for _ in names for i in range(20)],
+        "cell": [f"{k}.{i}" for k in names for i in range(20)]})
+    records = [b for x in rows.to_batches() for b in samples._packed(iter([x]), 3)]
+    table = pa.Table.from_batches(records)
+    table = table.append_column("shard", pa.array([0] * table.num_rows, pa.int32()))
+    mixed = table.take(pa.array([(7 * i) % table.num_rows for i in range(table.num_rows)]))
+    got = {r["feature_end_date"]: r for b in samples._cut(iter(mixed.combine_chunks().to_batches(size)), 3) for r in b.to_pylist()}
+    assert sorted(got) == [day(i) for i in range(4, 20)]
+    for i in range(4, 20):
+        assert got[day(i)]["isins"] == names and got[day(i)]["targets"] == [float(i)] * 12
+        assert got[day(i)]["windows"] == [[f"{k}.{j}" for j in (i - 2, i - 1, i)] for k in names]
+
+
 def test_panel_target_date_can_pass_the_label_date(spark, prices):
     feats = compute_features(prices).cache()
     universe = spark.createDataFrame([("A",), ("B",), ("C",)], "isin string")
