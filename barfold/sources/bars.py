@@ -4,7 +4,7 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -38,14 +38,11 @@ def _trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANKS))
 
 
-def _typed(field: T.StructField) -> Column:
+def _typed(field: T.StructField, text: Column) -> Column:
     """A bar column from its trimmed text cell: blank and unreadable become null."""
-    if field.name == "date":
-        return F.col("date")
-    text = F.col(field.name)
     if field.dataType == T.StringType():
         return F.when(text != "", text)
-    number = F.nullif(text.try_cast("double"), F.lit(float("nan")))
+    number = F.nanvl(F.when(text != "", text).try_cast("double"), F.lit(None).cast("double"))
     return number.try_cast("long") if field.dataType == T.LongType() else number
 
 
@@ -82,10 +79,11 @@ def _titles(header: str) -> str:
 
 def file_lines(path: str, opened: Callable[[], BinaryIO]) -> Iterator[pa.RecordBatch]:
     """(path, titles, line) of every record below a file's first one, as Arrow batches; one error row for a broken file."""
-    def batch_of(titles: str | None, lines: list, error: str | None = None) -> pa.RecordBatch:
-        n = len(lines)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.string()) for x in ([path] * n, [titles] * n, lines, [error] * n)], names=["_path", "titles", "line", "_error"])
+    def batch_of(titles: str | None, lines: pa.Array, error: str | None = None) -> pa.RecordBatch:
+        same = [pa.repeat(pa.scalar(x, pa.string()), len(lines)) for x in (path, titles, error)]
+        return pa.RecordBatch.from_arrays([*same[:2], lines, same[2]], names=["_path", "titles", "line", "_error"])
+
+    nothing = pa.nulls(1, pa.string())
 
     held, good = [], []
     try:
@@ -96,30 +94,36 @@ def file_lines(path: str, opened: Callable[[], BinaryIO]) -> Iterator[pa.RecordB
                 if line.strip():
                     held.append(line)
                 if len(held) == LINES_PER_BATCH:
-                    good.append(pa.array(held))
+                    good.append(pa.array(held, pa.string()))
                     held = []
         # Rows leave only when the whole file was readable: a cut-off day is an error, not a short day.
         for part in (*good, pa.array(held, pa.string())):
-            yield batch_of(titles, part.to_pylist())
+            yield batch_of(titles, part)
         if not good and not held:
-            yield batch_of(titles, [None])
+            yield batch_of(titles, nothing)
     except Exception as exc:  # one bad day must not stop the others
-        yield batch_of(None, [None], f"{type(exc).__name__}: {exc}")
+        yield batch_of(None, nothing, f"{type(exc).__name__}: {exc}")
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpack(batches: Iterator[pa.RecordBatch], carry: Sequence[str] = ()) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             path, content = (batch.column(c)[i].as_py() for c in ("path", "content"))
-            yield from file_lines(path, lambda c=content: io.BytesIO(c))
+            for lines in file_lines(path, lambda c=content: io.BytesIO(c)):
+                for c in carry:
+                    lines = lines.append_column(c, pa.repeat(batch.column(c)[i], lines.num_rows))
+                yield lines
 
 
-def parse_day_files(files: DataFrame) -> DataFrame:
+def parse_day_files(files: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Bars plus ``_path`` / ``_file`` / ``_error`` from (path, content) rows of day files, zipped or plain.
 
     One file is one exchange day and the natural task unit. Python only unpacks lines. Works on batch and streaming frames.
+    Each row has its file's columns ``carry`` too.
     """
-    return parse_lines(files.select("path", "content").mapInArrow(_unpack, LINES))
+    files = files.select("path", "content", *carry)
+    schema = T.StructType([*T.StructType.fromDDL(LINES).fields, *files.select(*carry).schema.fields])
+    return parse_lines(files.mapInArrow(lambda batches: _unpack(batches, carry), schema))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -127,21 +131,20 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     Layout, selection and typing are column expressions, the same for all layouts and containers. The header is a file's
     first record, read like any other: quoted titles are known too. A file that cannot be read, has no
-    date in its name, no known header or more than ``MAX_COLUMNS`` columns gives rows with ``_error``, and no bars.
+    date in its name, no known header or more than ``MAX_COLUMNS`` columns gives rows with ``_error``, and no bars. Columns besides
+    ``LINES`` go along.
     """
-    # Only a line with a quote needs the CSV parser, in a step of its own: it can't be compiled together with other columns. A
-    # title that is not there has position 0 and no cell.
+    own = [f.name for f in T.StructType.fromDDL(LINES).fields]
+    carry = [c for c in lines.columns if c not in own]
+    between = F.concat(F.lit(_BETWEEN), F.col("titles"), F.lit(_BETWEEN))
+    marked = lines.select("_path", "_error", "line", F.split("titles", _BETWEEN).alias("_titles"), *carry, *(
+        between.contains(f"{_BETWEEN}{marker}{_BETWEEN}").alias(c) for c, marker in (("_new", NEW_LAYOUT_MARKER), ("_old", OLD_LAYOUT_MARKER))))
+    # Only a line with a quote needs the CSV parser. A title that is not there has position 0 and no cell.
     whole = F.from_csv("line", ", ".join(f"c{i} string" for i in range(MAX_COLUMNS)), {
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": '"'})
     quoted = F.get(F.transform(F.array(whole), lambda c: F.array(*[c[f"c{i}"] for i in range(MAX_COLUMNS)])), F.lit(0))
-    read = lines.select("*", _one_row(F.when(F.col("line").contains('"'), quoted).alias("_quoted")))
-    between = F.concat(F.lit(_BETWEEN), F.col("titles"), F.lit(_BETWEEN))
-    cells = read.select("_path", "_error", "line", _one_row(
-        F.try_to_date(F.regexp_extract("_path", DATE_IN_NAME, 1)).alias("date"),
-        F.split("titles", _BETWEEN).alias("_titles"),
-        F.when(F.col("_quoted").isNull(), F.split("line", ",")).otherwise(F.col("_quoted")).alias("_cells"),
-        between.contains(f"{_BETWEEN}{NEW_LAYOUT_MARKER}{_BETWEEN}").alias("_new"),
-        between.contains(f"{_BETWEEN}{OLD_LAYOUT_MARKER}{_BETWEEN}").alias("_old")))
+    cells = F.when(F.col("line").contains('"'), quoted).otherwise(F.split("line", ","))
+    names = [*(f.name for f in BARS.fields if f.name != "date"), "instrument_type"]
 
     def place(name: str) -> Column:
         """Position of the title that a cell has in the row's layout."""
@@ -149,17 +152,21 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         title = F.lit(new) if old is None else F.when(F.col("_new"), new).otherwise(old)
         return F.array_position("_titles", title).cast("int")
 
-    names = [*(f.name for f in BARS.fields if f.name != "date"), "instrument_type"]
-    texts = cells.select("_path", "date", "_error", "line", "_new", "_old", _one_row(*(
-        _trimmed(F.get("_cells", place(n) - 1)).alias(n) for n in names)))
+    placed = marked.withColumn("_places", F.array(*[place(n) for n in names]))
+    # One small function for every cell: written out for each of them, the generated method outgrows the 8,000 bytes of code
+    # that Java compiles, and is interpreted byte by byte. A line is split once for all of its cells, which are not stored in between.
+    texts = F.get(F.transform(F.array(cells), lambda own: F.transform("_places", lambda p: _trimmed(F.get(own, p - 1)))), F.lit(0))
+    read = placed.select("_path", "_error", F.col("line").isNotNull().alias("_is_line"), "_new", "_old", *carry, _one_row(texts.alias("_texts")))
+    read = read.withColumn("date", F.try_to_date(F.regexp_extract("_path", DATE_IN_NAME, 1)))
+    text = {n: F.get("_texts", F.lit(i)) for i, n in enumerate(names)}
     known = F.coalesce(F.col("_new") | F.col("_old"), F.lit(False))
     error = F.coalesce(
         "_error", F.when(F.col("date").isNull(), "no date in file name"), F.when(~known, "no known day-file header"))
-    equity = ~F.col("_new") | F.coalesce(F.col("instrument_type") == EQUITY_INSTRUMENT, F.lit(False))
-    parsed = texts.withColumn("_error", error).filter(F.col("_error").isNotNull() | (F.col("line").isNotNull() & equity))
+    equity = ~F.col("_new") | F.coalesce(text["instrument_type"] == EQUITY_INSTRUMENT, F.lit(False))
+    parsed = read.withColumn("_error", error).filter(F.col("_error").isNotNull() | (F.col("_is_line") & equity))
     return parsed.select(
-        *(_typed(f).alias(f.name) for f in BARS.fields), "_path", F.substring_index("_path", "/", -1).alias("_file"),
-        "_error")
+        *(F.col("date") if f.name == "date" else _typed(f, text[f.name]).alias(f.name) for f in BARS.fields),
+        "_path", F.substring_index("_path", "/", -1).alias("_file"), "_error", *carry)
 
 
 def read_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:

@@ -88,19 +88,26 @@ def _store(
         _beside(target, "commits"))
 
 
+#: Parts that a batch's files are dealt into, for each core: a split of packed files is ten times as large once they are read.
+PARTS_PER_CORE = 4
+
+
 def _or_null(files: DataFrame, column: str, kind: str) -> Column:
     return (F.col(column) if column in files.columns else F.lit(None)).cast(kind)
 
 
 def _parsed(files: DataFrame, batch: Column) -> tuple[DataFrame, DataFrame]:
-    """(bars of the files that parsed, outcome of every file), each with its origin, read from one stored parse."""
-    parsed = stage_table(parse_day_files(files.select("path", "content")), "parsed")
+    """(bars of the files that parsed, outcome of every file), each with its origin, read from one stored parse.
+
+    A row's origin goes along with it through the parse, so that no bar is joined or moved for it; only packed files move.
+    """
+    parts = PARTS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism
     origin = files.select(
-        "path", _or_null(files, "modificationTime", "timestamp").alias("modified"), _or_null(files, "length", "long").alias("length"),
-        batch.cast("long").alias("batch"))
-    outcomes = parsed.select(F.col("_path").alias("path"), F.col("_error").alias("error")).distinct().join(origin, "path", "left")
-    bars = parsed.filter(F.col("_error").isNull()).withColumn("path", F.col("_path")).join(origin.drop("length"), "path", "left")
-    return bars.select(*BARS.names, "batch", "path", "modified"), outcomes.select("batch", "path", "modified", "length", "error")
+        "path", "content", _or_null(files, "modificationTime", "timestamp").alias("modified"),
+        _or_null(files, "length", "long").alias("length"), batch.cast("long").alias("batch")).repartition(parts, "path")
+    parsed = stage_table(parse_day_files(origin, ("batch", "modified", "length")), "parsed").withColumnsRenamed({"_path": "path", "_error": "error"})
+    bars = parsed.filter(F.col("error").isNull())
+    return bars.select(*BARS.names, "batch", "path", "modified"), parsed.select("batch", "path", "modified", "length", "error").distinct()
 
 
 def landed_files(spark: SparkSession, target: str) -> DataFrame:

@@ -134,3 +134,25 @@ def test_compaction_keeps_rows_and_outcomes(store):
     land(store.landing, "2024-01-03", OLD)
     store.run()
     assert store.rows().count() == 9 * PER_FILE and ingest.failed_files(store.spark, store.target).isEmpty()
+
+
+def test_a_bar_gets_its_origin_without_a_join(spark, tmp_path):
+    for n in (2, 3):
+        land(tmp_path, f"2024-01-0{n}", OLD)
+    next(tmp_path.rglob("2024-01-03.zip")).write_bytes(b"no zip")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    bars, outcomes = ingest._parsed(files, F.lit(7))
+    for frame in (bars, outcomes):
+        assert "Join" not in frame._jdf.queryExecution().executedPlan().toString()
+    known = {(r.path, r.modificationTime, r.length) for r in files.collect()}
+    assert {(r.path, r.modified, r.length) for r in outcomes.collect()} == known
+    assert sorted((r.path[-7:], r.batch, r.error is None) for r in outcomes.collect()) == [("-02.zip", 7, True), ("-03.zip", 7, False)]
+    assert bars.count() == PER_FILE
+    assert {(r.path, r.modified) for r in bars.collect()} < {(p, m) for p, m, _ in known} and {r.batch for r in bars.collect()} == {7}
+
+
+def test_lines_are_parsed_by_methods_that_java_compiles(spark):
+    """Java leaves methods above 8,000 bytes of code to its interpreter."""
+    parsed = src.parse_lines(spark.createDataFrame([("/l/2024-01-01.zip", OLD.splitlines()[0].replace(",", src._BETWEEN), "A,EQ,1", None)], src.LINES))
+    made = parsed._jdf.queryExecution().debug().codegenToSeq()
+    assert made.size() and max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())) < 7000

@@ -6,6 +6,7 @@ as SQL in ``workload.oracle``.
 
 import io
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -182,14 +183,15 @@ def layout_cells(bars: DataFrame) -> dict[str, DataFrame]:
 
 
 def csv_lines(bars: DataFrame) -> DataFrame:
-    """(k, day, header, line) of the raw day files."""
-    out = None
-    for layout, cells in layout_cells(bars).items():
-        titles = list(TITLES[layout])
-        lines = cells.select("k", "day", F.lit(" ,".join(titles)).alias("header"),
-                             F.concat_ws(",", *titles).alias("line"))
-        out = lines if out is None else out.unionByName(lines)
-    return out
+    """(k, day, header, line) of the raw day files: one pass over the bars, each line in the layout of its day."""
+    layout = layout_of(F.col("date"))
+
+    def in_layout(value: Callable[[str], Column]) -> Column:
+        return F.coalesce(*[F.when(layout == generation, value(generation)) for generation in TITLES])
+
+    return raw_cells(bars).select(
+        "k", F.col("date").alias("day"), in_layout(lambda g: F.lit(" ,".join(TITLES[g]))).alias("header"),
+        in_layout(lambda g: F.concat_ws(",", *[F.col(c).cast("string") for c in TITLES[g].values()])).alias("line"))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -210,13 +212,13 @@ def day_files(spark: SparkSession, bars: DataFrame) -> DataFrame:
                     F.lit("_"), F.col("block"), F.lit(".zip"))
     files = (
         csv_lines(bars).groupBy("day", "header", block.alias("block"))
-        .agg(F.array_sort(F.collect_list("line")).alias("lines"))
+        .agg(F.sort_array(F.collect_list("line")).alias("lines"))
         .select(path.alias("path"), _zipped(F.concat_ws("\n", "header", "lines")).alias("content"))
     )
     # A broken copy per year, derived from the data: the first name plus "bad", cut short. The names follow from days and
     # keys alone, so nothing is packed a second time to find them; they are one per year.
-    first = bars.select(F.col("date").alias("day"), block.alias("block")).groupBy(F.year("day")).agg(
-        F.min(path).alias("path")).select("path", F.lit(True).alias("first"))
+    first = bars.groupBy(F.year("date")).agg(F.min(F.struct(F.col("date").alias("day"), block.cast("string").alias("block"))).alias("_first"))
+    first = first.select("_first.*").select(path.alias("path"), F.lit(True).alias("first"))
     whole = F.struct("path", "content")
     broken = F.struct(F.regexp_replace("path", r"\.zip$", "_bad.zip").alias("path"), F.substring("content", 1, 20).alias("content"))
     return files.join(F.broadcast(first), "path", "left").select(

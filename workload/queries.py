@@ -306,7 +306,6 @@ def ingest_incremental(x: Inputs) -> DataFrame:
     """Two landings and an idle run through the streaming path; all bars once."""
     root = scratch_path(x.spark, "incremental")
     landing, target, checkpoint = (f"{root}/{p}" for p in ("landing", "bars", "checkpoint"))
-    files = stage_table(fixtures.day_files(x.spark, x.bars_raw), "day-files")
     schema = T.StructType([
         T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
 
@@ -314,9 +313,9 @@ def ingest_incremental(x: Inputs) -> DataFrame:
         stream = x.spark.readStream.schema(schema).parquet(landing)
         ingest.ingest_incremental(stream, target, checkpoint)
 
-    early = F.regexp_extract("path", r"/(\d{4})/", 1).cast("int") < 1998
+    early = F.year("date") < 1998
     for part in (early, ~early):
-        files.filter(part).write.mode("append").parquet(landing)
+        fixtures.day_files(x.spark, x.bars_raw.filter(part)).write.mode("append").parquet(landing)
         run()
     run()
     return ingest.load_ingested(x.spark, target)
