@@ -2,7 +2,7 @@
 
 Three stored tables side by side, all of them only ever added to:
 
-* bars, by (year, attempt): what an attempt read from the files that parsed;
+* bars, by (year, attempt): what an attempt read from the files that parsed, and, without a year, the errors of the others;
 * files, by attempt: each file's outcome, with its error if it has one;
 * commits: one row per attempt that is complete.
 
@@ -30,6 +30,7 @@ _LANDED = T.StructType([
 ])
 _ORIGIN = "batch long, path string, modified timestamp"
 _STORED = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BARS.fields) + f", {_ORIGIN}, attempt string, year int"
+_PARSED = f"{_STORED}, length long, error string"  # as a batch is stored
 _FILES = f"{_ORIGIN}, length long, error string, attempt string"
 _COMMITS = "attempt string, batch long, replaces array<string>"
 
@@ -73,41 +74,52 @@ def _visible(rows: DataFrame, target: str) -> DataFrame:
 
 
 def _bars(spark: SparkSession, target: str) -> DataFrame:
-    return _visible(_read(spark, target, _STORED), target)
+    return _visible(_read(spark, target, _STORED).filter(F.col("year").isNotNull()), target)
 
 
 def _store(
-    bars: DataFrame, files: DataFrame, target: str, name: str, batch: int | None = None, replaces: list[str] | None = None
+    bars: DataFrame, files: DataFrame | None, target: str, name: str, batch: int | None = None, replaces: list[str] | None = None
 ) -> None:
-    """Bars and outcomes under a new attempt, then its commit."""
+    """Bars and outcomes under a new attempt, then its commit. Without ``files`` the bars hold the errors too, and outcomes are read from what is stored."""
     spark, attempt = bars.sparkSession, f"{name}-{uuid.uuid4().hex}"
-    marked = bars.withColumns({"year": F.year("date"), "attempt": F.lit(attempt)})
-    marked.write.mode("append").partitionBy("year", "attempt").parquet(target)
+    year = F.year("date") if files is not None else F.when(F.col("error").isNull(), F.year("date"))
+    bars.withColumns({"year": year, "attempt": F.lit(attempt)}).write.mode("append").partitionBy("year", "attempt").parquet(target)
+    if files is None:
+        files = _outcomes(_read(spark, target, _PARSED).filter(F.col("attempt") == attempt))
     files.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt").parquet(_beside(target, "files"))
     spark.createDataFrame([(attempt, batch, replaces or [])], _COMMITS).repartition(1).write.mode("append").parquet(
         _beside(target, "commits"))
 
 
 #: Parts that a batch's files are dealt into, for each core: a split of packed files is ten times as large once they are read.
-PARTS_PER_CORE = 4
+PARTS_PER_CORE = 8
 
 
 def _or_null(files: DataFrame, column: str, kind: str) -> Column:
     return (F.col(column) if column in files.columns else F.lit(None)).cast(kind)
 
 
-def _parsed(files: DataFrame, batch: Column) -> tuple[DataFrame, DataFrame]:
-    """(bars of the files that parsed, outcome of every file), each with its origin, read from one stored parse.
+def _outcomes(parsed: DataFrame) -> DataFrame:
+    return parsed.select("batch", "path", "modified", "length", "error").distinct()
+
+
+def _parse(files: DataFrame, batch: Column) -> DataFrame:
+    """Bars of the files, or the error of those that don't parse, each with its file's origin.
 
-    A row's origin goes along with it through the parse, so that no bar is joined or moved for it; only packed files move.
+    The origin goes along through the parse, so that no bar is joined or moved for it; only packed files move.
     """
     parts = PARTS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism
-    origin = files.select(
+    dealt = files.select(
         "path", "content", _or_null(files, "modificationTime", "timestamp").alias("modified"),
         _or_null(files, "length", "long").alias("length"), batch.cast("long").alias("batch")).repartition(parts, "path")
-    parsed = stage_table(parse_day_files(origin, ("batch", "modified", "length")), "parsed").withColumnsRenamed({"_path": "path", "_error": "error"})
-    bars = parsed.filter(F.col("error").isNull())
-    return bars.select(*BARS.names, "batch", "path", "modified"), parsed.select("batch", "path", "modified", "length", "error").distinct()
+    parsed = parse_day_files(dealt, ("batch", "modified", "length"))
+    return parsed.select(*BARS.names, "batch", F.col("_path").alias("path"), "modified", "length", F.col("_error").alias("error"))
+
+
+def _parsed(files: DataFrame, batch: Column) -> tuple[DataFrame, DataFrame]:
+    """(bars of the files that parsed, outcome of every file), each with its origin, read from one stored parse."""
+    parsed = stage_table(_parse(files, batch), "parsed")
+    return parsed.filter(F.col("error").isNull()).drop("length", "error"), _outcomes(parsed)
 
 
 def landed_files(spark: SparkSession, target: str) -> DataFrame:
@@ -164,8 +176,7 @@ def retry_failed(spark: SparkSession, target: str, at_most: int = 1000) -> None:
 
 def _ingest(batch: DataFrame, number: int, target: str) -> None:
     if not _batch_is_stored(batch.sparkSession, target, number):
-        bars, outcomes = _parsed(batch, F.lit(number))
-        _store(bars, outcomes, target, f"batch{number}", number)
+        _store(_parse(batch, F.lit(number)), None, target, f"batch{number}", number)
 
 
 def ingest_incremental(files: DataFrame, target: str, checkpoint: str) -> None:

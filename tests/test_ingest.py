@@ -156,3 +156,16 @@ def test_lines_are_parsed_by_methods_that_java_compiles(spark):
     parsed = src.parse_lines(spark.createDataFrame([("/l/2024-01-01.zip", OLD.splitlines()[0].replace(",", src._BETWEEN), "A,EQ,1", None)], src.LINES))
     made = parsed._jdf.queryExecution().debug().codegenToSeq()
     assert made.size() and max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())) < 7000
+
+
+def test_a_batch_is_stored_as_it_is_parsed(store, monkeypatch):
+    """No second copy of the bars is written and read on the way, and errors are not among the bars."""
+    monkeypatch.setattr(ingest, "stage_table", lambda *_: pytest.fail("staged"))
+    land(store.landing, "2024-02-01", OLD)
+    land(store.landing, "2024-02-02", OLD)
+    next(store.landing.rglob("2024-02-02.zip")).write_bytes(b"no zip")
+    monkeypatch.setattr(ingest, "retry_failed", lambda *_: None)
+    store.run()
+    assert store.rows().count() == 6 * PER_FILE and ingest.landed_files(store.spark, store.target).count() == 8
+    assert {r.path[-14:-4] for r in ingest.failed_files(store.spark, store.target).collect()} == {"2024-01-03", "2024-02-02"}
+    assert list(Path(store.target).glob("year=__HIVE_DEFAULT_PARTITION__/attempt=batch*"))
